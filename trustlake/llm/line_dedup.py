@@ -10,7 +10,7 @@ partner and emit no variants (an exact filter, over all lines).  Keys carry the
 position are all within one edit of each other, so the earliest of them stands for all and no pairs are formed; such a group has at
 most one line per character of the alphabet.  Each link is verified with `levenshtein` on the two texts.
 
-Defined results: lines are split at \\n and compared without leading and trailing blanks; lines of fewer than `min_chars` code points
+Defined results: lines are split at \\n and compared without leading and trailing spaces; lines of fewer than `min_chars` code points
 after that (empty ones too) always stay; a null text is a text of one empty line; rows with a null doc_id come last in order, rows that
 share a doc_id are ordered by a digest of their texts; whole repeats of a row (same doc_id and text) are one document: they keep and
 lose the same lines; an empty table gives an empty result; other columns are passed on untouched.
@@ -23,28 +23,31 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import sized, staged, whole_text
 
 #: Code points of a block of a long line; shorter lines have two blocks.
-BLOCK = 256
+BLOCK = 2048
 
 
-def _pieces(line, length, role):
-    """array<struct<b,key,at,n>>: for each block b of `line`, seen as a line of `length` code points, the key of what surrounds it.
+def _piece(line, total, length, step, b, role):
+    at = b * step
+    n = F.least(step, length - at) - F.lit(role)
+    around = F.xxhash64(length, b, F.substring(line, F.lit(1), at), F.substring(line, at + n + 1, total))
+    return F.struct(F.lit(role).alias("role"), around.alias("key"), at.alias("at"), n.alias("n"))
 
-    role 0: the line has that length and loses a code point in the block; role 1: it is one short, its block is a variant itself."""
-    blocks = F.greatest(F.lit(2), F.ceil(length / F.lit(BLOCK)).cast("int"))
-    step = F.ceil(length / blocks).cast("int")
 
-    def piece(b):
-        at = b * step
-        n = F.least(step, length - at) - F.lit(role)
-        before, after = F.substring(line, F.lit(1), at), F.substring(line, at + n + 1, F.length(line))
-        return F.struct(F.lit(role).alias("role"), b.alias("b"), F.xxhash64(length, b, before, after).alias("key"), at.alias("at"), n.alias("n"))
+def _pieces(line, total, role):
+    """array<struct<role,key,at,n>>: for each block of `line` (of `total` code points), the key of what surrounds it.
 
-    found = F.transform(F.sequence(F.lit(0), blocks - 1), piece)
+    role 0: the line loses a code point in the block; role 1: the line is one short of the presumed length, the block is a variant."""
+    length = total + F.lit(role)
+    halves = F.ceil(length / 2).cast("int")  # spelled out, for speed, as most lines have two blocks
+    blocks = F.ceil(length / F.lit(BLOCK)).cast("int")
+    step = F.ceil(length / blocks).cast("int")
+    many = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: _piece(line, total, length, step, b, role))
+    found = F.when(length <= 2 * BLOCK, F.array(*[_piece(line, total, length, halves, F.lit(b), role) for b in (0, 1)])).otherwise(many)
     return F.filter(found, lambda p: p["n"] + F.lit(role) > 0)
 
 
-def _all_pieces(line):
-    return F.concat(_pieces(line, F.length(line), 0), _pieces(line, F.length(line) + 1, 1))
+def _all_pieces(line, total):
+    return F.concat(_pieces(line, total, 0), _pieces(line, total, 1))
 
 
 def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_chars: int = 10) -> DataFrame:
@@ -53,11 +56,11 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("max_edits is 0 or 1")
     text = whole_text(text_col)
     source = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
-    lines = source.select("doc_id", "th", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).withColumn("line", F.btrim("line", F.lit(" \t\r")))
-    lines = lines.filter(F.length("line") >= min_chars)
+    lines = source.select("doc_id", "th", F.posexplode(F.transform(F.split("text", "\n", -1), lambda x: F.trim(x))).alias("line_no", "line"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("th").alias("th"), F.col("line_no").alias("line_no"))
-    keys = F.transform(_all_pieces(F.col("line")), lambda p: p["key"]) if max_edits else F.array().cast("array<bigint>")
-    base = staged(lines.select("doc_id", "th", "line_no", F.xxhash64("line", F.length("line")).alias("lh"), keys.alias("keys")))
+    lines = lines.select("doc_id", "th", "line_no", "line", F.length("line").alias("n")).filter(F.col("n") >= min_chars)
+    keys = F.transform(_all_pieces(F.col("line"), F.col("n")), lambda p: p["key"]) if max_edits else F.array().cast("array<bigint>")
+    base = staged(lines.select("doc_id", "th", "line_no", F.xxhash64("line", "n").alias("lh"), keys.alias("keys")))
     first = base.groupBy("lh").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     exact = base.join(first.filter("n > 1"), "lh").filter(place > F.col("first")).select("doc_id", "th", "line_no", F.lit("exact").alias("reason"), F.col("first").alias("to"))
     if not max_edits:
@@ -69,10 +72,10 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     per_doc = staged(candidates.groupBy(F.col("first.th").alias("wanted_th")).agg(F.collect_list(F.struct("lh", "first", "hits")).alias("wanted")))
     texts = staged(
         source.join(sized(per_doc, 600), F.col("th") == F.col("wanted_th")).select(F.split("text", "\n", -1).alias("all"), F.explode("wanted").alias("w"))
-        .select("w.lh", "w.first", "w.hits", F.btrim(F.try_element_at("all", F.col("w.first.line_no") + 1), F.lit(" \t\r")).alias("line"))
+        .select("w.lh", "w.first", "w.hits", F.trim(F.get("all", F.col("w.first.line_no"))).alias("line"))
         .dropDuplicates(["lh"])
     )
-    pieces = texts.select("lh", "first", "line", "hits", F.explode(_all_pieces(F.col("line"))).alias("p")).filter(F.array_contains("hits", F.col("p.key")))
+    pieces = texts.select("lh", "first", "line", "hits", F.explode(_all_pieces(F.col("line"), F.length("line"))).alias("p")).filter(F.array_contains("hits", F.col("p.key")))
     block = F.substring(F.col("line"), F.col("p.at") + 1, F.col("p.n"))
     cut = lambda i: F.xxhash64(F.col("p.key"), F.concat(F.substring(F.col("block"), F.lit(1), i), F.substring(F.col("block"), i + 2, F.col("p.n"))))
     pieces = pieces.withColumn("block", block)
