@@ -4,8 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .bpe import bpe_round_trip
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .packing import pack
+from .simhash import simhash_components
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +25,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(_documents(spark, sf_dir), tokenizer_path())
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_documents(spark, sf_dir), tokenizer_path())
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(_documents(spark, sf_dir).select("doc_id", "text"))
     return out.select(
@@ -24,7 +41,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op9_line_dedup)}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_components(_documents(spark, sf_dir))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_bpe, op6_packing, op9_line_dedup, op10_simhash)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
