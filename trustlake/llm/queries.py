@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import bpe_round_trip
 from .exact_dedup import exact_dedup
+from .language_id import language_id
 from .line_dedup import line_dedup
+from .media import media_columns
 from .packing import pack
 from .simhash import simhash_components
+from .toxicity import toxicity
 
 
 def tokenizer_path() -> str:
@@ -25,14 +28,27 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_documents(spark, sf_dir))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_documents(spark, sf_dir), tokenizer_path())
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), tokenizer_path())
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(_documents(spark, sf_dir))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(_documents(spark, sf_dir).select("doc_id", "text"))
     return out.select(
@@ -46,7 +62,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_bpe, op6_packing, op9_line_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_language_id, op4_bpe, op5_toxicity, op6_packing, op8_media, op9_line_dedup, op10_simhash)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
