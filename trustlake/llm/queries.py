@@ -11,6 +11,7 @@ from .line_dedup import line_dedup
 from .media import media_columns
 from .packing import pack
 from .simhash import simhash_components
+from .substring_dedup import substring_dedup
 from .toxicity import toxicity
 
 
@@ -45,6 +46,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), tokenizer_path())
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(_documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", F.col("_words").alias("n_words"), F.col("_removed").alias("n_removed"), F.size("_spans").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_documents(spark, sf_dir))
 
@@ -62,7 +68,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_language_id, op4_bpe, op5_toxicity, op6_packing, op8_media, op9_line_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_language_id, op4_bpe, op5_toxicity, op6_packing, op7_substring_dedup, op8_media, op9_line_dedup, op10_simhash)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
