@@ -216,16 +216,20 @@ class _Emissions(dict):
         return value
 
 
-def score(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, spans (array of start and end offsets, in code points of the text, of toxic runs) of each row."""
+def score(docs: DataFrame, field: Field | None, text_col: str = "text") -> DataFrame:
+    """docs with _score and _spans (array of start and end offsets, in code points of the text, of toxic runs)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
     given = docs.sparkSession.sparkContext.broadcast(field)
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    kind = StructType([*docs.schema.fields, *StructType.fromDDL("_score double, _spans array<struct<start:int,end:int>>").fields])
+    arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = given.value
         known, plain = (_Emissions(field), _Plain(field)) if field else ({}, None)
         for b in batches:
-            texts = b.column("text").to_pylist()
+            texts = b.column(text_col).to_pylist()
             facts, spans = [(-8.0, 0.0, 0.0)] * len(texts), [[] for _ in texts]
             for i, text in enumerate(texts) if field else ():
                 found = tokens(text)
@@ -238,11 +242,9 @@ def score(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col
                 if odds.max() >= 0:
                     spans[i] = _spans(text, odds)
             values = 1 / (1 + np.exp(-(np.array(facts).reshape(-1, 3) @ np.array(field.curve[1:]) + field.curve[0]))) if field else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(values, pa.float64()), pa.array(spans, span)], names=["doc_id", "score", "spans"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, pa.float64()), pa.array(spans, arrow.field("_spans").type)], names=arrow.names)
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, score double, spans array<struct<start:int,end:int>>")
+    return docs.mapInArrow(run, kind)
 
 
 def _spans(text: str, odds: np.ndarray) -> list[dict]:
@@ -259,10 +261,20 @@ def _spans(text: str, odds: np.ndarray) -> list[dict]:
     return [{"start": x["start"], "end": x["end"]} for x in out]
 
 
+def learn_from(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, parts: int, held_out: int) -> Field | None:
+    marks = labels.filter(F.col(label_col).isNotNull() & (fold(id_col, parts) != held_out)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
+    train = docs.select(id_col, text_col).join(sized(staged(marks), 16), F.col(id_col) == F.col("_id"))
+    return learn(train.select(F.col(text_col).alias("text"), F.col("_label").alias("label")), "text", "label")
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", parts: int = 4, held_out: int = 2, at: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted, spans: learned from the labelled rows outside the held-out fold, scored for all."""
-    marks = labels.filter(F.col(label_col).isNotNull() & (fold(id_col, parts) != held_out)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
-    marks = sized(staged(marks), 16)
-    train = docs.join(marks, F.col(id_col) == F.col("_id")).select(F.col(text_col).alias("text"), F.col("_label").alias("label"))
-    found = score(docs, learn(train, "text", "label"), id_col, text_col)
-    return found.select("doc_id", (fold("doc_id", parts) == held_out).alias("held_out"), "score", (F.col("score") >= at).cast("int").alias("predicted"), "spans")
+    field = learn_from(docs, labels, id_col, text_col, label_col, parts, held_out)
+    found = score(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), field)
+    return found.select("doc_id", (fold("doc_id", parts) == held_out).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= at).cast("int").alias("predicted"), F.col("_spans").alias("spans"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", parts: int = 4, held_out: int = 2, at: float = 0.3) -> DataFrame:
+    """The rows of docs that score below `at`."""
+    field = learn_from(docs, labels, id_col, text_col, label_col, parts, held_out)
+    return score(docs, field, text_col).filter(F.col("_score") < at).select(*docs.columns)
