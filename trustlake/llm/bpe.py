@@ -4,8 +4,7 @@ A merge can only ever join two bytes that stand side by side inside some vocabul
 never be merged over.  Where the tokenizer also starts a new word between the two (the pre-tokenizer is asked about each such pair of
 ASCII characters once, when the table is built), the place is a certain cut: the fragments on both sides are encoded independently and
 their ids concatenated.  Every text is cut at all certain places; the library encodes each distinct fragment once, and a bounded cache
-holds the results.  Fragments that hold an added token's first character are not looked up in the cache's table of plain fragments: a
-text in which an added token (`<|endoftext|>`) occurs is encoded whole.
+holds the results.  A text in which an added token (`<|endoftext|>`) occurs is encoded whole.
 
 Decoding: with no decoder in the tokenizer file, the library joins token strings with a space, so decoded fragments are joined likewise.
 
@@ -18,11 +17,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
@@ -34,6 +33,12 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Letters of the Latin blocks below U+0180, but for the dotted capital I, whose lower case is two characters.
+_LATIN = re.compile("[a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+_OTHER = re.compile("[^\x00-\u012f\u0131-\u017f]")
+_AS_BYTES = {ord(chr(c)): "".join({b: a for a, b in _byte_alphabet().items()}[x] for x in chr(c).encode()) for c in range(0x80, 0x180)}
+
+
 def token_pairs(vocabulary: dict[str, int], suffix: str | None) -> set[tuple[int, int]]:
     """The byte pairs that stand side by side inside some token."""
     of = _byte_alphabet()
@@ -58,9 +63,18 @@ class Fragments:
         self.added = [t["content"] for t in given.get("added_tokens", [])]
         self.spaced = given.get("decoder") is None
         self.cut = self._cuts(token_pairs(model["vocab"], model.get("end_of_word_suffix")))
-        self.pattern = regex.compile(self._pattern(), regex.V1)
+        self.pattern = re.compile(self._pattern())
+        # The short way for Latin letters holds for word-level BPE over bytes that lower-cases and splits at what is no letter.
+        self.lowers = self.tokenizer.pre_tokenizer is not None and self._words_alone()
         self.cached, self.known = cached, {}
 
+    def _words_alone(self) -> bool:
+        """Whether every Latin letter, alone or between others, is encoded as the model encodes its lower case, as one word."""
+        letters = [chr(c) for c in range(65, 0x180) if _LATIN.fullmatch(chr(c))]
+        probes = [f"{c}" for c in letters] + [f"Ab{c}cD" for c in letters]
+        encoded = self.tokenizer.encode_batch(probes, add_special_tokens=False)
+        return all(e.ids == [t.id for t in self.tokenizer.model.tokenize(p.lower().translate(_AS_BYTES))] for p, e in zip(probes, encoded))
+
     def _cuts(self, inside: set[tuple[int, int]]) -> set[tuple[str, str]]:
         """Pairs of ASCII characters between which every text can be cut."""
         ascii_ = [chr(c) for c in range(9, 127) if chr(c).isprintable() or chr(c).isspace()]
@@ -75,37 +89,43 @@ class Fragments:
         return {(a, b) for a in ascii_ for b in ascii_ if (lowered(a), lowered(b)) not in inside and (ord(a), ord(b)) not in inside and parts(a.lower() + b.lower())}
 
     def _pattern(self) -> str:
-        """A pattern whose matches are the fragments, blanks between them dropped where the tokenizer drops blanks: runs of letters and
-        other characters without a certain cut, by classes of characters that all cut alike."""
+        """A pattern whose matches are the fragments, blanks between them dropped where the tokenizer drops blanks: letters up to a
+        certain cut, marks up to a blank, and whatever else stands between two blanks."""
         letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
         blanks = " \t\n\x0b\x0c\r"
         marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
-        # A mark is open if it can be kept together with a letter that follows it (an apostrophe, say).
-        open_ = [m for m in marks if any((m, x) not in self.cut for x in letters) or any((x, m) not in self.cut for x in letters)]
-        shut = [m for m in marks if m not in open_]
-        cls = lambda cs: "[" + "".join(regex.escape(c) for c in cs) + "]"
-        if all((b, x) in self.cut and (x, b) in self.cut for b in blanks for x in [*letters, *marks, *"0123456789"]):
-            # Letters alone; else, up to the next blank, from anything that is not a plain letter.
-            alone = f"[a-zA-Z]++(?={cls(blanks + ''.join(shut))}|$)" if shut else f"[a-zA-Z]++(?={cls(blanks)}|$)"
-            tail = f"{cls(shut)}+(?=[{blanks}]|$)" if shut else "(?!)"
-            return f"{alone}|{tail}|[^{blanks}]+"
-        return r"(?s).+"
+        # A mark is open if it can be kept together with a letter beside it (an apostrophe, say).
+        shut = [m for m in marks if all((m, x) in self.cut and (x, m) in self.cut for x in letters)]
+        if not all((b, x) in self.cut and (x, b) in self.cut for b in blanks for x in [*letters, *marks, *"0123456789"]):
+            return r"(?s).+"
+        shut = "".join(map(re.escape, shut)) or "(?!)"
+        return rf"[^\W\d_]++(?=[{blanks}{shut}]|$)|[{shut}]+(?=[{blanks}]|$)|[^{blanks}]+"
 
     def pieces(self, text: str) -> list[str]:
         if any(t in text for t in self.added):
             return [text]
-        return self.pattern.findall(text)
+        # Lower case first where that cannot matter (the normaliser lower-cases after composing): fewer distinct fragments.
+        return self.pattern.findall(text.lower() if self.lowers and not _OTHER.search(text) else text)
 
-    def encode(self, texts: list[str], value: Callable[[list[int], list[str]], object]) -> Iterator[list]:
-        """For each text, value(ids, tokens) of each of its fragments; value must be the same at each call of one object."""
+    def encode(self, texts: list[str], value: Callable[[list[int], Callable[[], list[str]]], object]) -> Iterator[list]:
+        """For each text, value(ids, function that gives the tokens) of each of its fragments; value must be the same at each call of
+        one object."""
         cut = [self.pieces(t) for t in texts]
         known = self.known
         if len(known) > self.cached:
             known.clear()
-        new = list({p for ps in cut for p in ps if p not in known})
-        for at in range(0, len(new), 4096):
-            for p, e in zip(new[at : at + 4096], self.tokenizer.encode_batch(new[at : at + 4096], add_special_tokens=False)):
-                known[p] = value(e.ids, e.tokens)
+        new = {p for ps in cut for p in ps if p not in known}
+        if self.lowers:
+            # A run of Latin letters is one word for the pre-tokenizer, so the model can be asked without it.
+            model, words = self.tokenizer.model, [p for p in new if _LATIN.fullmatch(p)]
+            for p in words:
+                found = model.tokenize(p.lower().translate(_AS_BYTES))
+                known[p] = value([t.id for t in found], lambda found=found: [t.value for t in found])
+            new.difference_update(words)
+        rest = list(new)
+        for at in range(0, len(rest), 4096):
+            for p, e in zip(rest[at : at + 4096], self.tokenizer.encode_batch(rest[at : at + 4096], add_special_tokens=False)):
+                known[p] = value(e.ids, lambda e=e: e.tokens)
         for ps in cut:
             yield [known[p] for p in ps]
 
@@ -157,8 +177,8 @@ def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: s
 def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the decimal ids, joined by one space) and decoded_sha256 of each row."""
 
-    def value(ids: list[int], tokens: list[str]) -> tuple[int, bytes, bytes] | None:
-        return (len(ids), " ".join(map(str, ids)).encode(), " ".join(tokens).encode()) if ids else None
+    def value(ids: list[int], tokens: Callable[[], list[str]]) -> tuple[int, bytes, bytes] | None:
+        return (len(ids), " ".join(map(str, ids)).encode(), " ".join(tokens()).encode()) if ids else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = fragments(path, "round trip")
