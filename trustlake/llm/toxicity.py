@@ -47,7 +47,7 @@ class Field:
     bias: float = -6.0
     stay: float = 1.0  # toxic after toxic
     enter: float = 0.0  # toxic after clean
-    curve: tuple[float, ...] = (-4.0, 0.0, 0.0, 0.0)  # intercept and the weights of document_facts
+    curve: tuple[float, ...] = (-4.0, 0.0, 0.0, 0.0)  # intercept and the weights of _facts
 
     def emission(self, token: str) -> float:
         return sum(self.weights.get(f, 0.0) for f in features(token))
@@ -79,6 +79,23 @@ def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, lengths
 
 
+def batched_marginals(rows: list[np.ndarray], field: Field, cells: int = 1_000_000) -> list[np.ndarray]:
+    """Marginals (log odds) of each row of emissions: rows of like length go together, at most `cells` padded places at a time."""
+    out: list[np.ndarray] = [np.empty(0)] * len(rows)
+    order = sorted(range(len(rows)), key=lambda i: len(rows[i]))
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and (end + 1 - at) * len(rows[order[end]]) <= cells:
+            end += 1
+        values, lengths = _padded([rows[i] for i in order[at:end]])
+        odds = marginals(values, lengths, field.bias, field.stay, field.enter)
+        for i, o in zip(order[at:end], odds):
+            out[i] = o[: len(rows[i])]
+        at = end
+    return out
+
+
 def _counts(rows: DataFrame, known: list[str] | None) -> DataFrame:
     """feature, n: in how many documents of rows a feature occurs; only of `known` ones if given."""
     given = rows.sparkSession.sparkContext.broadcast(frozenset(known)) if known is not None else None
@@ -126,12 +143,13 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
     return _fit(texts, chosen, {label: w * 2 / (share[0] + share[1]) for label, w in share.items()})
 
 
-def _fit(texts: list[tuple[int, str]], chosen: list[str], share: dict[int, float], rounds: int = 120, rate: float = 0.3, decay: float = 1e-3, window: int = 160) -> Field:
+def _fit(texts: list[tuple[int, str]], chosen: list[str], share: dict[int, float], rounds: int = 80, rate: float = 0.3, decay: float = 1e-3, window: int = 160) -> Field:
     column = {f: i for i, f in enumerate(chosen)}
     docs = [(label, [[column[f] for f in features(t) if f in column] for t in tokens(text)]) for label, text in texts]
     # Training sequences: windows of a document's tokens.
     parts = [(label, d[a : a + window]) for label, d in docs for a in range(0, len(d), window)]
-    seqs = [(label, s) for label, s in parts if any(s)] + [p for p in parts if not any(p[1])][: len(parts) // 4 + 1]
+    seqs = [(label, s) for label, s in parts if any(s)]
+    seqs += [p for p in parts if not any(p[1])][: len(seqs) // 2 + 100]
     if not seqs:
         return Field({})
     where = [(i, t, f) for i, (_, s) in enumerate(seqs) for t, own in enumerate(s) for f in own]
@@ -160,8 +178,9 @@ def _fit(texts: list[tuple[int, str]], chosen: list[str], share: dict[int, float
         second_s = 0.9 * second_s + 0.1 * grad_s**2
         weights += rate * grad_w / np.sqrt(second_w + 1e-8)
         shared += 0.3 * rate * grad_s / np.sqrt(second_s + 1e-8)
-    field = Field({f: float(w) for f, w in zip(chosen, weights)}, *map(float, shared))
-    facts = np.array([document_facts(field, [sum(weights[f] for f in own) for own in d]) for _, d in docs])
+    weights[np.abs(weights) < 0.1] = 0
+    field = Field({f: float(w) for f, w in zip(chosen, weights) if w}, *map(float, shared))
+    facts = np.array([_facts(o) for o in batched_marginals([np.array([sum(weights[f] for f in own) for own in d], float) for _, d in docs], field)])
     label = np.array([label for label, _ in docs], float)
     x = np.column_stack((np.ones(len(docs)), facts))
     own, curve = np.array([share[label] for label, _ in docs]), np.zeros(4)
@@ -181,11 +200,6 @@ def _facts(odds: np.ndarray) -> tuple[float, float, float]:
     return float(np.clip(odds.max(), -8, 8)), float(np.log1p((1 / (1 + np.exp(-np.minimum(likely, 50)))).sum())), float(np.log1p(len(odds)))
 
 
-def document_facts(field: Field, emissions: list[float]) -> tuple[float, float, float]:
-    values, lengths = _padded([np.array(emissions, float)])
-    return _facts(marginals(values, lengths, field.bias, field.stay, field.enter)[0, : len(emissions)])
-
-
 class _Plain:
     """Facts of a text of n tokens none of which has a feature (most are): both messages depend on the distance to an end alone."""
 
@@ -231,16 +245,18 @@ def score(docs: DataFrame, field: Field | None, text_col: str = "text") -> DataF
         for b in batches:
             texts = b.column(text_col).to_pylist()
             facts, spans = [(-8.0, 0.0, 0.0)] * len(texts), [[] for _ in texts]
+            special: list[tuple[int, np.ndarray]] = []
             for i, text in enumerate(texts) if field else ():
                 found = tokens(text)
                 emissions = np.fromiter(map(known.__getitem__, found), float, len(found))
-                if not emissions.any():
+                if emissions.any():
+                    special.append((i, emissions))
+                else:
                     facts[i] = plain(len(found))
-                    continue
-                odds = marginals(emissions[None, :], np.array([len(found)]), field.bias, field.stay, field.enter)[0]
+            for (i, _), odds in zip(special, batched_marginals([e for _, e in special], field)):
                 facts[i] = _facts(odds)
                 if odds.max() >= 0:
-                    spans[i] = _spans(text, odds)
+                    spans[i] = _spans(texts[i], odds)
             values = 1 / (1 + np.exp(-(np.array(facts).reshape(-1, 3) @ np.array(field.curve[1:]) + field.curve[0]))) if field else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, pa.float64()), pa.array(spans, arrow.field("_spans").type)], names=arrow.names)
 
