@@ -105,7 +105,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = line_decisions(docs, id_col, text_col, max_edits, min_chars).groupBy("doc_id", "th").agg(
         F.collect_list("line_no").alias("_gone"), F.count_if(F.col("reason") == "exact").alias("_exact"), F.count_if(F.col("reason") == "near").alias("_near")
     )
-    gone = sized(staged(gone.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_gone", "_exact", "_near")), 200)
+    gone = sized(staged(gone.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_gone", "_exact", "_near")), 96)
     text = whole_text(text_col)
     joined = docs.join(gone, (F.xxhash64(text) == F.col("_th")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
     lines = F.split(text, "\n", -1)

@@ -12,6 +12,7 @@ from .media import media_columns
 from .packing import pack
 from .simhash import simhash_components
 from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 from .toxicity import toxicity
 
 
@@ -29,6 +30,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(_documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_documents(spark, sf_dir))
 
@@ -68,7 +74,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_language_id, op4_bpe, op5_toxicity, op6_packing, op7_substring_dedup, op8_media, op9_line_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_language_id, op4_bpe, op5_toxicity, op6_packing, op7_substring_dedup, op8_media, op9_line_dedup, op10_simhash)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
