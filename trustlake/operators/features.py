@@ -27,7 +27,7 @@ def ewma(value: Column, window, alpha: float, start: Column | None = None) -> Co
     rows = math.ceil(math.log(1e-17) / math.log(1 - alpha)) if alpha < 1 else 1
     seen = F.collect_list(value).over(window.rowsBetween(-(rows - 1), 0))
     first = F.lit(None).cast("double") if start is None else start
-    return F.aggregate(seen, first, lambda m, x: F.lit(alpha) * x + F.lit(1 - alpha) * F.coalesce(m, x))
+    return F.aggregate(seen, first, lambda m, x: F.when(m.isNull(), x).otherwise(F.lit(alpha) * x + F.lit(1 - alpha) * m))
 
 
 def _prepared(df: DataFrame) -> DataFrame:
