@@ -34,3 +34,8 @@ def sized(table: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> Dat
 
 def whole_text(column="text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def without(docs: DataFrame, *names: str) -> DataFrame:
+    """docs less columns named like those that an operator adds: the operator's own replace them."""
+    return docs.drop(*[c for c in docs.columns if c.lower() in names])

@@ -13,14 +13,15 @@ most one line per character of the alphabet.  Each link is verified with `levens
 Defined results: lines are split at \\n and compared without leading and trailing spaces; lines of fewer than `min_chars` code points
 after that (empty ones too) always stay; a null text is a text of one empty line; rows with a null doc_id come last in order, rows that
 share a doc_id are ordered by a digest of their texts; whole repeats of a row (same doc_id and text) are one document: they keep and
-lose the same lines; an empty table gives an empty result; other columns are passed on untouched.
+lose the same lines; an empty table gives an empty result; other columns are passed on untouched, but for
+those named like one that is added here (_lines, _exact, _near, _id, _th, _gone), which are replaced or dropped.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import sized, staged, whole_text
+from .common import sized, staged, whole_text, without
 
 #: Code points of a block of a long line; shorter lines have two blocks.
 BLOCK = 2048
@@ -102,6 +103,7 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_chars: int = 10) -> DataFrame:
     """docs without the lines that go, in text_col (null becomes empty), with _lines, _exact and _near: the line counts of each row."""
+    docs = without(docs, "_id", "_th", "_gone", "_exact", "_near", "_lines")
     gone = line_decisions(docs, id_col, text_col, max_edits, min_chars).groupBy("doc_id", "th").agg(
         F.collect_list("line_no").alias("_gone"), F.count_if(F.col("reason") == "exact").alias("_exact"), F.count_if(F.col("reason") == "near").alias("_near")
     )

@@ -14,7 +14,8 @@ come from label propagation with pointer jumping, on Spark.
 
 Defined results: null text is empty; without words the fingerprint is zero and is linked like any other; fewer words than a shingle:
 the whole sequence is the shingle; component_id is the smallest doc_id in the component (null if all are null); repeated rows give
-repeated result rows; an empty table gives an empty result; other columns are ignored.
+repeated result rows; an empty table gives an empty result; other columns are ignored, and passed on by
+simhash_dedup but for _gone, _again and _nth.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import sized, staged
+from .common import sized, staged, without
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -225,6 +226,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2) -> DataFrame:
     """docs with one row of each component: that of the smallest id (of repeated rows with that id, one by its digest and place)."""
+    docs = without(docs, "_gone", "_again", "_nth")
     marks = staged(simhash_components(docs, id_col, text_col, words, max_bits))
     losers = sized(staged(marks.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()), 8)
     repeats = sized(staged(marks.groupBy(F.col("doc_id").alias("_again")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_again")), 8)

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import sized, staged
+from .common import sized, staged, without
 from .language_id import fold
 
 _TOKEN = re.compile(r"\w+")
@@ -235,6 +235,7 @@ def score(docs: DataFrame, field: Field | None, text_col: str = "text") -> DataF
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    docs = without(docs, "_score", "_spans")
     given = docs.sparkSession.sparkContext.broadcast(field)
     kind = StructType([*docs.schema.fields, *StructType.fromDDL("_score double, _spans array<struct<start:int,end:int>>").fields])
     arrow = to_arrow_schema(kind)
@@ -293,4 +294,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", parts: int = 4, held_out: int = 2, at: float = 0.3) -> DataFrame:
     """The rows of docs that score below `at`."""
     field = learn_from(docs, labels, id_col, text_col, label_col, parts, held_out)
-    return score(docs, field, text_col).filter(F.col("_score") < at).select(*docs.columns)
+    scored = score(docs, field, text_col)
+    return scored.filter(F.col("_score") < at).drop("_score", "_spans")
