@@ -147,12 +147,12 @@ CTES = {
         {_tags([("f_failed_logins_5m >= 3", "failed_logins_spike"), ("f_fast_geo_switch >= 1", "fast_geo_switch"), ("f_bytes_spike_score >= 2.5", "bytes_exfil_spike"), ("f_posture_drift >= 0.25", "device_posture_drift"), (f"(f_is_privileged_role >= 1 AND {_S})", "privileged_sensitive_access")])} AS rule_tags,
         {clip("0.30 * least(1.0, g_cross_cloud_hops_session / 2.0) + 0.25 * g_is_new_resource_edge + 0.20 * least(1.0, g_new_resource_rate_win) + 0.15 * CASE WHEN g_shortest_to_sensitive_hops < 0 THEN 0.0 ELSE " + clip("(3 - g_shortest_to_sensitive_hops) / 3.0") + " END + 0.10 * least(1.0, g_blast_radius_sensitive_k / 15.0)")} AS s_graph,
         {_tags([("g_cross_cloud_hops_session >= 1", "cross_cloud_hop"), ("g_is_new_resource_edge >= 1", "new_resource_edge"), ("g_new_resource_rate_win >= 1", "new_edge_rate_spike"), ("g_shortest_to_sensitive_hops BETWEEN 0 AND 2", "close_to_sensitive_resource"), ("g_blast_radius_sensitive_k >= 15", "large_blast_radius")])} AS graph_tags,
-        (event_ord * 37 % 101) / 97.0 AS s_anom0 FROM feat""",
+        ((event_ord * 37 % 97) + 0.5) / 97.1 AS s_anom0 FROM feat""",
     "scored0": "SELECT *, CAST(least(1.0, s_anom0) AS DOUBLE) AS s_anom, (least(1.0, s_anom0) + s_rule + s_graph) / 3 AS mu FROM parts",
     "scored1": f"""SELECT *, 1 / (1 + exp(-(0.80 * s_anom + 0.50 * s_rule + 0.70 * s_graph - 1.0))) AS risk, list_filter(list_concat(rule_tags, graph_tags), lambda x: TRUE) AS rationale_tags,
         {clip("0.55 * " + clip("1 - sqrt(((s_anom - mu) ** 2 + (s_rule - mu) ** 2 + (s_graph - mu) ** 2) / 3) / 0.5") + " + 0.45 * " + clip("1 - 4 * mu * (1 - mu)"))} AS confidence FROM scored0""",
     "scored": "SELECT *, CASE WHEN risk < 0.58 THEN 'allow' WHEN risk < 0.62 THEN 'stepup' WHEN risk < 0.66 THEN 'restrict' WHEN risk >= 0.68 AND confidence >= 0.55 THEN 'deny' ELSE 'restrict' END AS decision FROM scored1",
-    "raac0": f"SELECT *, {clip(f'0.30 * ' + clip('(0.5 - posture_score) / 0.5') + f' + 0.20 * (1 - mfa_used) + 0.15 * raw_time_anomaly + 0.20 * raw_privilege_escalation + 0.15 * {SENS_SCORE}')} AS s_ctx, least(1.0, (event_ord * 37 % 101) / 97.0) AS s_anom FROM uni",
+    "raac0": f"SELECT *, {clip(f'0.30 * ' + clip('(0.5 - posture_score) / 0.5') + f' + 0.20 * (1 - mfa_used) + 0.15 * raw_time_anomaly + 0.20 * raw_privilege_escalation + 0.15 * {SENS_SCORE}')} AS s_ctx, least(1.0, ((event_ord * 37 % 97) + 0.5) / 97.1) AS s_anom FROM uni",
     "raac1": f"SELECT *, {clip('0.55 * s_ctx + 0.45 * s_anom')} AS risk FROM raac0",
     "raac": f"SELECT *, {clip('0.75 * (1 - abs(s_ctx - s_anom)) + 0.25 * (1 - abs(risk - 0.5) * 2)')} AS confidence, CASE WHEN risk >= 0.75 THEN 'deny' WHEN risk >= 0.55 THEN 'restrict' WHEN risk >= 0.35 THEN 'stepup' ELSE 'allow' END AS decision FROM raac1",
     "tq": "SELECT quantile_cont(risk, 0.95) AS q1, quantile_cont(risk, 0.98) AS q2, quantile_cont(risk, 0.995) AS q3 FROM scored WHERE label_attack = 0",
