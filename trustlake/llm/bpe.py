@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
+from .common import small
+
 
 def _byte_alphabet() -> dict[str, int]:
     """Character of the byte-level alphabet -> byte: printable Latin-1 stands for itself, other bytes follow from code point 256."""
@@ -153,7 +155,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = fragments(path, "ids")
-        for b in batches:
+        for b in small(batches):
             texts = b.column("text").to_pylist()
             for i, j in slices(texts):
                 ids = [[x for part in parts for x in part] for parts in cutter.encode(texts[i:j], lambda ids, _: ids)]
@@ -167,7 +169,7 @@ def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Tokenizer.from_file(path)
-        for b in batches:
+        for b in small(batches):
             text = [None if ids is None else tokenizer.decode(ids, skip_special_tokens=False) for ids in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(text, pa.string())], names=["doc_id", "text"])
 
@@ -184,7 +186,7 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         cutter = fragments(path, "round trip")
         if not cutter.spaced:
             raise ValueError("only tokenizers without a decoder are joined by fragments; use bpe_encode and bpe_decode")
-        for b in batches:
+        for b in small(batches):
             texts = b.column("text").to_pylist()
             for i, j in slices(texts):
                 counts, ids, decoded = [], [], []

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Sides of a join up to this many bytes (rows times an assumed width) are broadcast; larger ones are shuffled.
@@ -39,3 +41,12 @@ def whole_text(column="text"):
 def without(docs: DataFrame, *names: str) -> DataFrame:
     """docs less columns named like those that an operator adds: the operator's own replace them."""
     return docs.drop(*[c for c in docs.columns if c.lower() in names])
+
+
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows at most, so that a task's Python objects are of few texts at a time; memory that Arrow
+    keeps for later is given back at the end, as workers are used again by other tasks."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()

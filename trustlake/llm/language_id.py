@@ -19,6 +19,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .common import small
+
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -56,7 +58,7 @@ def predict_language(
             content = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             content.precompute_compress(level=level)
             encoders.append(zstandard.ZstdCompressor(level=level, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
-        for b in batches:
+        for b in small(batches):
             preds, scores, rejected = [], [], []
             for text in b.column("text").to_pylist():
                 if not encoders or text is None or not _LETTER.search(text):

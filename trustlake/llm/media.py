@@ -23,6 +23,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from .common import small
+
 FRAME, HOP, RUN = 256, 128, 4096
 BANDS = (1, 8, 16, 32, 64, FRAME // 2 + 1)
 FAN, FAR = 3, 63
@@ -87,7 +89,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     media (the WAV), times and hashes (array<int>, the time-coded fingerprints).  feature: number of pairs and digest of the arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             ids, texts = b.column("doc_id"), b.column("text").to_pylist()
             at, rows, size = 0, [], 0
             for i, text in enumerate(texts):

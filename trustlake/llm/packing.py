@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .bpe import fragments, slices
-from .common import staged
+from .common import small, staged
 
 MERGED_AT_ONCE = 32
 
@@ -128,7 +128,7 @@ def pack(
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, packer = fragments(path, "packed ids"), Packer(size, open_windows, min_piece)
         rows = _Rows(arrow, 0, TaskContext.get().partitionId(), with_ids)
-        for b in batches:
+        for b in small(batches):
             texts, ids = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
             for i, j in slices(texts):
                 for doc, parts in zip(ids[i:j], cutter.encode(texts[i:j], lambda ids, _: np.array(ids, "<u4").tobytes())):

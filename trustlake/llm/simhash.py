@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import sized, staged, without
+from .common import sized, small, staged, without
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id and fp (the fingerprint as a signed long) of each row."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             values = np.fromiter((fingerprint(t, words) for t in b.column("text").to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
 

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import sized, staged, without
+from .common import sized, small, staged, without
 from .language_id import fold
 
 _TOKEN = re.compile(r"\w+")
@@ -79,7 +79,7 @@ def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, lengths
 
 
-def batched_marginals(rows: list[np.ndarray], field: Field, cells: int = 1_000_000) -> list[np.ndarray]:
+def batched_marginals(rows: list[np.ndarray], field: Field, cells: int = 500_000) -> list[np.ndarray]:
     """Marginals (log odds) of each row of emissions: rows of like length go together, at most `cells` padded places at a time."""
     out: list[np.ndarray] = [np.empty(0)] * len(rows)
     order = sorted(range(len(rows)), key=lambda i: len(rows[i]))
@@ -106,7 +106,7 @@ def _counts(rows: DataFrame, known: list[str] | None) -> DataFrame:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["feature", "n"])
 
-        for b in batches:
+        for b in small(batches):
             for text in b.column("text").to_pylist():
                 own = {f for token in set(tokens(text)) for f in features(token)}
                 seen.update(own if given is None else own & given.value)
@@ -224,7 +224,7 @@ class _Emissions(dict):
         self.field = field
 
     def __missing__(self, token: str) -> float:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[token] = value = self.field.emission(token)
         return value
@@ -243,7 +243,7 @@ def score(docs: DataFrame, field: Field | None, text_col: str = "text") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = given.value
         known, plain = (_Emissions(field), _Plain(field)) if field else ({}, None)
-        for b in batches:
+        for b in small(batches):
             texts = b.column(text_col).to_pylist()
             facts, spans = [(-8.0, 0.0, 0.0)] * len(texts), [[] for _ in texts]
             special: list[tuple[int, np.ndarray]] = []
