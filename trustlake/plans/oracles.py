@@ -175,7 +175,7 @@ CTES = {
         coalesce(avg((eff IN ('restrict', 'deny') AND confidence < 0.35)::INT) FILTER (inn), 0) AS analyst_override_rate FROM st GROUP BY stage""",
     "kpic": "SELECT *, CASE stage WHEN 'shadow' THEN 1 WHEN 'canary' THEN 2 WHEN 'enforce' THEN 3 ELSE 4 END AS stage_no, " + _tags([(f"{k} > {v}", k) for k, v in policy.BUDGETS.items()]) + " AS reasons FROM kpi",
     "line": "SELECT * FROM kpic WHERE stage_no <= coalesce((SELECT min(stage_no) FROM kpic WHERE len(reasons) > 0), 9)",
-    "engines0": "SELECT 'baseline_static' AS engine, event_ord, principal_id, session_id, cloud_provider, label_attack, decision FROM static UNION ALL SELECT 'baseline_siem', event_ord, principal_id, session_id, cloud_provider, label_attack, decision FROM siem UNION ALL SELECT 'baseline_raac_iforest', event_ord, principal_id, session_id, cloud_provider, label_attack, decision FROM raac UNION ALL SELECT 'afozt', event_ord, principal_id, session_id, cloud_provider, label_attack, decision FROM scored",
+    "engines0": "SELECT 'baseline_static' AS engine, event_ord, principal_id, session_id, cloud_provider, label_attack, decision FROM static UNION ALL SELECT 'baseline_siem', event_ord, principal_id, session_id, cloud_provider, label_attack, decision FROM siem UNION ALL SELECT 'baseline_raac_iforest', event_ord, principal_id, session_id, cloud_provider, label_attack, decision FROM raac UNION ALL SELECT 'unified', event_ord, principal_id, session_id, cloud_provider, label_attack, decision FROM scored",
     "engines": f"SELECT e.*, {_FLAGS} FROM engines0 e",
     "esum": f"SELECT engine, {SUMMARY} FROM engines GROUP BY engine",
     "ecloud": "SELECT engine, principal_id, cloud_provider, avg(CASE decision WHEN 'stepup' THEN 1 WHEN 'restrict' THEN 2 WHEN 'deny' THEN 3 ELSE 0 END) AS s, avg((decision = 'deny')::INT) AS d, count(*) AS n FROM engines GROUP BY ALL",

@@ -85,7 +85,7 @@ def graph_tables(spark, sf_dir):
 def engines(spark, sf_dir):
     keep = ["event_ord", "principal_id", "session_id", "cloud_provider", "label_attack", "decision"]
     d = uni(spark, sf_dir)
-    parts = {"baseline_static": rules.static_rules(d), "baseline_siem": rules.siem_score(d), "baseline_raac_iforest": raac(spark, sf_dir), "afozt": scored(spark, sf_dir)}
+    parts = {"baseline_static": rules.static_rules(d), "baseline_siem": rules.siem_score(d), "baseline_raac_iforest": raac(spark, sf_dir), "unified": scored(spark, sf_dir)}
     out = None
     for name, part in parts.items():
         part = part.select(F.lit(name).alias("engine"), *keep)

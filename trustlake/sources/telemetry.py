@@ -66,7 +66,7 @@ def scan_rollout_kpis(spark: SparkSession, path: str) -> DataFrame:
 
 
 #: Seconds that an engine needs for an event.
-ENGINE_DELAY = {"baseline_static": 0.6, "baseline_siem": 1.5, "baseline_raac_iforest": 0.4, "baseline_per_cloud_brains": 0.55, "afozt": 0.2}
+ENGINE_DELAY = {"baseline_static": 0.6, "baseline_siem": 1.5, "baseline_raac_iforest": 0.4, "baseline_per_cloud_brains": 0.55, "unified": 0.2}
 
 
 def lookup(spark: SparkSession, values: dict, schema: str) -> DataFrame:
