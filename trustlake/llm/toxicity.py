@@ -145,7 +145,7 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
 
 def _fit(texts: list[tuple[int, str]], chosen: list[str], share: dict[int, float], rounds: int = 80, rate: float = 0.3, decay: float = 1e-3, window: int = 160) -> Field:
     column = {f: i for i, f in enumerate(chosen)}
-    docs = [(label, [[column[f] for f in features(t) if f in column] for t in tokens(text)]) for label, text in texts]
+    docs = [(label, [tuple(column[f] for f in features(t) if f in column) for t in tokens(text)]) for label, text in texts]
     # Training sequences: windows of a document's tokens.
     parts = [(label, d[a : a + window]) for label, d in docs for a in range(0, len(d), window)]
     seqs = [(label, s) for label, s in parts if any(s)]
