@@ -291,6 +291,18 @@ def test_compact_windows(texts, least):
                 assert len(held) == 1 and held[0][1] == x + int(order[x : y + 1].argmin())
 
 
+def test_shingle_hashes_tell_words_apart():
+    random.seed(1)
+    texts = [" ".join(random.choice("abcdefghij") for _ in range(random.randint(0, 60))) for _ in range(40)] + ["", " a  b\nc d\te "]
+    hashes, bounds = substring_dedup.shingles(texts, substring_dedup._Powers())
+    said = []
+    for t in texts:
+        words = t.split()
+        said += [tuple(words[i : i + 5]) for i in range(max(0, len(words) - 4))]
+    assert len(said) == len(hashes) == bounds[-1]
+    assert len(set(said)) == len(set(hashes.tolist())) == len(set(zip(said, hashes.tolist())))
+
+
 def test_pipeline(spark, sf_dir):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
