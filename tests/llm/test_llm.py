@@ -303,6 +303,19 @@ def test_shingle_hashes_tell_words_apart():
     assert len(set(said)) == len(set(hashes.tolist())) == len(set(zip(said, hashes.tolist())))
 
 
+def test_stretches_whatever_else_the_earlier_text_holds():
+    n = np.arange
+    copy = n(56)
+    phrase = np.concatenate((n(1000, 1040), [27], n(1100, 1140), copy, n(1200, 1220)))  # its 28th shingle stands earlier, too
+    assert substring_dedup.similar_stretches(np.concatenate((n(2000, 2030), copy, n(2100, 2130))), phrase, 46, 0.8) == [(30, 86)]
+    moved = np.concatenate((n(28), [1010], n(29, 56)))  # one shingle of the copy is one of another passage
+    assert substring_dedup.similar_stretches(moved, phrase, 46, 0.8) == [(0, 56)]
+    for own in (np.concatenate(([9001], n(1, 46))), np.concatenate((n(45), [9001]))):  # 50 words, the first or last differs
+        assert substring_dedup.similar_stretches(own, n(46), 46, 0.8) == [(0, 46)]
+    assert substring_dedup.similar_stretches(np.concatenate((n(40), n(9000, 9006))), n(46), 46, 0.8) == []
+    assert substring_dedup.similar_stretches(np.zeros(2000, int), np.zeros(2000, int), 46, 0.8) == [(0, 2000)]
+
+
 def test_pipeline(spark, sf_dir):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
