@@ -316,6 +316,25 @@ def test_stretches_whatever_else_the_earlier_text_holds():
     assert substring_dedup.similar_stretches(np.zeros(2000, int), np.zeros(2000, int), 46, 0.8) == [(0, 2000)]
 
 
+def test_passages_with_unlike_earlier_holders(spark):
+    rng = random.Random(5)
+    say = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    shared = say(60)
+    held = range(56)
+    rows = []  # each signature of the passage stands in unlike passages first: in a document without, one with several, and one with one region
+    for at in held:
+        phrase = shared[at : at + 5]
+        rows += [say(60) + phrase + say(60) for _ in range(40)]
+    other = [say(60) for _ in range(2)]
+    rows.append(other[0] + [w for at in held for w in say(30) + shared[at : at + 5]] + say(60) + other[1])
+    rows.append(other[0] + say(80) + [w for at in held for w in say(30) + shared[at : at + 5]] + say(30))
+    first = len(rows)
+    rows += [say(50) + other[1] + say(30) + shared + say(50), say(40) + shared + say(40), shared + say(90)]
+    out = {r.doc_id: r for r in substring_dedup.substring_dedup(table(spark, [(i, " ".join(t)) for i, t in enumerate(rows)])).collect()}
+    assert all(60 <= out[i]._removed <= 66 for i in (first, first + 1, first + 2)), {i: out[i]._removed for i in out}
+    assert all(out[i]._removed == 0 for i in range(first - 1))
+
+
 def test_pipeline(spark, sf_dir):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
