@@ -330,6 +330,13 @@ def shortest_path_nodes(spark, sf_dir):
     return graph.shortest_paths(e, starts, graph.sensitive_nodes(n).withColumnRenamed("node_id", "node"), 3).select("start", "hops")
 
 
+@query("shortest_path_nodes_6")
+def shortest_path_nodes_6(spark, sf_dir):
+    n, e = graph_tables(spark, sf_dir)
+    starts = n.filter("node_type = 'principal'").select(F.col("node_id").alias("node"))
+    return graph.shortest_paths(e, starts, graph.sensitive_nodes(n).withColumnRenamed("node_id", "node")).select("start", "hops")
+
+
 @query("cross_cloud_pivots", "SELECT src_id AS principal, array_to_string(list_sort(list(DISTINCT cloud_provider)), ';') AS clouds, count(DISTINCT CASE WHEN dst_id LIKE 'resource:%' THEN dst_id END) AS n_resources, count(DISTINCT CASE WHEN dst_id LIKE 'tenant:%' THEN dst_id END) AS n_tenants FROM edges WHERE edge_type IN ('accessed', 'connected-to') AND src_id LIKE 'principal:%' GROUP BY 1")
 def cross_cloud_pivots(spark, sf_dir):
     return graph.pivots(graph_tables(spark, sf_dir)[1]).withColumn("clouds", F.array_join("clouds", ";"))
@@ -799,23 +806,23 @@ def feature_matrix(spark, sf_dir):
 
 @query("iforest_fit")
 def iforest_fit(spark, sf_dir):
-    return models.iforest_fit(uni(spark, sf_dir), models.RAAC_FEATURES, 32).drop("group")
+    return models.iforest_fit(uni(spark, sf_dir), models.RAAC_FEATURES, 160).drop("group")
 
 
 @query("iforest_score")
 def iforest_score(spark, sf_dir):
     d = uni(spark, sf_dir)
-    return models.iforest_score(d, models.iforest_fit(d, models.RAAC_FEATURES, 32), models.RAAC_FEATURES).select("event_ord", "raw_anom")
+    return models.iforest_score(d, models.iforest_fit(d, models.RAAC_FEATURES, 160), models.RAAC_FEATURES).select("event_ord", "raw_anom")
 
 
 @query("raac_score")
 def raac_score(spark, sf_dir):
-    return models.raac_score(uni(spark, sf_dir), trees=32).select("event_ord", "s_anom", "risk", "confidence", "decision")
+    return models.raac_score(uni(spark, sf_dir)).select("event_ord", "s_anom", "risk", "confidence", "decision")
 
 
 @query("per_cloud_models")
 def per_cloud_models(spark, sf_dir):
-    return models.per_cloud_score(uni(spark, sf_dir), trees=32).select("event_ord", "percloud_provider", "percloud_model", "risk", "decision")
+    return models.per_cloud_score(uni(spark, sf_dir)).select("event_ord", "percloud_provider", "percloud_model", "risk", "decision")
 
 
 @query("supervised_fusion")
@@ -825,4 +832,4 @@ def supervised_fusion(spark, sf_dir):
 
 @query("unified_score")
 def unified_score(spark, sf_dir):
-    return models.unified_score(feats(spark, sf_dir), trees=32).select("event_ord", "s_anom", "s_rule", "s_graph", "risk", "confidence", "decision")
+    return models.unified_score(feats(spark, sf_dir)).select("event_ord", "s_anom", "s_rule", "s_graph", "risk", "confidence", "decision")
