@@ -26,3 +26,9 @@ def test_paths_of_six_hops(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(plans, "graph_tables", lambda *_: (nodes, edges))
     monkeypatch.setattr(plans.graph, "sensitive_nodes", lambda n: n.filter("node_id = 'n7'").select("node_id"))
     assert {r.start: r.hops for r in plans.QUERIES["shortest_path_nodes_6"](spark, sf_dir).collect()} == {f"n{i}": 7 - i for i in range(1, 7)}
+
+
+def test_all_non_allow_events(spark, sf_dir):
+    every = plans.QUERIES["static_decision"](spark, sf_dir).filter("decision <> 'allow'").select("event_ord").collect()
+    out = plans.QUERIES["filter_non_allow_all"](spark, sf_dir).collect()
+    assert sorted(r.event_ord for r in out) == sorted(r.event_ord for r in every) and max(r.event_ord for r in out) >= 500

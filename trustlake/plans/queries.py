@@ -221,6 +221,11 @@ def filter_non_allow(spark, sf_dir):
     return rules.static_rules(uni(spark, sf_dir)).filter("decision <> 'allow' AND event_ord < 500").select("event_ord", "decision")
 
 
+@query("filter_non_allow_all", "SELECT event_ord, decision FROM static WHERE decision <> 'allow'")
+def filter_non_allow_all(spark, sf_dir):
+    return rules.static_rules(uni(spark, sf_dir)).filter("decision <> 'allow'").select("event_ord", "decision")
+
+
 @query("filter_scope", "SELECT event_ord FROM uni WHERE lower(cloud_provider) = 'aws' AND tenant_id = 'aws-t1' AND region = 'aws-r2'")
 def filter_scope(spark, sf_dir):
     return uni(spark, sf_dir).filter("lower(cloud_provider) = 'aws' AND tenant_id = 'aws-t1' AND region = 'aws-r2'").select("event_ord")
