@@ -191,6 +191,13 @@ def test_simhash(spark, texts):
     assert simhash.simhash_components(table(spark, EMPTY)).count() == 0
 
 
+def test_simhash_keeps_unlike_rows_of_one_id(spark, texts):
+    long = [t for i, t in texts if i is not None and i < 25 and len(t.split()) > 60][:5]
+    rows = [(1, long[0]), (None, long[0]), (None, long[1]), (None, long[2]), (2, long[3]), (2, long[4]), (3, long[3])]
+    kept = simhash.simhash_dedup(table(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted((str(i), t) for i, t in [rows[0], *rows[2:6]])
+
+
 def test_vantage_trees_lose_no_link():
     rng = np.random.default_rng(2)
     centres = rng.integers(0, 2**63, 60, dtype=np.uint64)

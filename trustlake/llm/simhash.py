@@ -15,7 +15,7 @@ come from label propagation with pointer jumping, on Spark.
 Defined results: null text is empty; without words the fingerprint is zero and is linked like any other; fewer words than a shingle:
 the whole sequence is the shingle; component_id is the smallest doc_id in the component (null if all are null); repeated rows give
 repeated result rows; an empty table gives an empty result; other columns are ignored, and passed on by
-simhash_dedup but for _gone, _again and _nth.
+simhash_dedup but for _row.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import sized, small, staged, without
 
@@ -212,26 +212,29 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _of_fingerprints(found: DataFrame, max_bits: int) -> DataFrame:
+    """fp, grp (one value for each component) and first_id of the distinct fingerprints of `found`."""
+    points = staged(found.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    joined = components(links(points, max_bits))
+    return points.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("grp"), "first_id")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2) -> DataFrame:
     """doc_id, fp (signed long), component_id of each row."""
     found = staged(fingerprints(docs, id_col, text_col, words))
-    points = staged(found.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    joined = components(links(points, max_bits))
-    group = F.coalesce("label", "fp")
-    named = points.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", group.alias("grp"), "first_id")
+    named = _of_fingerprints(found, max_bits)
     ids = named.groupBy("grp").agg(F.min("first_id").alias("component_id"))
     of_fp = named.join(ids, "grp").select("fp", "component_id")
     return found.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2) -> DataFrame:
-    """docs with one row of each component: that of the smallest id (of repeated rows with that id, one by its digest and place)."""
-    docs = without(docs, "_gone", "_again", "_nth")
-    marks = staged(simhash_components(docs, id_col, text_col, words, max_bits))
-    losers = sized(staged(marks.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()), 8)
-    repeats = sized(staged(marks.groupBy(F.col("doc_id").alias("_again")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_again")), 8)
-    kept = docs.join(losers, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
-    once = kept.join(repeats, F.col(id_col).eqNullSafe(F.col("_again")), "left_anti")
-    again = kept.join(repeats, F.col(id_col).eqNullSafe(F.col("_again")), "left_semi")
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(F.col(text_col)), F.monotonically_increasing_id())
-    return once.unionByName(again.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth"))
+    """docs with one row of each component: that of the smallest id (null last), of rows with that id one by its digest and number.  Rows
+    are told apart by a number, so unlike rows that share an id, or have none, are decided each by itself."""
+    docs = without(docs, "_row")
+    docs = staged(docs.withColumn("_row", F.monotonically_increasing_id()))
+    place = docs.select(F.col("_row").alias("doc_id"), F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col("_row").alias("nth")).alias("place"))
+    found = staged(fingerprints(docs, "_row", text_col, words))
+    named = _of_fingerprints(found, max_bits).select("fp", "grp")
+    kept = found.join(place, "doc_id").join(named, "fp").groupBy("grp").agg(F.min("place").alias("p")).select(F.col("p.nth").alias("_row"))
+    return docs.join(sized(staged(kept), 8), "_row", "left_semi").drop("_row").select(*[c for c in docs.columns if c != "_row"])
