@@ -29,7 +29,7 @@ def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = line_dedup(docs.select(*COLUMNS))
-    emptied = (F.col("_exact") + F.col("_near") > 0) & (F.trim("text") == "")
+    emptied = (F.col("_exact") + F.col("_near") > 0) & F.col("text").rlike(r"\A\s*\z")
     return _counted(out.filter(~emptied))
 
 

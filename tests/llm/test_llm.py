@@ -342,6 +342,13 @@ def test_passages_with_unlike_earlier_holders(spark):
     assert all(out[i]._removed == 0 for i in range(first - 1))
 
 
+def test_pipeline_drops_copies_of_paragraphs(spark, sf_dir):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    text = "a first paragraph of some words\n\n\ta second one, also of words\n"
+    docs = spark.createDataFrame([(1, text, "en", "s", len(text)), (2, text, "en", "s", len(text)), (3, "\n\n", "en", "s", 2)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in dict(pipeline.STAGES)["line_dedup"](spark, docs, sf_dir).collect()) == [1, 3]
+
+
 def test_pipeline(spark, sf_dir):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
