@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-#: Sides of a join up to this many bytes (rows times an assumed width) are broadcast; larger ones are shuffled.
+#: Sides of a join up to this many bytes (as counted by `sized`) are broadcast; larger ones are shuffled.
 BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a new one, in local mode only."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-shared-"))
     return sc.getCheckpointDir()
 
 
@@ -29,9 +34,25 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized(table: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """table (staged, so counting is cheap) marked for broadcast if its rows fit in limit, unmarked (shuffle join) beyond."""
-    return F.broadcast(table) if table.count() * row_bytes <= limit else table
+def _bytes_of(value: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes in a broadcast table."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 8
+    if isinstance(kind, T.StructType):
+        return sum((_bytes_of(value[f.name], f.dataType) for f in kind.fields), F.lit(8).cast("long"))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.ArrayType)):
+            return F.coalesce(F.aggregate(value, F.lit(16).cast("long"), lambda n, x: n + _bytes_of(x, kind.elementType)), F.lit(8).cast("long"))
+        return F.coalesce(F.greatest(F.size(value), F.lit(0)), F.lit(0)).cast("long") * 8 + 16
+    return F.lit(8).cast("long")
+
+
+def sized(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """table (staged, so counting is cheap) marked for broadcast if all its values take at most limit bytes, unmarked (shuffle join)
+    beyond."""
+    row = sum((_bytes_of(F.col(f.name), f.dataType) for f in table.schema.fields), F.lit(16).cast("long"))
+    total = table.agg(F.sum(row)).first()[0] or 0
+    return F.broadcast(table) if total <= limit else table
 
 
 def whole_text(column="text"):
@@ -43,10 +64,27 @@ def without(docs: DataFrame, *names: str) -> DataFrame:
     return docs.drop(*[c for c in docs.columns if c.lower() in names])
 
 
+def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(the bytes of all strings of a column without nulls, one after another; where each begins, and their end), uncopied."""
+    wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, places, held = column.buffers()
+    bounds = np.frombuffer(places, wide)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(held, np.uint8)[bounds[0] : bounds[-1]] if held is not None and bounds[-1] > bounds[0] else np.empty(0, np.uint8)
+    return data, bounds - bounds[0]
+
+
+def give_back() -> None:
+    """Free memory goes back to the system, as Python workers are used again by other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of so many rows at most, so that a task's Python objects are of few texts at a time; memory that Arrow
-    keeps for later is given back at the end, as workers are used again by other tasks."""
+    """The batches in slices of so many rows at most, so that a task's Python objects are of few texts at a time; at the end, free
+    memory is given back."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
-    pa.default_memory_pool().release_unused()
+    give_back()

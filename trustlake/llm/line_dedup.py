@@ -72,7 +72,7 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     candidates = staged(spread.join(shared, "key").groupBy("lh").agg(F.min(place).alias("first"), F.collect_set("key").alias("hits")))
     per_doc = staged(candidates.groupBy(F.col("first.th").alias("wanted_th")).agg(F.collect_list(F.struct("lh", "first", "hits")).alias("wanted")))
     texts = staged(
-        source.join(sized(per_doc, 600), F.col("th") == F.col("wanted_th")).select(F.split("text", "\n", -1).alias("all"), F.explode("wanted").alias("w"))
+        source.join(sized(per_doc), F.col("th") == F.col("wanted_th")).select(F.split("text", "\n", -1).alias("all"), F.explode("wanted").alias("w"))
         .select("w.lh", "w.first", "w.hits", F.trim(F.get("all", F.col("w.first.line_no"))).alias("line"))
         .dropDuplicates(["lh"])
     )
@@ -95,7 +95,7 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .filter(F.levenshtein("line", "to_line", max_edits).between(0, max_edits))
         .groupBy("lh").agg(F.min("to").alias("to"))
     )
-    near = base.select("doc_id", "th", "line_no", "lh").join(sized(staged(checked), 56), "lh").select("doc_id", "th", "line_no", F.lit("near").alias("reason"), "to")
+    near = base.select("doc_id", "th", "line_no", "lh").join(sized(staged(checked)), "lh").select("doc_id", "th", "line_no", F.lit("near").alias("reason"), "to")
     # A later copy of a near line is both: it counts as exact.
     both = exact.unionByName(near).groupBy("doc_id", "th", "line_no").agg(F.min(F.struct("reason", "to")).alias("r"))
     return both.select("doc_id", "th", "line_no", "r.reason", F.col("r.to.doc_id").alias("keep_id"), F.col("r.to.line_no").alias("keep_line"))
@@ -107,7 +107,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = line_decisions(docs, id_col, text_col, max_edits, min_chars).groupBy("doc_id", "th").agg(
         F.collect_list("line_no").alias("_gone"), F.count_if(F.col("reason") == "exact").alias("_exact"), F.count_if(F.col("reason") == "near").alias("_near")
     )
-    gone = sized(staged(gone.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_gone", "_exact", "_near")), 96)
+    gone = sized(staged(gone.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_gone", "_exact", "_near")))
     text = whole_text(text_col)
     joined = docs.join(gone, (F.xxhash64(text) == F.col("_th")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
     lines = F.split(text, "\n", -1)

@@ -1,13 +1,16 @@
-"""What the searches for repeated passages share: sliding minima, and a bitmap of keys that occur in more than one document.
+"""What the searches for repeated passages share: hashes of stretches, sliding minima, copies of whole texts, and a bitmap of keys that
+occur in more than one document.
 
-The bitmap has a fixed size whatever the corpus: it only spares rows whose key is certainly unrepeated a shuffle, so where a larger
-corpus fills it, more rows are shuffled and results stay the same."""
+The bitmap has a fixed size whatever the corpus: it only spares rows whose key is certainly unrepeated a shuffle.  Where a larger
+corpus would fill it, the rows are joined with the keys instead; results are the same."""
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from .common import sized, staged
+
 #: Bits of the bitmap (a power of two): 2 ** 27 are 16 MB.
 BITMAP_BITS = 27
 _BUCKET = 4096 * 8  # bits of a row of bitmap_construct_agg
@@ -40,6 +43,41 @@ def runs_hash(values: np.ndarray, width: int, base: int = 0x9E3779B97F4A7C15) ->
         size *= 2
 
 
+class Rolling:
+    """Polynomial hashes (modulo 2 ** 64) of stretches of bytes, from running sums, so that no stretch is touched by itself.  A byte's
+    value is the byte and 1, or one of a table that `seed` draws."""
+
+    def __init__(self, base: int, seed: int | None = None):
+        self.base, self.symbol = base, None if seed is None else mix(np.arange(256, dtype=np.uint64) + np.uint64(seed))
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def sums(self, data: np.ndarray) -> np.ndarray:
+        n = len(data)
+        if len(self.up) <= n:
+            size = 1 << n.bit_length()
+            self.up, self.down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, b, np.uint64))), dtype=np.uint64) for b in (self.base, pow(self.base, -1, 1 << 64)))
+        if self.symbol is None:
+            values = data.astype(np.uint64)
+            values += np.uint64(1)
+        else:
+            values = self.symbol[data]
+        values *= self.up[:n]
+        out = np.zeros(n + 1, np.uint64)
+        np.cumsum(values, out=out[1:])
+        return out
+
+    def of(self, sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((sums[end] - sums[begin]) * self.down[begin] + (end - begin).astype(np.uint64))
+
+    def all(self, sums: np.ndarray, width: int) -> np.ndarray:
+        """Of every run of `width` bytes; the upper bits are the better mixed ones."""
+        out = sums[width:] - sums[:-width] if len(sums) > width else sums[:0].copy()
+        out *= self.down[: len(out)]
+        out ^= out >> np.uint64(32)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        return out
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every run of `width` values, by doubling."""
     if len(values) < width:
@@ -51,10 +89,24 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(m) - (width - size)], m[width - size :]) if size < width else m
 
 
+def copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows without copies; doc_id, th of the copies).  rows: doc_id, text, th (64-bit digest, which only tells rows of one doc_id apart).
+    A copy has the text (by its SHA-256) of a row with a smaller doc_id, so all that it holds stands there, too."""
+    digests = staged(rows.select("doc_id", "th", F.sha2("text", 256).alias("sha")))
+    heads = staged(digests.groupBy("sha").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).filter("head <> last").select("sha", "head"))
+    copied = staged(digests.join(sized(heads), "sha").filter("doc_id > head").select("doc_id", "th").distinct())
+    return rows.join(sized(copied), ["doc_id", "th"], "left_anti"), copied
+
+
 def repeated(keys: DataFrame) -> DataFrame:
-    """key, first (smallest doc_id) of the keys that occur with more than one doc_id; a hot key is one row per task when shuffled."""
+    """The keys that occur with more than one doc_id (column key); a hot key is one row per task when shuffled."""
     found = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    return found.filter("first <> last").select("key", "first")
+    return found.filter("first <> last").select("key")
+
+
+def fits_bitmap(keys: DataFrame) -> bool:
+    """Whether so few keys (staged) are set that the bitmap spares most rows; else, an exact join has to."""
+    return keys.count() <= 1 << (BITMAP_BITS - 2)
 
 
 def bitmap(keys: DataFrame) -> np.ndarray:

@@ -237,4 +237,4 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = staged(fingerprints(docs, "_row", text_col, words))
     named = _of_fingerprints(found, max_bits).select("fp", "grp")
     kept = found.join(place, "doc_id").join(named, "fp").groupBy("grp").agg(F.min("place").alias("p")).select(F.col("p.nth").alias("_row"))
-    return docs.join(sized(staged(kept), 8), "_row", "left_semi").drop("_row").select(*[c for c in docs.columns if c != "_row"])
+    return docs.join(sized(staged(kept)), "_row", "left_semi").drop("_row").select(*[c for c in docs.columns if c != "_row"])

@@ -280,7 +280,7 @@ def _spans(text: str, odds: np.ndarray) -> list[dict]:
 
 def learn_from(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, parts: int, held_out: int) -> Field | None:
     marks = labels.filter(F.col(label_col).isNotNull() & (fold(id_col, parts) != held_out)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
-    train = docs.select(id_col, text_col).join(sized(staged(marks), 16), F.col(id_col) == F.col("_id"))
+    train = docs.select(id_col, text_col).join(sized(staged(marks)), F.col(id_col) == F.col("_id"))
     return learn(train.select(F.col(text_col).alias("text"), F.col("_label").alias("label")), "text", "label")
 
 
