@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from .common import small
+from .common import give_back, small
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -109,6 +109,11 @@ class Fragments:
         # Lower case first where that cannot matter (the normaliser lower-cases after composing): fewer distinct fragments.
         return self.pattern.findall(text.lower() if self.lowers and not _OTHER.search(text) else text)
 
+    def free(self) -> None:
+        """Forgets the fragments of a task that ends, as its worker may stay for other work."""
+        self.known.clear()
+        give_back()
+
     def encode(self, texts: list[str], value: Callable[[list[int], Callable[[], list[str]]], object]) -> Iterator[list]:
         """For each text, value(ids, function that gives the tokens) of each of its fragments; value must be the same at each call of
         one object."""
@@ -160,6 +165,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             for i, j in slices(texts):
                 ids = [[x for part in parts for x in part] for parts in cutter.encode(texts[i:j], lambda ids, _: ids)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        cutter.free()
 
     return _rows(docs, id_col, text_col).mapInArrow(run, _kind(docs, id_col, "ids array<int>"))
 
@@ -196,6 +202,7 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     ids.append(hashlib.sha256(b" ".join([p[1] for p in parts])).hexdigest())
                     decoded.append(hashlib.sha256(b" ".join([p[2] for p in parts])).hexdigest())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        cutter.free()
 
     return _rows(docs, id_col, text_col).mapInArrow(run, _kind(docs, id_col, "n_tokens long, ids_sha256 string, decoded_sha256 string"))
 

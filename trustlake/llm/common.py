@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 #: Sides of a join up to this many bytes (as counted by `sized`) are broadcast; larger ones are shuffled.
 BROADCAST_BYTES = 16 << 20
@@ -64,6 +64,15 @@ def without(docs: DataFrame, *names: str) -> DataFrame:
     return docs.drop(*[c for c in docs.columns if c.lower() in names])
 
 
+def sampled(rows: DataFrame, by: str, n: int, salt: int) -> DataFrame:
+    """by, text, h, copies: for each value of column `by` the n distinct texts (column text, no nulls) with the smallest hashes h, whatever
+    number of rows (copies) each has.  Only hashes are shuffled before the texts are fetched."""
+    hashed = rows.select(F.col(by).alias("by"), "text", F.xxhash64("text", F.lit(salt)).alias("h"))
+    nth = F.row_number().over(Window.partitionBy("by").orderBy("h"))
+    least = staged(hashed.groupBy("by", "h").agg(F.count(F.lit(1)).alias("copies")).withColumn("nth", nth).filter(F.col("nth") <= n).drop("nth"))
+    return hashed.join(sized(least), ["by", "h"]).groupBy("by", "h").agg(F.min("text").alias("text"), F.first("copies").alias("copies"))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(the bytes of all strings of a column without nulls, one after another; where each begins, and their end), uncopied."""
     wide = np.int64 if pa.types.is_large_string(column.type) else np.int32

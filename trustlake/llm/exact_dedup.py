@@ -6,7 +6,8 @@ broadcast: their documents are settled on the map side and never shuffled.  All
 error bound, so an ordinary shuffle on the digest has no hot key left.
 
 Defined results: a null text counts as empty (and all empty texts are equal); a null doc_id loses ties; fully repeated rows count
-as rows of their own, of which exactly one stays; an empty table gives an empty result; other columns are ignored.
+as rows of their own, of which exactly one stays; ids may be of any type that has an order; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,19 +35,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = staged(
         docs.select(F.col(id_col).alias("doc_id"), F.sha2(normalised(text), 256).alias("text_sha256"), F.length(text).alias("_n"), F.monotonically_increasing_id().alias("_row"))
     )
-    # The largest struct wins: most code points, then smallest id (null last), then first row.
-    best = F.max(F.struct("_n", (-F.col("doc_id")).alias("_neg"), (-F.col("_row")).alias("_neg_row"))).alias("_best")
+    # The least struct wins: most code points, then smallest id (null last), then first row.
+    best = F.min(F.struct((-F.col("_n")).alias("_neg"), F.col("doc_id").isNull().alias("_none"), "doc_id", "_row")).alias("_best")
     total = F.count(F.lit(1)).alias("group_size")
     rows = base.count()
     suspects = base.agg(F.expr(f"approx_top_k(text_sha256, {max_heavy}, {tracked})").alias("k")).select(F.explode("k").alias("s")).select(F.col("s.item").alias("text_sha256"))
     # A digest that is not among the suspects has at most about rows / tracked rows; lighter suspects take the ordinary way as well.
+    # The winners are written once, as a sketch that is merged in another order may name others: both branches have to see the same.
     heavy = F.broadcast(
-        base.join(F.broadcast(suspects), "text_sha256", "left_semi").groupBy("text_sha256").agg(total, best).filter(F.col("group_size") > max(2, rows // tracked)).limit(max_heavy)
+        staged(base.join(F.broadcast(suspects), "text_sha256", "left_semi").groupBy("text_sha256").agg(total, best).filter(F.col("group_size") > max(2, rows // tracked)).limit(max_heavy))
     )
-    marked = base.join(heavy, "text_sha256", "left")
-    frequent = marked.filter(F.col("group_size").isNotNull())
+    frequent = base.join(heavy, "text_sha256")
     rest = base.join(heavy, "text_sha256", "left_anti")
     rest = rest.join(rest.groupBy("text_sha256").agg(total, best), "text_sha256")
-    return frequent.unionByName(rest).select(
-        "doc_id", (-F.col("_best._neg")).alias("keep_id"), "group_size", (F.col("_row") == -F.col("_best._neg_row")).alias("kept"), "text_sha256"
-    )
+    return frequent.unionByName(rest).select("doc_id", F.col("_best.doc_id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_best._row")).alias("kept"), "text_sha256")

@@ -5,8 +5,9 @@ encoded with every dictionary (in blocks, so that all of a long text meets the d
 language whose encoding is the smallest; where the margin to the second is narrow, `rejected` is set.
 
 Defined results: `und` with score 0 for a null text or one without a letter, and for every text if nothing could be learned; ties go to
-the language with the most labelled rows, then to the code that sorts first; repeated rows give repeated result rows; an empty table gives an empty result; other columns are
-never inputs of a prediction.
+the language with the most labelled rows, then to the code that sorts first; repeated training rows count once; repeated rows give
+repeated result rows; texts of any length are encoded whole, in blocks; an empty table gives an empty result; other columns are never
+inputs of a prediction.
 """
 
 from __future__ import annotations
@@ -17,29 +18,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import small
+from .common import sampled, small
 
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def learn_dictionaries(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = 96, dict_bytes: int = 32_000) -> dict[str, bytes]:
-    """language -> dictionary (lower-cased, as texts are before encoding), the most frequent language first.  Of each language, about per_lang texts (those with the smallest hashes) are fetched, and at most
-    dict_bytes of them kept, an equal share of each; the number of languages is that of the label's values."""
-    rows = labelled.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    # A threshold on the hash keeps the sort below small: about 2 x per_lang rows of each language pass.
-    counts = F.broadcast(rows.groupBy("lang").count())
-    unit = (F.xxhash64("text", F.lit(3)).cast("double") / 2.0**64) + 0.5
-    few = rows.join(counts, "lang").withColumn("u", unit).filter(F.col("u") * F.col("count") <= 2 * per_lang + 16)
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("u", "text"))
+def learn_dictionaries(
+    labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = 96, dict_bytes: int = 32_000, least_rows: int = 1
+) -> dict[str, bytes]:
+    """language -> dictionary (lower-cased, as texts are before encoding), the most frequent language first.
+
+    The fit is on a bounded sample: of each language the per_lang distinct texts with the smallest hashes (repeated rows count once), and
+    of each of these a stretch of dict_bytes // per_lang code points, from a place that its hash gives; at most dict_bytes are kept.
+    Every language with least_rows labelled rows and a text that is not empty is learned."""
+    rows = labelled.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().filter(F.col("count") >= least_rows).collect()}
     share = max(1, dict_bytes // per_lang)
-    # Of a longer text, a stretch of the share's size from a place that its hash gives.
     place = F.floor(F.pmod(F.xxhash64("text", F.lit(5)), F.greatest(F.lit(1), F.length("text") - share + 1))).cast("int") + 1
-    found = few.withColumn("n", nth).filter(F.col("n") <= per_lang).select("lang", "n", "count", F.substring("text", place, F.lit(share)).alias("text")).collect()
+    found = sampled(rows, "lang", per_lang, 3).select("by", "h", F.substring("text", place, F.lit(share)).alias("text")).collect()
     out: dict[str, bytes] = {}
-    for lang in sorted({r["lang"] for r in found}, key=lambda k: (-next(r["count"] for r in found if r["lang"] == k), k)):
-        texts = [r["text"] for r in sorted((r for r in found if r["lang"] == lang), key=lambda r: -r["n"])]
+    for lang in sorted(counts, key=lambda k: (-counts[k], k)):
+        texts = [r["text"] for r in sorted((r for r in found if r["by"] == lang), key=lambda r: -r["h"])]
         out[lang] = "\n".join(texts).lower().encode()[-dict_bytes:]
     return out
 

@@ -61,15 +61,17 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("th").alias("th"), F.col("line_no").alias("line_no"))
     lines = lines.select("doc_id", "th", "line_no", "line", F.length("line").alias("n")).filter(F.col("n") >= min_chars)
     keys = F.transform(_all_pieces(F.col("line"), F.col("n")), lambda p: p["key"]) if max_edits else F.array().cast("array<bigint>")
-    base = staged(lines.select("doc_id", "th", "line_no", F.xxhash64("line", "n").alias("lh"), keys.alias("keys")))
-    first = base.groupBy("lh").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    exact = base.join(first.filter("n > 1"), "lh").filter(place > F.col("first")).select("doc_id", "th", "line_no", F.lit("exact").alias("reason"), F.col("first").alias("to"))
+    # A line is known by two independent hashes.
+    base = staged(lines.select("doc_id", "th", "line_no", F.xxhash64("line", "n").alias("lh"), F.xxhash64(F.lit(7), "line").alias("lh2"), keys.alias("keys")))
+    first = staged(base.groupBy("lh", "lh2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    exact = base.join(sized(first), ["lh", "lh2"]).filter(place > F.col("first")).select("doc_id", "th", "line_no", F.lit("exact").alias("reason"), F.col("first").alias("to"))
     if not max_edits:
         return exact.distinct().select("doc_id", "th", "line_no", "reason", F.col("to.doc_id").alias("keep_id"), F.col("to.line_no").alias("keep_line"))
 
-    spread = base.select("doc_id", "th", "line_no", "lh", F.explode("keys").alias("key"))
+    spread = base.select("doc_id", "th", "line_no", "lh", "lh2", F.explode("keys").alias("key"))
     shared = spread.groupBy("key").agg(F.min("lh").alias("a"), F.max("lh").alias("z")).filter("a <> z").select("key")
-    candidates = staged(spread.join(shared, "key").groupBy("lh").agg(F.min(place).alias("first"), F.collect_set("key").alias("hits")))
+    candidates = spread.join(shared, "key").groupBy("lh", "lh2").agg(F.min(place).alias("first"), F.collect_set("key").alias("hits"))
+    candidates = staged(candidates.select(F.struct("lh", "lh2").alias("lh"), "first", "hits"))
     per_doc = staged(candidates.groupBy(F.col("first.th").alias("wanted_th")).agg(F.collect_list(F.struct("lh", "first", "hits")).alias("wanted")))
     texts = staged(
         source.join(sized(per_doc), F.col("th") == F.col("wanted_th")).select(F.split("text", "\n", -1).alias("all"), F.explode("wanted").alias("w"))
@@ -95,7 +97,8 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .filter(F.levenshtein("line", "to_line", max_edits).between(0, max_edits))
         .groupBy("lh").agg(F.min("to").alias("to"))
     )
-    near = base.select("doc_id", "th", "line_no", "lh").join(sized(staged(checked)), "lh").select("doc_id", "th", "line_no", F.lit("near").alias("reason"), "to")
+    checked = staged(checked.select("lh.lh", "lh.lh2", "to"))
+    near = base.select("doc_id", "th", "line_no", "lh", "lh2").join(sized(checked), ["lh", "lh2"]).select("doc_id", "th", "line_no", F.lit("near").alias("reason"), "to")
     # A later copy of a near line is both: it counts as exact.
     both = exact.unionByName(near).groupBy("doc_id", "th", "line_no").agg(F.min(F.struct("reason", "to")).alias("r"))
     return both.select("doc_id", "th", "line_no", "r.reason", F.col("r.to.doc_id").alias("keep_id"), F.col("r.to.line_no").alias("keep_line"))

@@ -136,6 +136,7 @@ def pack(
                     for window in packer.place(doc, 0, tokens, len(tokens) // 4):
                         rows.add(window)
                 yield rows.batch()
+        cutter.free()
         for _, pieces in packer.open:
             rows.add(pieces, True)
         yield rows.batch()

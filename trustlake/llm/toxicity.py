@@ -2,15 +2,15 @@
 
 Tokens are runs of word characters, lower-cased.  The labels are of documents, so token labels are derived: over all training rows it is
 counted in how many toxic and how many clean documents a word (or a word's prefix of 4, 5 or 6 characters) occurs; those much more
-frequent in toxic documents are the field's features (at most `max_features`), and a token of a toxic document that has one is labelled
-toxic.  The field has two states, a weight per feature, a bias and four transitions; it is trained on a bounded sample (at most
-`sample` documents of each label) by gradient steps on the conditional likelihood, with forward-backward in log odds.  Its marginals
-give, per document, the largest marginal, the expected number of toxic tokens and the number of tokens; a logistic curve, fitted on the same sample, makes
-them a score.  Spans are runs of tokens with a marginal of at least one half.
+frequent in toxic documents are the field's features, and a token of a toxic document that has one is labelled toxic.  The field has two
+states, a weight per feature, a bias and two transitions (into the toxic state); it is trained on a bounded sample by gradient steps on
+the conditional likelihood, with forward-backward in log odds.  Its marginals give, per document, the largest marginal, the expected
+number of toxic tokens and the number of tokens; a logistic curve, fitted on the same sample, makes them a score.  Spans are runs of
+tokens with a marginal of at least one half.
 
 Defined results: a null or empty text, or one without tokens, scores as the curve does with no toxic token; without training rows of
-both labels every score is 0; rows with a null label are not trained on; repeated rows give repeated result rows; an empty table gives
-an empty result; other columns are never inputs of a score.
+both labels every score is 0; rows with a null label are not trained on; repeated training rows are one text
+of that weight; repeated rows give repeated result rows; texts of any length are scored whole; an empty table gives an empty result; other columns are never inputs of a score.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import sized, small, staged, without
+from .common import sampled, sized, small, staged, without
 from .language_id import fold
 
 _TOKEN = re.compile(r"\w+")
@@ -53,8 +53,9 @@ class Field:
         return sum(self.weights.get(f, 0.0) for f in features(token))
 
 
-def marginals(emissions: np.ndarray, lengths: np.ndarray, bias: float, stay: float, enter: float) -> np.ndarray:
-    """Log odds of the toxic state at each place.  emissions: [sequences, longest], lengths: tokens of each sequence.
+def messages(emissions: np.ndarray, lengths: np.ndarray, bias: float, stay: float, enter: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(forward, backward, own) log odds of the toxic state at each place.  emissions: [sequences, longest], lengths: tokens of each
+    sequence.
 
     A message is the log odds m of toxic against clean; past a transition it becomes log((e^m e^stay + e^enter) / (e^m + 1)): toxic
     after toxic weighs stay, toxic after clean enter, clean 0.  Backwards the transition's other side is summed out."""
@@ -68,7 +69,28 @@ def marginals(emissions: np.ndarray, lengths: np.ndarray, bias: float, stay: flo
         m = back[:, t + 1] + own[:, t + 1]
         step = np.logaddexp(m + stay, 0) - np.logaddexp(m + enter, 0)
         back[:, t] = np.where(t + 1 < lengths, step, 0)
-    return ahead + back + own
+    return ahead, back, own
+
+
+def marginals(emissions: np.ndarray, lengths: np.ndarray, bias: float, stay: float, enter: float) -> np.ndarray:
+    """Log odds of the toxic state at each place."""
+    return sum(messages(emissions, lengths, bias, stay, enter))
+
+
+def gradients(emissions: np.ndarray, lengths: np.ndarray, truth: np.ndarray, stands: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the conditional log likelihood of the labels `truth`, each sequence weighed by `stands`: by each emission, and by (bias, stay,
+    enter).  Transitions are counted by pairwise marginals."""
+    real = np.arange(emissions.shape[1])[None, :] < lengths[:, None]
+    ahead, back, own = messages(emissions, lengths, *shared)
+    error = (truth - 1 / (1 + np.exp(-np.clip(ahead + back + own, -50, 50)))) * real * stands[:, None]
+    # The four states of two neighbours, as log weights against clean after clean.
+    m, w = (ahead + own)[:, :-1], (back + own)[:, 1:]
+    toxic_toxic, clean_toxic = m + w + shared[1], w + shared[2]
+    total = np.logaddexp(np.logaddexp(toxic_toxic, clean_toxic), np.logaddexp(m, 0))
+    both = real[:, 1:] * stands[:, None]
+    stay = (truth[:, :-1] * truth[:, 1:] - np.exp(toxic_toxic - total)) * both
+    enter = ((1 - truth[:, :-1]) * truth[:, 1:] - np.exp(clean_toxic - total)) * both
+    return error, np.array([error.sum(), stay.sum(), enter.sum()])
 
 
 def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -118,72 +140,80 @@ def _counts(rows: DataFrame, known: list[str] | None) -> DataFrame:
     return rows.select("text").mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
-def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", max_features: int = 4000, sample: int = 1000, odds: float = 1.5) -> Field | None:
-    """The field, from rows with a text and a label of 0 or 1; None without both labels."""
+def learn(
+    labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", max_features: int = 4000, sample: int = 1000, odds: float = 1.5, least_docs: int = 2, least_weight: float = 0.1
+) -> Field | None:
+    """The field, from rows with a text and a label of 0 or 1; None without both labels.
+
+    Features are counted over all rows: those in at least least_docs toxic ones whose log odds, less two standard errors, reach `odds`
+    are ranked by these, and the first max_features taken.  The field is fitted on a bounded sample: of each label the `sample` distinct
+    texts with the smallest hashes, each weighed by its rows.  Features whose fitted weight is below least_weight are left out of it."""
     rows = labelled.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
-    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    sizes = {r["label"]: r["count"] for r in rows.filter("label IN (0, 1)").groupBy("label").count().collect()}
     toxic_n, clean_n = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic_n or not clean_n:
         return None
-    least = max(2, toxic_n // 1000)
-    toxic = _counts(rows.filter("label = 1"), None).filter(F.col("n") >= least)
-    toxic = {r["feature"]: r["n"] for r in toxic.orderBy(F.desc("n"), "feature").limit(16 * max_features).collect()}
-    clean = {r["feature"]: r["n"] for r in _counts(rows.filter("label = 0"), list(toxic)).collect()}
     # Log odds less two standard errors, so a rare word must be rarer still among clean documents.
-    odds_of = lambda t, c: np.log((t + 0.5) / (toxic_n + 1)) - np.log((c + 0.5) / (clean_n + 1)) - 2 * np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
-    log_odds = {f: odds_of(n, clean.get(f, 0)) for f, n in toxic.items()}
-    chosen = sorted((f for f in log_odds if log_odds[f] >= odds), key=lambda f: (-log_odds[f], f))[:max_features]
-    texts = []
-    unit = (F.xxhash64("text", F.lit(11)).cast("double") / 2.0**64) + 0.5
-    for label, n in ((1, toxic_n), (0, clean_n)):
-        few = rows.filter(F.col("label") == label).withColumn("u", unit).filter(F.col("u") * n <= 2 * sample + 16)
-        texts += [(label, r["text"]) for r in few.orderBy("u", "text").limit(sample).collect()]
-    # The sample is balanced, the rows are not: each document stands for as many as its label has rows for each one sampled.
-    share = {label: n / max(1, sum(l == label for l, _ in texts)) for label, n in sizes.items()}
-    return _fit(texts, chosen, {label: w * 2 / (share[0] + share[1]) for label, w in share.items()})
-
-
-def _fit(texts: list[tuple[int, str]], chosen: list[str], share: dict[int, float], rounds: int = 80, rate: float = 0.3, decay: float = 1e-3, window: int = 160) -> Field:
+    score = lambda t, c: F.log((t + 0.5) / (toxic_n + 1)) - F.log((c + 0.5) / (clean_n + 1)) - 2 * F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+    t, c = F.col("n"), F.coalesce(F.col("c"), F.lit(0))
+    toxic = staged(_counts(rows.filter("label = 1"), None).filter((t >= least_docs) & (score(t, F.lit(0)) >= odds)))
+    # Only spares rows a shuffle where few features are left: the join decides.
+    few = [r["feature"] for r in toxic.select("feature").collect()] if toxic.count() <= 100_000 else None
+    clean = _counts(rows.filter("label = 0"), few).select("feature", F.col("n").alias("c"))
+    ranked = toxic.join(clean, "feature", "left").select("feature", score(t, c).alias("score")).filter(F.col("score") >= odds)
+    chosen = [r["feature"] for r in ranked.orderBy(F.desc("score"), "feature").limit(max_features).collect()]
+    found = sampled(rows.filter("label IN (0, 1)"), "label", sample, 11).collect()
+    texts = sorted((r["by"], r["h"], r["text"], r["copies"]) for r in found)
+    # A sampled text stands for as many rows as its label has for each row of the sampled ones.
+    share = {label: n / sum(k for l, _, _, k in texts if l == label) for label, n in sizes.items()}
+    weights = np.array([share[label] * k for label, _, _, k in texts])
+    return _fit([(label, text) for label, _, text, _ in texts], chosen, weights / weights.mean(), least_weight)
+
+
+def _fit(texts: list[tuple[int, str]], chosen: list[str], weight: np.ndarray, least_weight: float, rounds: int = 80, rate: float = 0.3, decay: float = 1e-3, window: int = 160) -> Field:
+    """weight: of each text.  Training sequences are windows of a text's tokens, all of them: those without features, in which nothing
+    tells one from another, count once for each length, with the sum of their weights."""
     column = {f: i for i, f in enumerate(chosen)}
     docs = [(label, [tuple(column[f] for f in features(t) if f in column) for t in tokens(text)]) for label, text in texts]
-    # Training sequences: windows of a document's tokens.
-    parts = [(label, d[a : a + window]) for label, d in docs for a in range(0, len(d), window)]
-    seqs = [(label, s) for label, s in parts if any(s)]
-    seqs += [p for p in parts if not any(p[1])][: len(seqs) // 2 + 100]
+    seqs, stands, plain = [], [], Counter()
+    for (label, d), own in zip(docs, weight.tolist()):
+        for a in range(0, len(d), window):
+            part = d[a : a + window]
+            if any(part):
+                seqs.append((label, part))
+                stands.append(own)
+            else:
+                plain[len(part)] += own
     if not seqs:
         return Field({})
+    count = len(seqs)
+    for n, own in sorted(plain.items()):
+        seqs.append((0, [()] * n))
+        stands.append(own)
     where = [(i, t, f) for i, (_, s) in enumerate(seqs) for t, own in enumerate(s) for f in own]
-    seq, place, feat = (np.array(x, np.int64) for x in zip(*where)) if where else (np.empty(0, np.int64),) * 3
-    lengths = np.array([len(s) for _, s in seqs])
+    seq, place, feat = (np.array(x, np.int64) for x in zip(*where))
+    lengths, stands = np.array([len(s) for _, s in seqs]), np.array(stands)
     truth = np.zeros((len(seqs), lengths.max()))
     for i, (label, s) in enumerate(seqs):
         truth[i, : len(s)] = [label == 1 and bool(own) for own in s]
-    real = np.arange(lengths.max())[None, :] < lengths[:, None]
     weights, shared = np.zeros(len(chosen)), np.array([-3.0, 0.5, 0.0])  # bias, stay, enter
     second_w, second_s = np.full(len(chosen), 1e-8), np.full(3, 1e-8)
-    stands = np.array([share[label] for label, _ in seqs])
-    truth_after_toxic = (truth[:, :-1] * truth[:, 1:] * stands[:, None]).sum()
-    truth_after_clean = ((1 - truth[:, :-1]) * truth[:, 1:] * stands[:, None]).sum()
     for _ in range(rounds):
         emissions = np.zeros(truth.shape)
         np.add.at(emissions, (seq, place), weights[feat])
-        p = 1 / (1 + np.exp(-np.clip(marginals(emissions, lengths, *shared), -50, 50)))
-        error = (truth - p) * real * stands[:, None]
-        both = real[:, 1:] * stands[:, None]
-        # Expected transitions, with neighbours taken as independent given the marginals.
-        after_toxic, after_clean = (p[:, :-1] * p[:, 1:] * both).sum(), ((1 - p[:, :-1]) * p[:, 1:] * both).sum()
-        grad_w = np.bincount(feat, error[seq, place], minlength=len(chosen)) / len(seqs) - decay * weights
-        grad_s = np.array([error.sum(), truth_after_toxic - after_toxic, truth_after_clean - after_clean]) / len(seqs)
+        error, grad_s = gradients(emissions, lengths, truth, stands, shared)
+        grad_w = np.bincount(feat, error[seq, place], minlength=len(chosen)) / count - decay * weights
+        grad_s = grad_s / count
         second_w = 0.9 * second_w + 0.1 * grad_w**2
         second_s = 0.9 * second_s + 0.1 * grad_s**2
         weights += rate * grad_w / np.sqrt(second_w + 1e-8)
         shared += 0.3 * rate * grad_s / np.sqrt(second_s + 1e-8)
-    weights[np.abs(weights) < 0.1] = 0
+    weights[np.abs(weights) < least_weight] = 0
     field = Field({f: float(w) for f, w in zip(chosen, weights) if w}, *map(float, shared))
     facts = np.array([_facts(o) for o in batched_marginals([np.array([sum(weights[f] for f in own) for own in d], float) for _, d in docs], field)])
     label = np.array([label for label, _ in docs], float)
     x = np.column_stack((np.ones(len(docs)), facts))
-    own, curve = np.array([share[label] for label, _ in docs]), np.zeros(4)
+    own, curve = weight, np.zeros(4)
     for _ in range(50):  # Newton steps for the logistic curve
         p = 1 / (1 + np.exp(-x @ curve))
         curve += np.linalg.solve((x * (own * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(4), x.T @ (own * (label - p)) - 0.05 * curve)
