@@ -83,7 +83,7 @@ def new_resource(df: DataFrame, minutes: int = 30) -> DataFrame:
 def row_features(df: DataFrame) -> DataFrame:
     failed = F.coalesce(F.col("raw_login_failures_5m").try_cast("double"), F.when(F.col("access_result") == "deny", 1.0).otherwise(0.0))
     return df.withColumns({
-        "f_token_scope_width": S.scope_width(F.col("token_scope")), "f_bytes_log1p": F.log1p("bytes_out"), "f_is_privileged_role": S.is_privileged(F.col("role")),
+        "f_token_scope_width": S.scope_width(F.col("token_scope")), "f_bytes_out_log1p": F.log1p("bytes_out"), "f_is_privileged_role": S.is_privileged(F.col("role")), "f_token_age": S.number(F.col("token_age")),
         "f_failed_logins_5m": failed if "raw_login_failures_5m" in df.columns else F.when(F.col("access_result") == "deny", 1.0).otherwise(0.0),
     })
 

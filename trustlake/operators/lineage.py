@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, checkpointed in the folder that the session names in spark.checkpoint.dir (a new local one only where it is unset)."""
+    """df, checkpointed in the folder that the session names in spark.checkpoint.dir (where it is unset, a new one, in local mode only)."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-shared-"))
     return df.checkpoint()

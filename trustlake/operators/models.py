@@ -15,9 +15,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import scalars as S
 from . import rules
 from .lineage import cut
+from .quantiles import quantiles
 
 RAAC_FEATURES = ("bytes_out", "latency_ms", "token_age", "posture_score", "raw_login_failures_5m", "raw_api_calls_5m")
-UNIFIED_FEATURES = tuple("f_failed_logins_5m f_fast_geo_switch f_posture_drift f_bytes_spike_score f_bytes_log1p f_token_scope_width f_is_privileged_role g_cross_cloud_hops_session g_is_new_resource_edge g_new_resource_rate_win g_shortest_to_sensitive_hops g_blast_radius_sensitive_k".split())
+UNIFIED_FEATURES = (
+    "f_token_scope_width", "f_token_age", "f_bytes_out_log1p", "f_failed_logins_5m", "f_geo_switch", "f_fast_geo_switch", "f_posture_drift", "f_bytes_spike_score", "f_is_privileged_role",
+    "g_cross_cloud_hops_session", "g_is_new_resource_edge", "g_new_resource_count_win", "g_new_resource_rate_win", "g_shortest_to_sensitive_hops", "g_blast_radius_sensitive_k",
+)
 NODE = "group string, tree int, node int, feature int, threshold double, low int, high int, depth double"
 
 
@@ -93,7 +97,7 @@ def iforest_score(df: DataFrame, model: DataFrame, columns: tuple[str, ...], psi
 
 def quantile_scaled(df: DataFrame, train: DataFrame, column: str = "raw_anom", low: float = 0.05, high: float = 0.95) -> DataFrame:
     """df with s_anom: column between the training rows' quantiles, clipped."""
-    q = train.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("_q"))  # one row
+    q = quantiles(train, F.col(column), (low, high)).withColumnRenamed("q", "_q")  # one row
     scaled = (F.col(column) - F.col("_q")[0]) / F.greatest(F.col("_q")[1] - F.col("_q")[0], F.lit(1e-6))
     return df.crossJoin(F.broadcast(q)).withColumn("s_anom", S.clip01(scaled)).drop("_q")
 
@@ -107,7 +111,7 @@ def ecdf(df: DataFrame, train: DataFrame, column: str, buckets: int = 256) -> Da
     hist = cut(hist)
     sizes = hist.groupBy("_r").agg(F.sum("n").alias("m"))
     total = F.broadcast(hist.agg(F.sum("n").alias("total")))
-    values = own.select("_r", F.col(column).alias("v")).distinct().withColumn("n", F.lit(0)).unionByName(hist.select("_r", "v", F.col("n").cast("int").alias("n"))).groupBy("_r", "v").agg(F.sum("n").alias("n"))
+    values = own.select("_r", F.col(column).alias("v")).distinct().withColumn("n", F.lit(0).cast("long")).unionByName(hist.select("_r", "v", "n")).groupBy("_r", "v").agg(F.sum("n").alias("n"))
     running = F.sum("n").over(Window.partitionBy("_r").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
     ranks = values.withColumn("upto", running).crossJoin(total)
     whole = F.broadcast(sizes.select(F.collect_list(F.struct("_r", "m")).alias("all")))  # one row, an entry a range
@@ -118,13 +122,25 @@ def ecdf(df: DataFrame, train: DataFrame, column: str, buckets: int = 256) -> Da
 
 def robust_scaled(df: DataFrame, train: DataFrame, column: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """df with scaled: column less the training median, over the training range of the quantiles (0 range: 1)."""
-    q = train.agg(F.percentile(column, F.array(F.lit(0.5), F.lit(low), F.lit(high))).alias("_q"))  # one row
+    q = quantiles(train, F.col(column), (0.5, low, high)).withColumnRenamed("q", "_q")  # one row
     width = F.col("_q")[2] - F.col("_q")[1]
     return df.crossJoin(F.broadcast(q)).withColumn("scaled", (F.col(column) - F.col("_q")[0]) / F.when(width == 0, 1.0).otherwise(width)).drop("_q")
 
 
-def feature_matrix(df: DataFrame, train: DataFrame, categories: dict[str, tuple[str, ...]], numbers: tuple[str, ...]) -> DataFrame:
-    """df with is_<column>_<value> (0/1; other values give zeros) and z_<column> by the training mean and population deviation."""
+def learned_categories(train: DataFrame, columns: tuple[str, ...], most: int = 1000) -> dict[str, tuple[str, ...]]:
+    """The values of each column in the training rows, sorted; a column with more than `most` is no category and raises an error."""
+    found = {c: tuple(r[0] for r in train.select(F.col(c).cast("string")).filter(F.col(c).isNotNull()).distinct().orderBy(c).limit(most + 1).collect()) for c in columns}
+    for c, own in found.items():
+        if len(own) > most:
+            raise ValueError(f"{c} has more than {most} values")
+    return found
+
+
+def feature_matrix(df: DataFrame, train: DataFrame, categories: dict[str, tuple[str, ...]] | tuple[str, ...], numbers: tuple[str, ...]) -> DataFrame:
+    """df with is_<column>_<value> (0/1; values that are not known give zeros) and z_<column> by the training mean and population
+    deviation.  categories: the values of each column, or the columns, whose values are then learned from the training rows."""
+    if not isinstance(categories, dict):
+        categories = learned_categories(train, categories)
     stats = train.agg(*[F.avg(c).alias(f"_m_{c}") for c in numbers], *[F.stddev_pop(c).alias(f"_s_{c}") for c in numbers])  # one row
     d = df.crossJoin(F.broadcast(stats))
     dummies = {f"is_{c}_{v}": F.when(F.col(c) == v, 1).otherwise(0) for c, own in categories.items() for v in own}
@@ -132,16 +148,19 @@ def feature_matrix(df: DataFrame, train: DataFrame, categories: dict[str, tuple[
     return d.withColumns(dummies | scaled).drop(*stats.columns)
 
 
-def time_split(df: DataFrame, share: float = 0.7) -> DataFrame:
+def time_split(df: DataFrame, share: float = 0.7, buckets: int = 256) -> DataFrame:
     """df with train: whether it is among the first int(share x n) rows by (ts, event_ord); rows without a timestamp come last.
 
-    The ordinal is that within the day plus the count of earlier days, so no window spans all rows."""
-    d = df.withColumn("_day", F.coalesce(F.to_date("ts"), F.lit("9999-12-31").cast("date")))
-    days = d.groupBy("_day").agg(F.count(F.lit(1)).alias("n")).select(F.collect_list(F.struct("_day", "n")).alias("_days"), F.sum("n").alias("_total"))  # one row, an entry a day
-    before = F.aggregate(F.filter("_days", lambda x: x["_day"] < F.col("_day")), F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    nth = F.row_number().over(Window.partitionBy("_day").orderBy("ts", "event_ord"))
-    d = d.withColumn("_nth", nth).crossJoin(F.broadcast(days))
-    return d.withColumn("train", F.col("_nth") + before <= F.floor(F.lit(share) * F.col("_total"))).drop("_day", "_days", "_total", "_nth")
+    The ordinal is that within a range of timestamps plus the count of earlier ranges, so no window spans all rows."""
+    us = F.unix_micros("ts")
+    edges = df.agg(F.percentile_approx(us, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 1000).alias("_edges"))  # one row
+    part = F.when(F.col("ts").isNull(), buckets).otherwise(F.size(F.filter("_edges", lambda e: e < us)))
+    d = df.crossJoin(F.broadcast(edges)).withColumn("_part", part).drop("_edges")
+    parts = d.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).select(F.collect_list(F.struct("_part", "n")).alias("_parts"), F.sum("n").alias("_total"))  # one row, an entry a range
+    before = F.aggregate(F.filter("_parts", lambda x: x["_part"] < F.col("_part")), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy("ts", "event_ord"))
+    d = d.withColumn("_nth", nth).crossJoin(F.broadcast(parts))
+    return d.withColumn("train", F.col("_nth") + before <= F.floor(F.lit(share) * F.col("_total"))).drop("_part", "_parts", "_total", "_nth")
 
 
 def raac_score(df: DataFrame, train: DataFrame | None = None, trees: int = 160, model: DataFrame | None = None, group: str = "all") -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import scalars as S
+from .quantiles import quantiles
 
 #: Seconds that an action takes.
 ACTION_SECONDS = {
@@ -42,7 +43,7 @@ SUBJECT = ("principal_id", "role", "session_id", "token_id", "resource_id", "ten
 
 def tuned_thresholds(df: DataFrame, mfa_rate: float = 0.05, fpr_restrict: float = 0.02, fpr_deny: float = 0.005) -> DataFrame:
     """One row: t_allow (= t_stepup), t_restrict, t_deny, the benign risks' quantiles (linear) that give the rates."""
-    q = df.filter(F.col("label_attack") == 0).agg(F.percentile("risk", F.array(*[F.lit(1 - r) for r in (mfa_rate, fpr_restrict, fpr_deny)])).alias("q"))
+    q = quantiles(df.filter(F.col("label_attack") == 0), F.col("risk"), (1 - mfa_rate, 1 - fpr_restrict, 1 - fpr_deny))
     return q.select(F.col("q")[0].alias("t_allow"), F.col("q")[0].alias("t_stepup"), F.greatest(F.col("q")[0], F.col("q")[1]).alias("t_restrict"), F.greatest(F.col("q")[0], F.col("q")[1], F.col("q")[2]).alias("t_deny"))
 
 
@@ -53,7 +54,7 @@ def with_tuned(df: DataFrame, thresholds: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(thresholds)).withColumn("decision_tuned", tuned).drop(*thresholds.columns)
 
 
-def decision_from_risk(risk: Column, confidence: Column, allow=0.35, stepup=0.55, restrict=0.75, min_conf=0.55) -> Column:
+def decision_from_risk(risk: Column, confidence: Column, allow=0.30, stepup=0.60, restrict=0.80, min_conf=0.60) -> Column:
     """deny only with enough confidence, else restrict."""
     return F.when(risk < allow, "allow").when(risk < stepup, "stepup").when((risk < restrict) | (confidence < min_conf), "restrict").otherwise("deny")
 
@@ -84,12 +85,15 @@ def flat_actions(df: DataFrame) -> DataFrame:
     """One row per action of each intent: provider (unknown ones as aws), index, type, description, parameters (map), latency_s, started_s
     and finished_s within the intent."""
     cloud = F.lower(F.coalesce("cloud_provider", F.lit("")))
-    d = df.withColumn("provider", F.when(cloud.isin(*DESCRIPTIONS), cloud).otherwise("aws")).select("*", F.posexplode("action_list").alias("action_index", "action_type"))
+    seconds = F.create_map(*[F.lit(x) for pair in ACTION_SECONDS.items() for x in pair])
+    # An intent's own few actions are timed within its row, so nothing is shuffled.
+    upto = lambda i: F.aggregate(F.slice(F.col("action_list"), F.lit(1), i + 1), F.lit(0.0), lambda x, a: x + F.element_at(seconds, a))
+    steps = F.transform("action_list", lambda a, i: F.struct(i.alias("action_index"), a.alias("action_type"), upto(i).alias("finished_s")))
+    d = df.withColumn("provider", F.when(cloud.isin(*DESCRIPTIONS), cloud).otherwise("aws")).withColumn("_step", F.explode(steps)).select("*", "_step.*").drop("_step")
     d = d.join(F.broadcast(catalog(df.sparkSession)), ["provider", "action_type"], "left")  # 30 rows
     base = F.map_from_arrays(F.array(*map(F.lit, SUBJECT)), F.array(*[F.col(c) for c in SUBJECT]))
     extra = F.when(F.col("extra_name").isNotNull(), F.create_map("extra_name", "extra_value")).when(F.col("action_type") == "alert", F.create_map(F.lit("rationale"), F.array_join("rationale_tags", ";"))).otherwise(F.create_map().cast("map<string,string>"))
-    so_far = F.sum("latency_s").over(Window.partitionBy("intent_id").orderBy("action_index").rowsBetween(Window.unboundedPreceding, 0))
-    return d.withColumns({"parameters": F.map_concat(base, extra), "finished_s": so_far}).withColumn("started_s", F.col("finished_s") - F.col("latency_s")).drop("extra_name", "extra_value", "action_list")
+    return d.withColumn("parameters", F.map_concat(base, extra)).withColumn("started_s", F.col("finished_s") - F.col("latency_s")).drop("extra_name", "extra_value", "action_list")
 
 
 def response_times(df: DataFrame, delay_s: float = 0.0, only_flagged: bool = True) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scalars as S
+from .quantiles import quantiles
 from .features import sliding_count
 
 #: Risk of a sensitivity and of a role.
@@ -85,7 +86,7 @@ def static_rules(df: DataFrame, posture_restrict=0.40, posture_stepup=0.60, fail
 
 def siem_thresholds(df: DataFrame, p95: float | None = None, p99: float | None = None) -> DataFrame:
     """One row: siem_bytes_p95 and siem_bytes_p99 of the bytes, or the given ones; at least 1, and p99 at least p95."""
-    q = df.agg(F.percentile(S.number(F.col("bytes_out")), F.array(F.lit(0.95), F.lit(0.99))).alias("q"))
+    q = quantiles(df, S.number(F.col("bytes_out")), (0.95, 0.99))
     b95 = F.greatest(F.lit(1.0), F.lit(p95) if p95 is not None else F.coalesce(F.col("q")[0], F.lit(1.0)))
     b99 = F.greatest(b95, F.lit(p99) if p99 is not None else F.coalesce(F.col("q")[1], F.lit(1.0)))
     return q.select(b95.alias("siem_bytes_p95"), b99.alias("siem_bytes_p99"))

@@ -4,8 +4,22 @@ from __future__ import annotations
 
 import re
 
-from ..operators import metrics, policy, rules
-from ..sources.telemetry import DUCKDB, ENGINE_DELAY
+from ..sources.telemetry import DUCKDB
+
+# Fixed values, said here again so that a wrong one in an operator shows.
+SENSITIVITY_RISK = {"LOW": 0.05, "MED": 0.15, "HIGH": 0.30, "CRITICAL": 0.45}
+ROLE_RISK = {"admin": 0.05, "service": 0.10, "engineer": 0.15, "employee": 0.22, "contractor": 0.28}
+ENGINE_DELAY = {"baseline_static": 0.6, "baseline_siem": 1.5, "baseline_raac_iforest": 0.4, "unified": 0.2}
+ACTION_SECONDS = {
+    "allow": 0.05, "step_up_mfa": 0.2, "shorten_session": 0.15, "restrict_token_scope": 0.25, "isolate_segment": 1.0, "revoke_token": 0.6, "quarantine_endpoint": 2.0, "alert": 0.1,
+    "soar_playbook": 1.5, "deny": 0.05,
+}
+BUDGETS = {"false_deny_rate": 0.02, "mfa_friction_rate": 0.17, "latency_p95_ms": 600.0, "policy_error_rate": 0.01, "analyst_override_rate": 0.30}
+SIEM_FLAGS = {
+    "n_hits": None, "n_bruteforce": ("siem_bruteforce_high", "siem_bruteforce_alert"), "n_time": ("siem_impossible_travel",), "n_priv": ("siem_privilege_escalation",),
+    "n_exfil_high": ("siem_exfil_spike_high",), "n_exfil_med": ("siem_exfil_spike_medium",), "n_xcloud": ("siem_cross_cloud_hop",),
+}
+LEADERBOARD = ("det_accuracy", "det_precision", "det_recall", "det_f1", "det_fpr", "hard_accuracy", "hard_fpr", "access_decision_precision", "avg_response_time_s", "policy_consistency_var")
 
 
 def _hash(parts: str, modulus: int) -> str:
@@ -102,12 +116,12 @@ CTES = {
         'tok_' || lpad(CAST({_hash("principal_id || '|' || session_id", 10**10)} AS VARCHAR), 10, '0') AS token_id,
         12 * ln(1 + bytes_out) + {_hash("strftime(ts, '%Y-%m-%d %H:%M:%S') || '|' || printf('%.2f', bytes_out) || '|' || principal_id || '|' || action", 5000)} / 100 AS latency_ms
         FROM tele""",
-    "static": f"""SELECT *, {clip(f"{_case('resource_sensitivity', rules.SENSITIVITY_RISK)} + {_case('role', rules.ROLE_RISK)} + CASE WHEN mfa_used = 0 AND resource_sensitivity <> 'LOW' THEN 0.18 ELSE 0 END + CASE WHEN posture_score < 0.4 THEN 0.28 WHEN posture_score < 0.6 THEN 0.14 ELSE 0 END + CASE WHEN raw_login_failures_5m >= 10 THEN 0.22 WHEN raw_login_failures_5m >= 6 THEN 0.12 ELSE 0 END + 0.22 * raw_time_anomaly + 0.30 * raw_privilege_escalation + 0.16 * raw_cross_cloud_hop + CASE WHEN bytes_out >= 100000 THEN 0.32 WHEN bytes_out >= 33000 THEN 0.16 ELSE 0 END + CASE WHEN {_RISKY} AND role <> 'admin' THEN 0.38 WHEN {_RISKY} THEN 0.08 ELSE 0 END + CASE WHEN token_scope = 'WIDE' AND NOT {_T} THEN 0.10 ELSE 0 END")} AS risk,
+    "static": f"""SELECT *, {clip(f"{_case('resource_sensitivity', SENSITIVITY_RISK)} + {_case('role', ROLE_RISK)} + CASE WHEN mfa_used = 0 AND resource_sensitivity <> 'LOW' THEN 0.18 ELSE 0 END + CASE WHEN posture_score < 0.4 THEN 0.28 WHEN posture_score < 0.6 THEN 0.14 ELSE 0 END + CASE WHEN raw_login_failures_5m >= 10 THEN 0.22 WHEN raw_login_failures_5m >= 6 THEN 0.12 ELSE 0 END + 0.22 * raw_time_anomaly + 0.30 * raw_privilege_escalation + 0.16 * raw_cross_cloud_hop + CASE WHEN bytes_out >= 100000 THEN 0.32 WHEN bytes_out >= 33000 THEN 0.16 ELSE 0 END + CASE WHEN {_RISKY} AND role <> 'admin' THEN 0.38 WHEN {_RISKY} THEN 0.08 ELSE 0 END + CASE WHEN token_scope = 'WIDE' AND NOT {_T} THEN 0.10 ELSE 0 END")} AS risk,
         [0.60, 0.65, 0.80, 0.90][{_levels(STATIC)} + 1] AS confidence, ['allow', 'stepup', 'restrict', 'deny'][{_levels(STATIC)} + 1] AS decision,
         list_sort(list_distinct({_tags([(c, t) for c, t, _ in STATIC])})) AS rationale_tags FROM uni""",
     "thresholds": "SELECT greatest(1.0, quantile_cont(bytes_out, 0.95)) AS b95, greatest(1.0, quantile_cont(bytes_out, 0.95), quantile_cont(bytes_out, 0.99)) AS b99 FROM uni",
     "siemrows": f"SELECT *, {_tags([(c, t) for c, t, _ in SIEM])} AS row_tags, {_levels(SIEM)} AS row_severity FROM uni, thresholds",
-    "siemwin": "SELECT *, " + ", ".join(f"CAST({_sliding(f'({_siem_flag(own)})', 15)} AS BIGINT) AS {n}" for n, own in rules.SIEM_COUNTS.items()) + " FROM siemrows",
+    "siemwin": "SELECT *, " + ", ".join(f"CAST({_sliding(f'({_siem_flag(own)})', 15)} AS BIGINT) AS {n}" for n, own in SIEM_FLAGS.items()) + " FROM siemrows",
     "siemcorr": f"SELECT *, list_sort(list_distinct(list_concat(row_tags, {_tags([(c, t) for c, t, _ in CORR])}))) AS rationale_tags, greatest(row_severity, {_levels(CORR)}) AS siem_severity FROM siemwin",
     "siem": f"""SELECT *, {clip("[0.20, 0.50, 0.75, 0.92][siem_severity + 1] + 0.02 * least(6, len(rationale_tags))")} AS risk, {clip("[0.50, 0.55, 0.62, 0.70][siem_severity + 1] + 0.05 * least(4, len(rationale_tags))")} AS confidence,
         ['allow', 'stepup', 'restrict', 'deny'][siem_severity + 1] AS decision FROM siemcorr""",
@@ -121,8 +135,8 @@ CTES = {
     "firsts": """SELECT *, CASE WHEN row_number() OVER (PARTITION BY session_id, cloud_provider ORDER BY ts, event_ord) = 1 THEN 1 ELSE 0 END AS fc,
         CASE WHEN row_number() OVER (PARTITION BY principal_id, resource_id ORDER BY ts, event_ord) = 1 THEN 1 ELSE 0 END AS g_is_new_resource_edge FROM spike""",
     "feat0": f"""SELECT * EXCLUDE (fc), CAST(sum(fc) OVER (PARTITION BY session_id ORDER BY ts, event_ord) - 1 AS BIGINT) AS g_cross_cloud_hops_session,
-        CAST({_sliding('g_is_new_resource_edge', 30)} AS BIGINT) AS g_new_resource_count_win, 1 AS f_token_scope_width, ln(1 + bytes_out) AS f_bytes_log1p,
-        CASE WHEN role = 'admin' THEN 1 ELSE 0 END AS f_is_privileged_role, CAST(raw_login_failures_5m AS DOUBLE) AS f_failed_logins_5m FROM firsts""",
+        CAST({_sliding('g_is_new_resource_edge', 30)} AS BIGINT) AS g_new_resource_count_win, 1 AS f_token_scope_width, ln(1 + bytes_out) AS f_bytes_out_log1p,
+        CASE WHEN role = 'admin' THEN 1 ELSE 0 END AS f_is_privileged_role, CAST(raw_login_failures_5m AS DOUBLE) AS f_failed_logins_5m, coalesce(CAST(token_age AS DOUBLE), 0) AS f_token_age FROM firsts""",
     "nodeev": " UNION ALL ".join(f"SELECT ts, event_ord, {i} AS node_id, '{k}' AS node_type, {'resource_sensitivity' if k == 'resource' else 'NULL'} AS sensitivity FROM uni" for k, i in _ids.items()),
     "edgeev": " UNION ALL ".join(
         [f"SELECT ts, event_ord, cloud_provider, access_result, label_attack, '{k}' AS edge_type, {_ids[a]} AS src_id, {_ids[b]} AS dst_id, '' AS sensitivity, 0.0 AS bytes_out FROM uni" for k, a, b in _plain]
@@ -162,7 +176,7 @@ CTES = {
         CASE decision_tuned WHEN 'allow' THEN ['allow'] WHEN 'restrict' THEN ['restrict_token_scope', 'isolate_segment', 'alert'] WHEN 'deny' THEN ['deny', 'revoke_token', 'quarantine_endpoint', 'soar_playbook']
         ELSE CASE WHEN list_contains(rationale_tags, 'cross_cloud_hop') THEN ['step_up_mfa', 'shorten_session', 'restrict_token_scope', 'alert'] ELSE ['step_up_mfa', 'shorten_session', 'restrict_token_scope'] END END AS action_list FROM tuned""",
     "acts0": "SELECT *, unnest(action_list) AS action_type, generate_subscripts(action_list, 1) - 1 AS action_index FROM intents",
-    "acts1": f"SELECT *, {_case('action_type', policy.ACTION_SECONDS)} AS latency_s FROM acts0",
+    "acts1": f"SELECT *, {_case('action_type', ACTION_SECONDS)} AS latency_s FROM acts0",
     "acts": "SELECT *, sum(latency_s) OVER (PARTITION BY intent_id ORDER BY action_index) AS finished_s FROM acts1",
     "starts": "SELECT s0, s1, s2, (SELECT min(ts) FROM uni WHERE ts >= s2 + INTERVAL 3 DAY) AS s3 FROM (SELECT s0, s1, (SELECT min(ts) FROM uni WHERE ts >= s1 + INTERVAL 3 DAY) AS s2 FROM (SELECT s0, (SELECT min(ts) FROM uni WHERE ts >= s0 + INTERVAL 7 DAY) AS s1 FROM (SELECT min(ts) AS s0 FROM uni)))",
     "st0": "SELECT i.*, CASE WHEN s1 IS NULL OR ts < s1 THEN 'shadow' WHEN s2 IS NULL OR ts < s2 THEN 'canary' WHEN s3 IS NULL OR ts < s3 THEN 'enforce' ELSE 'rollout' END AS stage FROM intents i, starts",
@@ -173,16 +187,29 @@ CTES = {
         coalesce(quantile_cont(latency_ms + CASE eff WHEN 'stepup' THEN 150 WHEN 'restrict' THEN 300 WHEN 'deny' THEN 50 ELSE 0 END, 0.95) FILTER (inn), 0) AS latency_p95_ms,
         coalesce(avg(({unit('CAST(event_ord AS VARCHAR)')} < CASE eff WHEN 'stepup' THEN 0.003 WHEN 'restrict' THEN 0.005 WHEN 'deny' THEN 0 ELSE 0.0002 END)::INT) FILTER (inn), 0) AS policy_error_rate,
         coalesce(avg((eff IN ('restrict', 'deny') AND confidence < 0.35)::INT) FILTER (inn), 0) AS analyst_override_rate FROM st GROUP BY stage""",
-    "kpic": "SELECT *, CASE stage WHEN 'shadow' THEN 1 WHEN 'canary' THEN 2 WHEN 'enforce' THEN 3 ELSE 4 END AS stage_no, " + _tags([(f"{k} > {v}", k) for k, v in policy.BUDGETS.items()]) + " AS reasons FROM kpi",
+    "kpic": "SELECT *, CASE stage WHEN 'shadow' THEN 1 WHEN 'canary' THEN 2 WHEN 'enforce' THEN 3 ELSE 4 END AS stage_no, " + _tags([(f"{k} > {v}", k) for k, v in BUDGETS.items()]) + " AS reasons FROM kpi",
     "line": "SELECT * FROM kpic WHERE stage_no <= coalesce((SELECT min(stage_no) FROM kpic WHERE len(reasons) > 0), 9)",
-    "engines0": "SELECT 'baseline_static' AS engine, event_ord, principal_id, session_id, cloud_provider, label_attack, decision FROM static UNION ALL SELECT 'baseline_siem', event_ord, principal_id, session_id, cloud_provider, label_attack, decision FROM siem UNION ALL SELECT 'baseline_raac_iforest', event_ord, principal_id, session_id, cloud_provider, label_attack, decision FROM raac UNION ALL SELECT 'unified', event_ord, principal_id, session_id, cloud_provider, label_attack, decision FROM scored",
+    "engines0": " UNION ALL ".join(
+        f"SELECT '{name}' AS engine, event_ord, principal_id, session_id, cloud_provider, label_attack, decision, {x} > 0.5 AS x, CAST({blast} AS DOUBLE) AS blast, {hop} AS hop FROM {source}"
+        for name, source, x, blast, hop in (
+            ("baseline_static", "static", "raw_cross_cloud_hop", "1", "FALSE"), ("baseline_siem", "siem", "raw_cross_cloud_hop", "1", "FALSE"), ("baseline_raac_iforest", "raac", "raw_cross_cloud_hop", "1", "FALSE"),
+            ("unified", "scored", "g_cross_cloud_hops_session", "greatest(0, g_blast_radius_sensitive_k)", "list_contains(rationale_tags, 'cross_cloud_hop')"),
+        )
+    ),
     "engines": f"SELECT e.*, {_FLAGS} FROM engines0 e",
     "esum": f"SELECT engine, {SUMMARY} FROM engines GROUP BY engine",
     "ecloud": "SELECT engine, principal_id, cloud_provider, avg(CASE decision WHEN 'stepup' THEN 1 WHEN 'restrict' THEN 2 WHEN 'deny' THEN 3 ELSE 0 END) AS s, avg((decision = 'deny')::INT) AS d, count(*) AS n FROM engines GROUP BY ALL",
     "econ": "SELECT engine, avg(s) AS policy_consistency_var, avg(d) AS deny_rate_var FROM (SELECT engine, principal_id, var_pop(s) AS s, var_pop(d) AS d, sum(n) AS n FROM ecloud GROUP BY ALL) WHERE n >= 10 GROUP BY engine",
-    "emean": f"SELECT engine, avg({_case('engine', {k: v for k, v in ENGINE_DELAY.items()})} + CASE decision WHEN 'stepup' THEN 0.6 WHEN 'restrict' THEN 1.35 WHEN 'deny' THEN 4.15 ELSE 0.05 END) AS mean_s FROM engines GROUP BY engine",
-    "board": "SELECT s.*, policy_consistency_var, deny_rate_var, mean_s FROM esum s JOIN econ USING (engine) JOIN emean USING (engine)",
-    "long": "SELECT engine, metric, value FROM (UNPIVOT (SELECT engine, " + ", ".join(f"CAST({m} AS DOUBLE) AS {m}" for m in metrics.DIRECTIONS) + " FROM board) ON " + ", ".join(metrics.DIRECTIONS) + " INTO NAME metric VALUE value)",
+    "etime": f"SELECT engine, CAST({_case('engine', ENGINE_DELAY)} AS DOUBLE) + CASE decision WHEN 'stepup' THEN CASE WHEN hop THEN 0.7 ELSE 0.6 END WHEN 'restrict' THEN 1.35 ELSE 4.15 END AS rt FROM engines WHERE decision <> 'allow'",
+    "emean": "SELECT engine, avg(rt) AS avg_response_time_s, avg(rt) AS mttr_proxy_s, quantile_cont(rt, 0.95) AS p95_response_time_s, count(*) AS latency_count FROM etime GROUP BY engine",
+    "exc": "SELECT engine, count(*) FILTER (x) AS xcloud_events, count(*) FILTER (x AND y) AS xcloud_attacks, coalesce(count(*) FILTER (x AND y AND f) / nullif(count(*) FILTER (x AND y), 0), 0.0) AS xcloud_flagged_tpr, coalesce(count(*) FILTER (x AND y AND h) / nullif(count(*) FILTER (x AND y), 0), 0.0) AS xcloud_hard_tpr FROM engines GROUP BY engine",
+    "eafter": "SELECT engine, avg(blast) AS mean_blast_before, avg(blast * (1 - CASE decision WHEN 'stepup' THEN 0.1 WHEN 'restrict' THEN 0.45 WHEN 'deny' THEN 0.75 ELSE 0 END)) AS mean_blast_after FROM engines WHERE y GROUP BY engine",
+    "eblast": "SELECT *, coalesce(100 * (1 - mean_blast_after / nullif(mean_blast_before, 0)), 0.0) AS blast_radius_reduction_pct FROM eafter",
+    "eroll": "SELECT 'unified' AS engine, " + ", ".join(f"max({c}) FILTER (stage = '{s}') AS {s}_{c}" for s in ("canary", "rollout") for c in ("false_deny_rate", "mfa_friction_rate", "latency_p95_ms")) + " FROM line",
+    "board": """SELECT s.*, policy_consistency_var, deny_rate_var, coalesce(avg_response_time_s, 0) AS avg_response_time_s, coalesce(mttr_proxy_s, 0) AS mttr_proxy_s, coalesce(p95_response_time_s, 0) AS p95_response_time_s,
+        coalesce(latency_count, 0) AS latency_count, x.* EXCLUDE (engine), b.* EXCLUDE (engine), r.* EXCLUDE (engine)
+        FROM esum s LEFT JOIN econ USING (engine) LEFT JOIN emean USING (engine) LEFT JOIN exc x USING (engine) LEFT JOIN eblast b USING (engine) LEFT JOIN eroll r USING (engine)""",
+    "long": "SELECT engine, metric, value FROM (UNPIVOT (SELECT engine, " + ", ".join(f"CAST({m} AS DOUBLE) AS {m}" for m in LEADERBOARD) + " FROM board) ON " + ", ".join(LEADERBOARD) + " INTO NAME metric VALUE value)",
 }
 
 
