@@ -365,3 +365,100 @@ def test_pipeline(spark, sf_dir):
     for p in pieces:
         got[p.doc_id] = got.get(p.doc_id, 0) + p.length
     assert got == want
+
+
+@pytest.mark.parametrize("void", [False, True])
+def test_crowded_keys_and_a_void_bitmap(spark, texts, monkeypatch, void):
+    if void:
+        monkeypatch.setattr(suffix_dedup, "fits_bitmap", lambda keys: False)
+    want = brute_bytes(texts, 50)
+    for r in suffix_dedup.suffix_dedup(table(spark, texts), batch_bytes=2000, most=1 if not void else 4096).collect():
+        if r.doc_id is not None:
+            assert (r.n_bytes, r.n_removed, bytes(r.kept)) == want[r.doc_id], r.doc_id
+
+
+def test_languages_whose_rows_repeat(spark):
+    rng = random.Random(3)
+    known = {letters: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(50)] for letters in ("äöüzß", "abcde", "xyzwv")}
+    say = lambda letters: " ".join(rng.choice(known[letters]) for _ in range(60))
+    one = say("äöüzß")
+    rows = [(i, one, "de") for i in range(2000)] + [(2000 + i, say("abcde"), "en") for i in range(150)] + [(3000 + i, say("xyzwv"), "fr") for i in range(150)] + [(4000, "", "it"), (4001, None, "it")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    assert list(language_id.learn_dictionaries(docs)) == ["de", "en", "fr"]
+    out = language_id.language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("doc_id < 4000").collect()
+    assert all(r.lang == r.lang_pred for r in out)
+
+
+def test_toxic_rows_that_repeat(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    toxic = say(20) + " zoxic wurstle zoxic " + say(20)
+    rows = [(i, toxic) for i in range(3000)] + [(3000 + i, say(40)) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i < 3000)) for i, _ in rows], "doc_id long, toxic int")
+    out = toxicity.toxicity(table(spark, rows), labels).collect()
+    assert all(r.predicted for r in out if r.doc_id < 3000) and sum(r.predicted for r in out if r.doc_id >= 3000) <= 6
+
+
+def test_gradients_by_differences():
+    rng = np.random.default_rng(5)
+    e, lengths, stands, shared = rng.normal(size=(3, 5)), np.array([5, 3, 4]), np.array([1.0, 2.0, 0.5]), np.array([-0.4, 0.7, -0.2])
+    truth = (rng.random((3, 5)) < 0.5) * (np.arange(5)[None, :] < lengths[:, None])
+
+    def likelihood(e, shared):
+        total = 0.0
+        for row, n, y, own in zip(e, lengths, truth, stands):
+            weigh = lambda path: sum((row[t] + shared[0]) * path[t] for t in range(n)) + sum((shared[1] if path[t - 1] else shared[2]) * path[t] for t in range(1, n))  # noqa: B023, E731
+            every = [[p >> t & 1 for t in range(n)] for p in range(2**n)]
+            total += own * (weigh(y) - np.log(sum(np.exp(weigh(p)) for p in every)))
+        return total
+
+    error, by_shared = toxicity.gradients(e, lengths, truth.astype(float), stands, shared)
+    for k in range(3):
+        step = np.eye(3)[k] * 1e-5
+        assert abs((likelihood(e, shared + step) - likelihood(e, shared - step)) / 2e-5 - by_shared[k]) < 1e-6
+    for i, t in ((0, 2), (1, 1), (2, 3)):
+        step = np.zeros_like(e)
+        step[i, t] = 1e-5
+        assert abs((likelihood(e + step, shared) - likelihood(e - step, shared)) / 2e-5 - error[i, t]) < 1e-6
+
+
+def test_passages_against_all_pairs(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(3000)]
+    say = lambda n: [rng.choice(words) for _ in range(n)]
+    rows, held = [], []
+    for i in range(160):
+        body = say(rng.randint(60, 120))
+        if held and rng.random() < 0.6:  # a passage of an earlier text, with some words changed
+            source = rng.choice(held)
+            at, n = rng.randint(0, len(source) - 60), rng.randint(40, 60)
+            part = source[at : at + n]
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                part[rng.randrange(len(part))] = "changed"
+            at = rng.randint(0, len(body))
+            body = body[:at] + part + body[at:]
+        held.append(body)
+        rows.append((i, " ".join(body)))
+    out = {r.doc_id: r._removed for r in substring_dedup.substring_dedup(table(spark, rows)).collect()}
+    sets = [[frozenset(tuple(w[k : k + 5]) for k in range(x, x + 46)) for x in range(len(w) - 49)] for w in held]
+    same = set()
+    for i in range(len(held)):
+        for j in range(i):
+            if any(len(a & b) >= 0.8 * len(a | b) for a in sets[i] for b in sets[j] if a & b):
+                same.add(i)
+    found = {i for i, n in out.items() if n}
+    assert len(same) > 20 and len(found & same) >= 0.9 * len(same) and found <= same
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf_dir):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    said = "a line of some words that is long enough\nand another one " + "to be said " * 30
+    rows = [(1, None), (2, ""), (3, said), (3, said), (None, said + "x y z"), (None, None), (4, "ab " * 3000), (5, " \n\t")]
+    docs = spark.createDataFrame([(i, t, None, "s", 0, 1, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, key int, _th string")
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == pipeline.COLUMNS and stage(spark, docs.limit(0), sf_dir).count() == 0, name
+        kept = out.collect()
+        assert 0 < len(kept) <= len(rows) and {r.doc_id for r in kept} <= {i for i, _ in rows}, name
+    assert pipeline.STAGES[-1][1](spark, docs, sf_dir).count() >= len(rows)

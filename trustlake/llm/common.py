@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,10 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Write df to a Parquet table in the shared folder and read it again: cuts lineage, survives lost executors."""
+    """Write df to a Parquet table in the shared folder and read it again: cuts lineage, survives lost executors.  The shuffle files of
+    what is written go when the driver collects its garbage, which is asked for here, so that they don't add up over the stages."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
