@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .alignment import align_corpus
 from .bpe import bpe_round_trip
+from .chat import BEGIN, CLOSE, END, OPEN, chat_format, chat_read, learned_texts
 from .exact_dedup import exact_dedup
+from .fim import fim_restore, fim_transform
 from .language_id import language_id
 from .line_dedup import line_dedup
 from .media import media_columns
@@ -16,10 +19,10 @@ from .suffix_dedup import suffix_dedup
 from .toxicity import toxicity
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +77,35 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_language_id, op4_bpe, op5_toxicity, op6_packing, op7_substring_dedup, op8_media, op9_line_dedup, op10_simhash)}
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim_transform(_documents(spark, sf_dir))
+    restored = fim_restore(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one, -7, whose texts are made of control strings."""
+    said = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    out = chat_format(rows.unionByName(planted)).select("conv_id", "formatted", chat_read(F.col("formatted")).alias("turns"), F.array_join(learned_texts(F.col("segments")), "").alias("learned"))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_corpus(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup, op2_suffix_dedup, op3_language_id, op4_bpe, op5_toxicity, op6_packing, op7_substring_dedup, op8_media, op9_line_dedup, op10_simhash, op11_fim, op12_chat, op13_alignment,
+    )
+}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
@@ -83,4 +114,22 @@ ORACLE_SQL = {
         k AS (SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER w AS r
               FROM h WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id))
         SELECT doc_id, keep_id, group_size, r = 1 AS kept, text_sha256 FROM k""",
+    "op11_fim": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        e AS (SELECT doc_id, t, length(t) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (length(t) + 1) AS x, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (length(t) + 1) AS y,
+              CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+                   WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+        c AS (SELECT *, substr(t, 1, least(x, y)) AS p, substr(t, 1 + least(x, y), greatest(x, y) - least(x, y)) AS m, substr(t, 1 + greatest(x, y)) AS s FROM e)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(x, y) END AS prefix_chars, CASE WHEN form <> 'plain' THEN greatest(x, y) - least(x, y) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+            sha256(t) AS restored_sha256 FROM c""",
+    "op12_chat": rf"""
+        WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+              UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        o AS (SELECT *, row_number() OVER w AS i, lag(role) OVER w AS before, len(regexp_extract_all(text, '<\\*/?s>|\[\\*/?INST\]')) AS marks,
+              len(regexp_extract_all(role, '<\\*/?s>|\[\\*/?INST\]')) AS role_marks FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(length(text) + marks + {len(BEGIN + END)} + CASE WHEN before IS DISTINCT FROM role THEN length(role) + role_marks + {len(OPEN + CLOSE)} ELSE 0 END) AS BIGINT) AS formatted_chars
+        FROM o GROUP BY conv_id""",
 }
