@@ -1,19 +1,42 @@
-"""Cutting lineage between the rounds of an iteration."""
+"""Cutting lineage between the rounds of an iteration and where a plan is read more than once."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+#: Sides of a join up to this many bytes (as counted by `sized`) are broadcast; larger ones are shuffled.
+BROADCAST_BYTES = 16 << 20
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, checkpointed in the folder that the session names in spark.checkpoint.dir (where it is unset, a new one, in local mode only)."""
-    spark = df.sparkSession
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; where that is unset, a new one, in local mode only."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         given = spark.conf.get("spark.checkpoint.dir", None)
         if not given and sc.master.split("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-shared-"))
-    return df.checkpoint()
+    return sc.getCheckpointDir()
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written as a Parquet table in the shared folder and read again: what reads it prunes columns and knows its size, and executors
+    may be lost.  The table stays until the folder is cleared, as the result is lazy."""
+    path = folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sized(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """table (cut, of plain columns, so counting is cheap) marked for broadcast if its values take at most limit bytes, unmarked beyond."""
+    width = lambda f: F.coalesce(F.octet_length(f.name), F.lit(0)) + 16 if isinstance(f.dataType, T.StringType) else F.lit(16)
+    total = table.agg(F.sum(sum((width(f) for f in table.schema.fields), F.lit(16)).cast("long"))).first()[0] or 0
+    return F.broadcast(table) if total <= limit else table

@@ -7,8 +7,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scalars as S
+from .lineage import cut
+from .ordered import hot_keys, prepared, sliding_counts
 from .quantiles import quantiles
-from .features import sliding_count
 
 #: Risk of a sensitivity and of a role.
 SENSITIVITY_RISK = {"LOW": 0.05, "MED": 0.15, "HIGH": 0.30, "CRITICAL": 0.45}
@@ -115,23 +116,15 @@ SIEM_COUNTS = {
 }
 
 
-def siem_windows(df: DataFrame, minutes: int = 15) -> DataFrame:
+def siem_windows(df: DataFrame, minutes: int = 15, bound: int | None = None) -> DataFrame:
     """siem_rows with the seven counts over the principal's last `minutes`; all use one partitioning.
 
     A row without a timestamp comes last, and its window is all that the principal did before, as no time bounds it."""
-    d = siem_rows(df).withColumns({"principal_id": F.coalesce("principal_id", F.lit("unknown")), "_us": F.coalesce(F.unix_micros("ts"), F.lit(2**62))})
-    d = d.withColumns({f"_{n}": F.when(F.size("row_tags") > 0 if own is None else F.arrays_overlap("row_tags", F.array(*map(F.lit, own))), 1).otherwise(0) for n, own in SIEM_COUNTS.items()})
-    counts = {}
-    for n in SIEM_COUNTS:
-        everything = F.sum(f"_{n}").over(_rows_before())
-        counts[n] = F.when(F.col("ts").isNull(), everything).otherwise(sliding_count(F.col(f"_{n}"), "principal_id", minutes))
-    return d.withColumns(counts).drop(*[f"_{n}" for n in SIEM_COUNTS])
-
-
-def _rows_before():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("principal_id").orderBy("_us", "event_ord").rowsBetween(Window.unboundedPreceding, 0)
+    d = prepared(siem_rows(df).withColumn("principal_id", F.coalesce("principal_id", F.lit("unknown"))))
+    some = lambda own: F.size("row_tags") > 0 if own is None else F.arrays_overlap("row_tags", F.array(*map(F.lit, own)))
+    flagged = cut(d.select("event_ord", "principal_id", "_late", "_us", *[F.when(some(own), 1).otherwise(0).alias(f"_{n}") for n, own in SIEM_COUNTS.items()]))
+    counts = sliding_counts(flagged, "principal_id", {n: f"_{n}" for n in SIEM_COUNTS}, minutes, late_counts_all=True, known=hot_keys(flagged, "principal_id", bound))
+    return d.drop("_late", "_us").join(counts.select("event_ord", *SIEM_COUNTS), "event_ord")
 
 
 def siem_correlated(df: DataFrame, minutes: int = 15, escalate: int = 3) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalars as S
 from ..operators import features, graph, metrics, models, normalize, policy, rules
-from ..operators.lineage import cut
+from ..operators.lineage import cut, folder
 from ..sources import telemetry as T
 from . import oracles
 
@@ -105,23 +105,16 @@ joined = lambda c: F.array_join(c, ";").alias(c)
 # Sources and sinks: the telemetry goes out in each format and is read again.
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    import uuid
-
-    cut(spark.range(1))  # sets the shared folder
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 @query("scan_raw_csv", "SELECT cloud_provider, count(*) AS n, sum(bytes_out) AS bytes, count(DISTINCT principal_id) AS n_principals FROM tele GROUP BY 1", "bytes")
 def scan_raw_csv(spark, sf_dir):
-    d, path = tele(spark, sf_dir), _folder(spark, "csv")
+    d, path = tele(spark, sf_dir), folder(spark, "csv")
     T.write_csv(d, path)
     return T.scan_csv(spark, path, d.schema).groupBy("cloud_provider").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes_out").alias("bytes"), F.count_distinct("principal_id").alias("n_principals"))
 
 
 @query("scan_features", "SELECT resource_type, count(*) AS n, avg(f_bytes_out_log1p) AS mean_log FROM (SELECT resource_type, ln(1 + bytes_out) AS f_bytes_out_log1p FROM tele) GROUP BY 1", "mean_log")
 def scan_features(spark, sf_dir):
-    path = _folder(spark, "features") + ".parquet"
+    path = folder(spark, "features") + ".parquet"
     T.write_features(features.row_features(tele(spark, sf_dir)), path)
     return T.scan_features(spark, path).groupBy("resource_type").agg(F.count(F.lit(1)).alias("n"), F.avg("f_bytes_out_log1p").alias("mean_log"))
 
@@ -592,7 +585,7 @@ def rollout_kpis(spark, sf_dir):
 @query("scan_rollout_json", f"SELECT stage, metric, value FROM (UNPIVOT (SELECT stage, {', '.join(f'CAST({k} AS DOUBLE) AS {k}' for k in ['n_events', *KPI.split()])} FROM kpi) ON {', '.join(['n_events', *KPI.split()])} INTO NAME metric VALUE value)", "value")
 def scan_rollout_json(spark, sf_dir):
     """The KPIs as one JSON object per stage, in one file, read back as rows."""
-    kpis, path = policy.rollout_kpis(staged(spark, sf_dir)), _folder(spark, "kpis")
+    kpis, path = policy.rollout_kpis(staged(spark, sf_dir)), folder(spark, "kpis")
     values = F.map_from_arrays(F.array(*map(F.lit, kpis.columns[1:])), F.array(*[F.col(c).cast("double") for c in kpis.columns[1:]]))
     kpis.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("stage", values)))).alias("value")).write.text(path)  # at most four stages
     return T.scan_rollout_kpis(spark, path)
@@ -680,7 +673,7 @@ def action_executions(spark, sf_dir):
 
 @query("scan_action_log_jsonl", "SELECT action_type, count(*) AS n, sum(latency_s) AS latency_s FROM acts GROUP BY 1", "latency_s")
 def scan_action_log_jsonl(spark, sf_dir):
-    path = _folder(spark, "actions")
+    path = folder(spark, "actions")
     T.write_json(policy.flat_actions(intents(spark, sf_dir)).select("intent_id", "action_index", "provider", "action_type", "parameters", "latency_s"), path)
     return T.scan_action_log(spark, path).groupBy("action_type").agg(F.count(F.lit(1)).alias("n"), F.sum("latency_s").alias("latency_s"))
 
