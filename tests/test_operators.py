@@ -105,3 +105,25 @@ def test_streams_equal_batches(spark, sf_dir, tmp_path):
     want = graph.edges(graph.edge_events(d))
     key = lambda t: sorted((r.edge_key, r.event_count, r.attack_count) for r in t.collect())
     assert key(got) == key(want)
+
+
+def test_paths_against_brute_force(spark):
+    import random
+
+    random.seed(4)
+    edges = sorted({(f"n{random.randint(0, 60):02}", f"n{random.randint(0, 60):02}") for _ in range(110)})
+    goals, starts = {"n03", "n17"}, [f"n{i:02}" for i in range(61)]
+    want = {}
+    for s in starts:
+        front, seen = [[s]], {s}
+        for _ in range(7):
+            hits = sorted(p for p in front if p[-1] in goals)
+            if hits:
+                want[s] = hits[0]
+                break
+            # All shortest paths are kept, so that the smallest of equals is known.
+            front = [p + [b] for p in front for a, b in edges if a == p[-1] and b not in seen]
+            seen |= {p[-1] for p in front}
+    table = lambda rows, c: spark.createDataFrame(rows, c)
+    out = graph.shortest_paths(table(edges, "src_id string, dst_id string"), table([(s,) for s in starts], "node string"), table([(g,) for g in goals], "node string")).collect()
+    assert {r.start: r.path for r in out} == want and all(r.goal == r.path[-1] and r.hops == len(r.path) - 1 for r in out)

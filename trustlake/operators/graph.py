@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .lineage import cut
+from .lineage import cut, sized
 
 SENSITIVE = ("high", "critical", "secret")
 OPERATIONAL = ("accessed", "data-read", "called-api", "assumed-role", "token-issued")
@@ -125,7 +125,7 @@ def neighbors(edge_table: DataFrame) -> DataFrame:
 def hops_to_sensitive(edge_table: DataFrame, sensitive: DataFrame, max_hops: int = 6) -> DataFrame:
     """node, hops (undirected, up to max_hops) of every node that a sensitive one reaches: one search from all sensitive nodes at
     once, so the work does not grow with the number of principals."""
-    near = neighbors(edge_table).persist()
+    near = cut(neighbors(edge_table))
     seen = front = sensitive.select(F.col("node_id").alias("node"), F.lit(0).alias("hops"))
     for hop in range(1, max_hops + 1):
         step = front.join(near, front["node"] == near["a"]).select(F.col("b").alias("node")).distinct()
@@ -142,7 +142,7 @@ def blast_radius(edge_table: DataFrame, sensitive: DataFrame, starts: DataFrame,
 
     Sensitive nodes carry numbers, dense within a partition; each node holds the set of what it reaches as bitmaps of 32,768 numbers a bucket, and takes over its
     neighbours' in k rounds: rows stay at nodes x buckets even around hubs."""
-    near = neighbors(edge_table).persist()
+    near = cut(neighbors(edge_table))
     numbered = cut(sensitive.distinct()).withColumn("n", F.monotonically_increasing_id())
     held = numbered.groupBy(F.col("node_id").alias("node"), F.expr("bitmap_bucket_number(n + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(n + 1))").alias("bits"))
     own = held
@@ -157,26 +157,39 @@ def blast_radius(edge_table: DataFrame, sensitive: DataFrame, starts: DataFrame,
 
 def static_features(edge_table: DataFrame, node_table: DataFrame, max_hops: int = 6, k: int = 3) -> DataFrame:
     """principal_id, g_shortest_to_sensitive_hops (-1 beyond max_hops), g_blast_radius_sensitive_k."""
-    sensitive = sensitive_nodes(node_table).persist()
+    sensitive = cut(sensitive_nodes(node_table))
     starts = node_table.filter("node_type = 'principal'").select(F.col("node_id").alias("node"))
     found = starts.join(hops_to_sensitive(edge_table, sensitive, max_hops), "node", "left").join(blast_radius(edge_table, sensitive, starts, k), "node")
     return found.select(F.substring_index("node", "principal:", -1).alias("principal_id"), F.coalesce("hops", F.lit(-1)).alias("g_shortest_to_sensitive_hops"), F.col("blast").alias("g_blast_radius_sensitive_k"))
 
 
-def shortest_paths(edge_table: DataFrame, starts: DataFrame, goals: DataFrame, max_hops: int = 6) -> DataFrame:
-    """start, goal, path, hops: for each start a shortest directed path to a goal (of equals the smallest path)."""
-    near = edge_table.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b")).distinct().persist()
-    front = seen = starts.select(F.col("node").alias("start"), "node", F.array("node").alias("path"))
-    found = seen.join(goals, "node", "left_semi")
-    for _ in range(max_hops):
-        open_ = front.join(found.select("start").distinct(), "start", "left_anti")
-        step = open_.join(near, open_["node"] == near["a"]).select("start", F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path"))
-        front = cut(step.groupBy("start", "node").agg(F.min("path").alias("path")).join(seen, ["start", "node"], "left_anti"))
+def next_to_goal(edge_table: DataFrame, goals: DataFrame, max_hops: int = 6) -> DataFrame:
+    """node, hops, next: of every node with a directed path to a goal, the length of the shortest one and its next node (of equals the
+    smallest).  One search backwards from all goals at once: a row a node, however many starts there are."""
+    back = cut(edge_table.select("src_id", "dst_id").distinct())
+    front = cut(goals.select("node", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("next")).distinct())
+    seen = front
+    for hop in range(1, max_hops + 1):
+        step = back.join(front.select(F.col("node").alias("dst_id")), "dst_id").groupBy(F.col("src_id").alias("node")).agg(F.min("dst_id").alias("next"))
+        front = cut(step.join(seen, "node", "left_anti").select("node", F.lit(hop).alias("hops"), "next"))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
-        found = found.unionByName(front.join(goals, "node", "left_semi").select(*found.columns))
-    return found.groupBy("start").agg(F.min(F.struct(F.size("path").alias("n"), F.col("path").alias("path"))).alias("p")).select("start", F.element_at("p.path", -1).alias("goal"), "p.path", (F.col("p.n") - 1).alias("hops"))
+    return seen
+
+
+def shortest_paths(edge_table: DataFrame, starts: DataFrame, goals: DataFrame, max_hops: int = 6) -> DataFrame:
+    """start, goal, path, hops: for each start a shortest directed path to a goal (of equals the smallest path).
+
+    The smallest next node at each step makes the smallest path; it is followed from all starts at once, a join a hop."""
+    pointers = sized(cut(next_to_goal(edge_table, goals, max_hops)))
+    known = pointers.select("node", "hops", F.col("next").alias("_next"))
+    found = starts.select("node").distinct().join(known, "node").select(F.col("node").alias("start"), "hops", F.array("node").alias("path"), F.col("_next").alias("_at"))
+    follow = pointers.select(F.col("node").alias("_at"), F.col("next").alias("_then"))
+    for _ in range(max_hops):
+        step = found.join(follow, "_at", "left")
+        found = step.select("start", "hops", F.when(F.col("_at").isNull(), F.col("path")).otherwise(F.concat("path", F.array("_at"))).alias("path"), F.col("_then").alias("_at"))
+    return found.select("start", F.element_at("path", -1).alias("goal"), "path", "hops")
 
 
 def pivots(edge_table: DataFrame) -> DataFrame:

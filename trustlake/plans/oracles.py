@@ -154,6 +154,11 @@ CTES = {
     "r0": "SELECT node_id AS node, node_id AS goal FROM sens",
     **{f"r{i}": f"SELECT node, goal FROM r{i - 1} UNION SELECT b, goal FROM r{i - 1} JOIN near ON node = a" for i in range(1, 4)},
     "principals": "SELECT node_id AS node FROM nodes WHERE node_type = 'principal'",
+    "back0": "SELECT node_id AS node, 0 AS hops FROM sens",
+    **{f"back{i}": f"SELECT node, min(hops) AS hops FROM (SELECT * FROM back{i - 1} UNION ALL SELECT src_id, hops + 1 FROM back{i - 1} JOIN edges ON node = dst_id) GROUP BY node" for i in range(1, 7)},
+    "nextof": "SELECT src_id AS node, min(dst_id) AS nxt FROM edges JOIN back6 a ON a.node = src_id JOIN back6 b ON b.node = dst_id WHERE b.hops = a.hops - 1 GROUP BY 1",
+    "walk": "SELECT p.node AS start, r.hops, coalesce(n6.nxt, n5.nxt, n4.nxt, n3.nxt, n2.nxt, n1.nxt, p.node) AS goal, concat_ws('>', p.node, n1.nxt, n2.nxt, n3.nxt, n4.nxt, n5.nxt, n6.nxt) AS path FROM principals p JOIN back6 r USING (node) LEFT JOIN nextof n1 ON n1.node = p.node "
+    + " ".join(f"LEFT JOIN nextof n{i} ON n{i}.node = n{i - 1}.nxt" for i in range(2, 7)),
     "gfeat": """SELECT substr(p.node, 11) AS principal_id, coalesce(d.hops, -1) AS g_shortest_to_sensitive_hops, (SELECT count(DISTINCT goal) FROM r3 WHERE r3.node = p.node AND goal <> p.node) AS g_blast_radius_sensitive_k
         FROM principals p LEFT JOIN d6 d USING (node)""",
     "feat": "SELECT f.*, g_new_resource_count_win / 30.0 AS g_new_resource_rate_win, g_shortest_to_sensitive_hops, g_blast_radius_sensitive_k FROM feat0 f JOIN gfeat USING (principal_id)",

@@ -328,21 +328,20 @@ def static_graph_features(spark, sf_dir):
     return graph.static_features(e, n)
 
 
-@query("shortest_path_nodes", """SELECT start, min(n) AS hops FROM (
-    SELECT p.node AS start, 1 AS n FROM principals p JOIN edges ON src_id = p.node JOIN sens ON dst_id = node_id
-    UNION ALL SELECT p.node, 2 FROM principals p JOIN edges a ON a.src_id = p.node JOIN edges b ON b.src_id = a.dst_id JOIN sens ON b.dst_id = node_id
-    UNION ALL SELECT p.node, 3 FROM principals p JOIN edges a ON a.src_id = p.node JOIN edges b ON b.src_id = a.dst_id JOIN edges c ON c.src_id = b.dst_id JOIN sens ON c.dst_id = node_id) GROUP BY start""")
-def shortest_path_nodes(spark, sf_dir):
+def paths(spark, sf_dir):
     n, e = graph_tables(spark, sf_dir)
     starts = n.filter("node_type = 'principal'").select(F.col("node_id").alias("node"))
-    return graph.shortest_paths(e, starts, graph.sensitive_nodes(n).withColumnRenamed("node_id", "node"), 3).select("start", "hops")
+    return graph.shortest_paths(e, starts, graph.sensitive_nodes(n).withColumnRenamed("node_id", "node"))
+
+
+@query("shortest_path_nodes", "SELECT node AS start, hops FROM principals JOIN back6 USING (node)")
+def shortest_path_nodes(spark, sf_dir):
+    return paths(spark, sf_dir).select("start", "hops")
 
 
-@query("shortest_path_nodes_6")
+@query("shortest_path_nodes_6", "SELECT start, hops, goal, path FROM walk")
 def shortest_path_nodes_6(spark, sf_dir):
-    n, e = graph_tables(spark, sf_dir)
-    starts = n.filter("node_type = 'principal'").select(F.col("node_id").alias("node"))
-    return graph.shortest_paths(e, starts, graph.sensitive_nodes(n).withColumnRenamed("node_id", "node")).select("start", "hops")
+    return paths(spark, sf_dir).select("start", "hops", "goal", F.array_join("path", ">").alias("path"))
 
 
 @query("cross_cloud_pivots", "SELECT src_id AS principal, array_to_string(list_sort(list(DISTINCT cloud_provider)), ';') AS clouds, count(DISTINCT CASE WHEN dst_id LIKE 'resource:%' THEN dst_id END) AS n_resources, count(DISTINCT CASE WHEN dst_id LIKE 'tenant:%' THEN dst_id END) AS n_tenants FROM edges WHERE edge_type IN ('accessed', 'connected-to') AND src_id LIKE 'principal:%' GROUP BY 1")
