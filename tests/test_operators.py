@@ -92,21 +92,6 @@ def test_forest_ranks_an_outlier_first_whatever_the_partitions(spark):
     assert a == b and max(a, key=a.get) == 999
 
 
-def test_streams_equal_batches(spark, sf_dir, tmp_path):
-    from trustlake.plans import queries
-    from trustlake.streaming import jobs
-
-    d = queries.uni(spark, sf_dir)
-    d.filter("event_ord < 600").write.parquet(str(tmp_path / "in/a"))
-    d.filter("event_ord >= 600").write.parquet(str(tmp_path / "in/b"))
-    source = spark.readStream.schema(d.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    jobs.graph_stream(source, str(tmp_path / "graph"), str(tmp_path / "mark")).awaitTermination(240)
-    got = jobs.latest(spark, str(tmp_path / "graph"), "edges")
-    want = graph.edges(graph.edge_events(d))
-    key = lambda t: sorted((r.edge_key, r.event_count, r.attack_count) for r in t.collect())
-    assert key(got) == key(want)
-
-
 def test_paths_against_brute_force(spark):
     import random
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: Sides of a join up to this many bytes (as counted by `sized`) are broadcast; larger ones are shuffled.
 BROADCAST_BYTES = 16 << 20
@@ -35,8 +35,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _width(name: str, kind: T.DataType) -> Column:
+    """About how many bytes a value takes in a broadcast table."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(name), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        return F.greatest(F.coalesce(F.size(name), F.lit(0)), F.lit(0)) * (32 if isinstance(kind.elementType, (T.StringType, T.StructType)) else 8) + 16
+    return F.lit(16)
+
+
 def sized(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """table (cut, of plain columns, so counting is cheap) marked for broadcast if its values take at most limit bytes, unmarked beyond."""
-    width = lambda f: F.coalesce(F.octet_length(f.name), F.lit(0)) + 16 if isinstance(f.dataType, T.StringType) else F.lit(16)
-    total = table.agg(F.sum(sum((width(f) for f in table.schema.fields), F.lit(16)).cast("long"))).first()[0] or 0
-    return F.broadcast(table) if total <= limit else table
+    """table (cut, so counting is cheap) marked for broadcast if its values take at most limit bytes, unmarked beyond."""
+    row = sum((_width(f.name, f.dataType) for f in table.schema.fields), F.lit(16)).cast("long")
+    return F.broadcast(table) if (table.agg(F.sum(row)).first()[0] or 0) <= limit else table

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalars as S
+from .lineage import cut
+from .quantiles import quantiles, with_quantiles
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -38,16 +40,19 @@ def summarize(df: DataFrame, decision: str = "decision", by: tuple[str, ...] = (
     return df.groupBy(*by).agg(*summary_columns(decision))
 
 
-def latency_columns(c: str) -> list[Column]:
-    v = F.col(c)
-    q = F.percentile(v, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    zero = lambda x: F.coalesce(x, F.lit(0.0))
-    return [F.count(v).alias("n"), zero(F.avg(v)).alias("mean_s"), zero(q[0]).alias("p50_s"), zero(q[1]).alias("p95_s"), zero(q[2]).alias("p99_s"), zero(F.max(v)).alias("max_s")]
+def latency_summary(df: DataFrame, c: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """n, mean_s, p50_s, p95_s, p99_s, max_s of a column (of each group); nulls don't count, and without values all are 0."""
+    v, zero = F.col(c), lambda x: F.coalesce(x, F.lit(0.0))
+    stats = df.groupBy(*by).agg(F.count(v).alias("n"), zero(F.avg(v)).alias("mean_s"), zero(F.max(v)).alias("max_s"))
+    out = with_quantiles(stats, quantiles(df, v, (0.5, 0.95, 0.99), by), by)
+    return out.select(*by, "n", "mean_s", *[zero(F.col("q")[i]).alias(n) for i, n in enumerate(("p50_s", "p95_s", "p99_s"))], "max_s")
 
 
 def latency_by(df: DataFrame, c: str, group: str) -> DataFrame:
-    """Overall (group 'overall') and by group, in one pass."""
-    return df.rollup(group).agg(F.grouping(group).alias("_all"), *latency_columns(c)).withColumn(group, F.when(F.col("_all") == 1, "overall").otherwise(F.col(group))).drop("_all")
+    """Overall (group 'overall') and by group."""
+    d = cut(df.select(F.col(c), group))
+    overall = latency_summary(d, c).withColumn(group, F.lit("overall"))
+    return overall.unionByName(latency_summary(d, c, (group,)))
 
 
 def cross_cloud_keys(df: DataFrame, key: str = "session_id", cloud: str = "cloud_provider") -> DataFrame:
@@ -101,9 +106,10 @@ def executions(actions: DataFrame) -> DataFrame:
 
 def profile(df: DataFrame, columns: tuple[str, ...] = ("risk", "confidence")) -> DataFrame:
     """metric, n, mean, std, min, p25, p50, p75, max."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("v")) for c in columns])).alias("x")).select("x.*")
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return long.groupBy("metric").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev("v").alias("std"), F.min("v").alias("min"), q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"), F.max("v").alias("max"))
+    long = cut(df.select(*columns)).unpivot([], list(columns), "metric", "v")
+    stats = long.groupBy("metric").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    out = with_quantiles(stats, quantiles(long, F.col("v"), (0.25, 0.5, 0.75), ("metric",)), ("metric",))
+    return out.select("metric", "n", "mean", "std", "min", *[F.col("q")[i].alias(p) for i, p in enumerate(("p25", "p50", "p75"))], "max")
 
 
 #: Metric -> (target, whether more is better), on hard decisions and, as a first check, on flagged ones.

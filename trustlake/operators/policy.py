@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import scalars as S
-from .quantiles import quantiles
+from .lineage import cut
+from .quantiles import quantiles, with_quantiles
 
 #: Seconds that an action takes.
 ACTION_SECONDS = {
@@ -117,16 +118,39 @@ def stage_starts(df: DataFrame, days: tuple[int, int, int] = (7, 3, 3)) -> DataF
     return out
 
 
-def staged_events(df: DataFrame, days: tuple[int, int, int] = (7, 3, 3), canary: float = 0.05, cohort: str = "session_id", cloud: str | None = "aws", tenant: str | None = None, region: str | None = None, seed: int = 42) -> DataFrame:
-    """df (with intent_decision) with stage, enforced and effective_decision.  Events without a timestamp belong to the last stage."""
-    c = F.col
-    stage = F.when(c("ts") < F.coalesce("s1", F.lit("9999-01-01").cast("timestamp")), "shadow").when(c("ts") < F.coalesce("s2", F.lit("9999-01-01").cast("timestamp")), "canary").when(c("ts") < F.coalesce("s3", F.lit("9999-01-01").cast("timestamp")), "enforce").otherwise("rollout")
+#: Fixed value: events that count as a day where no event has a timestamp.
+EVENTS_A_DAY = 2000
+
+
+def stage_by_ordinal(df: DataFrame, days: tuple[int, int, int] = (7, 3, 3), per_day: int = EVENTS_A_DAY) -> DataFrame:
+    """df with stage by how many events come before (in event_ord order): so many events a day, the last stage takes the rest.
+
+    An event's ordinal is its place within a range of event_ord plus the rows of the ranges below, so no window spans all rows."""
+    d = df.withColumn("_nth", _ordinal(df))
+    ends = [sum(days[: i + 1]) * per_day for i in range(3)]
+    nth = F.col("_nth")
+    return d.withColumn("stage", F.when(nth < ends[0], "shadow").when(nth < ends[1], "canary").when(nth < ends[2], "enforce").otherwise("rollout")).drop("_nth")
+
+
+def staged_events(
+    df: DataFrame, days: tuple[int, int, int] = (7, 3, 3), canary: float = 0.05, cohort: str = "session_id", cloud: str | None = "aws", tenant: str | None = None, region: str | None = None,
+    seed: int = 42, per_day: int = EVENTS_A_DAY,
+) -> DataFrame:
+    """df (with intent_decision) with stage, enforced and effective_decision.  Events without a timestamp belong to the last stage; where
+    no event has one (or there is no such column), stages are counts of events, per_day for a day."""
+    c, never = F.col, F.lit("9999-01-01").cast("timestamp")
+    starts = cut(stage_starts(df.select("ts"), days)) if "ts" in df.columns else None
+    if starts is None or starts.first()["s0"] is None:
+        d = stage_by_ordinal(df, days, per_day)
+    else:
+        until = lambda s: c("ts") < F.coalesce(s, never)
+        stage = F.when(until("s1"), "shadow").when(until("s2"), "canary").when(until("s3"), "enforce").otherwise("rollout")
+        d = df.crossJoin(F.broadcast(starts)).withColumn("stage", stage).drop(*starts.columns)  # one row
     scope = F.lit(True)
     for name, value in (("cloud_provider", cloud), ("tenant_id", tenant), ("region", region)):
         scope = scope & (F.lower(c(name)) == value.lower()) if value else scope
     enforced = F.when(c("stage") == "shadow", False).when(c("stage") == "canary", S.unit_hash(c(cohort), seed) < canary).when(c("stage") == "enforce", scope).otherwise(True)
-    d = df.crossJoin(F.broadcast(stage_starts(df, days))).withColumn("stage", stage).drop("s0", "s1", "s2", "s3").withColumn("enforced", enforced)
-    return d.withColumn("effective_decision", F.when(c("enforced"), c("intent_decision")).otherwise("allow"))
+    return d.withColumn("enforced", enforced).withColumn("effective_decision", F.when(c("enforced"), c("intent_decision")).otherwise("allow"))
 
 
 def rollout_kpis(df: DataFrame, override_conf: float = 0.35, seed: int = 42) -> DataFrame:
@@ -138,11 +162,14 @@ def rollout_kpis(df: DataFrame, override_conf: float = 0.35, seed: int = 42) ->
     chance = F.when(c("_eff") == "stepup", 0.003).when(c("_eff") == "restrict", 0.005).when(c("_eff") == "deny", 0.0).otherwise(0.0002)
     d = d.withColumns({"_lat": S.number(c("latency_ms"), 100.0) + overhead, "_err": S.unit_hash(c("event_ord"), seed) < chance})
     rate = lambda cond: F.coalesce(F.avg(F.when(c("_in"), cond.cast("double"))), F.lit(0.0))
-    return d.groupBy("stage").agg(
+    stats = d.groupBy("stage").agg(
         F.count(F.lit(1)).alias("n_events"), F.avg(c("_in").cast("double")).alias("enforced_fraction"), rate((c("label_attack") == 0) & (c("_eff") == "deny")).alias("false_deny_rate"),
-        rate(c("_eff") == "stepup").alias("mfa_friction_rate"), F.coalesce(F.percentile(F.when(c("_in"), c("_lat")), 0.95), F.lit(0.0)).alias("latency_p95_ms"), rate(c("_err")).alias("policy_error_rate"),
+        rate(c("_eff") == "stepup").alias("mfa_friction_rate"), rate(c("_err")).alias("policy_error_rate"),
         rate(c("_eff").isin("restrict", "deny") & (c("confidence") < override_conf)).alias("analyst_override_rate"),
     )
+    out = with_quantiles(stats, quantiles(d.filter("_in"), c("_lat"), (0.95,), ("stage",)), ("stage",))
+    p95 = F.coalesce(c("q")[0], F.lit(0.0)).alias("latency_p95_ms")
+    return out.select("stage", "n_events", "enforced_fraction", "false_deny_rate", "mfa_friction_rate", p95, "policy_error_rate", "analyst_override_rate")
 
 
 #: The safety budgets, by KPI.

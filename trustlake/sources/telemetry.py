@@ -91,9 +91,3 @@ def write_features(df: DataFrame, path: str) -> None:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
-
-
-def write_graph(tables: dict[str, DataFrame], path: str) -> None:
-    """Each graph table as Parquet under path; the merged snapshot replaces what was there."""
-    for name, table in tables.items():
-        table.write.mode("overwrite").parquet(f"{path}/{name}")

@@ -1,74 +1,31 @@
-"""Structured Streaming: the graph kept up to date by micro-batches, and per-principal features with keyed state."""
+"""The graph kept up to date by micro-batches of a stream."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators import graph
+from ..operators.lineage import cut
+from ..sources.graph_store import GraphStore
 
 
-def _versions(spark: SparkSession, path: str, table: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{path}/{table}")
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(at):
-        return []
-    found = [s.getPath() for s in fs.listStatus(at)]
-    return sorted(int(p.getName()[1:]) for p in found if p.getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
+def deduplicated(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Each event_ord once, if its repetition comes within the watermark; the state of an event goes when the watermark passes it, and
+    events behind the watermark are dropped.  Events without a timestamp have no watermark: they pass, repetitions too."""
+    timed = events.filter("ts IS NOT NULL").withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_ord"])
+    return timed.unionByName(events.filter("ts IS NULL"))
 
-def latest(spark: SparkSession, path: str, table: str, below: int | None = None) -> DataFrame | None:
-    """The newest complete snapshot of a graph table (before batch `below`), or None."""
-    found = [v for v in _versions(spark, path, table) if below is None or v < below]
-    return spark.read.parquet(f"{path}/{table}/v{found[-1]}") if found else None
 
+def graph_stream(events: DataFrame, path: str, checkpoint: str, every: str | None = None, delay: str = "1 hour", buckets: int = 64):
+    """Merges the events of each micro-batch into the store under path.
 
-def graph_stream(events: DataFrame, path: str, checkpoint: str, every: str | None = None):
-    """Merges each micro-batch into snapshots under path, one per batch.  A batch that is run again writes the same snapshot from the
-    same predecessor, so the result holds each event once; the merge commutes, so late events count too."""
+    A batch rewrites only the buckets that its nodes and edges fall into.  A batch that is run again merges the same rows into the same
+    predecessor under the same number, so each event counts once; merges commute, so late events count too."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        for table, made, merged in (("nodes", graph.nodes(graph.node_events(batch)), graph.merge_nodes), ("edges", graph.edges(graph.edge_events(batch)), graph.merge_edges)):
-            old = latest(spark, path, table, number)
-            (merged(old, made) if old is not None else made).write.mode("overwrite").parquet(f"{path}/{table}/v{number}")
+        rows = cut(batch)
+        tables = {"nodes": graph.nodes(graph.node_events(rows)), "edges": graph.edges(graph.edge_events(rows))}
+        GraphStore(batch.sparkSession, path, buckets).commit(tables, {"nodes": graph.merge_nodes, "edges": graph.merge_edges}, number)
 
-    writer = events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    writer = deduplicated(events, delay).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
-
-
-FEATURES = "event_ord long, principal_id string, f_geo_switch int, f_fast_geo_switch int, f_bytes_spike_score double, g_is_new_resource_edge int, g_new_resource_count_win long"
-STATE = "geo string, last_us long, mean double, variance double, seen array<string>, recent array<long>"
-
-
-def features_stream(events: DataFrame, minutes: int = 30, alpha: float = 0.2) -> DataFrame:
-    """Ordered features per principal over a stream; events of a micro-batch are taken in (ts, event_ord) order.
-
-    State per principal: last geo and time, the two exponential means, resources seen, and times of new ones within the window."""
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        geo, last, mean, var, seen, recent = state.get if state.exists else (None, None, None, 0.0, [], [])
-        seen, recent, out = set(seen), list(recent), []
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_ord"])
-        for r in rows.itertuples():
-            us = None if pd.isna(r.ts) else int(r.ts.value // 1000)
-            moved = geo is not None and r.geo is not None and r.geo != geo
-            fast = moved and us is not None and last is not None and us - last <= 3_600_000_000
-            mean = r.bytes_out if mean is None else alpha * r.bytes_out + (1 - alpha) * mean
-            d = r.bytes_out - mean
-            var = alpha * d * d + (1 - alpha) * var
-            new = r.resource_id not in seen and str(r.resource_id).lower() not in ("", "nan", "none", "unknown")
-            seen.add(r.resource_id)
-            if us is not None:
-                recent = [t for t in recent if us - t <= minutes * 60_000_000] + ([us] if new else [])
-                last = us
-            geo = r.geo
-            out.append((r.event_ord, key[0], int(moved), int(fast), d / (var**0.5 + 1e-6), int(new), len(recent) if us is not None else 0))
-        state.update((geo, last, mean, var, sorted(map(str, seen)), recent))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in FEATURES.split(", ")])
-
-    keyed = events.select(F.coalesce("principal_id", F.lit("unknown")).alias("principal_id"), "event_ord", "ts", "geo", "bytes_out", "resource_id")
-    return keyed.groupBy("principal_id").applyInPandasWithState(update, FEATURES, STATE, "append", "NoTimeout")
