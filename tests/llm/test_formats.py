@@ -14,7 +14,7 @@ import sentencepiece  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-from trustlake.llm import alignment, chat, fim, queries  # noqa: E402
+from trustlake.llm import alignment, chat, common, fim, queries  # noqa: E402
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, n int, form string, output string, chunk long, part int, keys string, links int, id_ string, h1 string"
@@ -149,6 +149,8 @@ def test_alignment(spark, texts, libraries, monkeypatch):
     assert sum(t is None for _, t in held) >= 3 and any(r[5] < r[4] for r in want)
     for rows_of_chunk in (alignment.CHUNK_ROWS, 3):
         monkeypatch.setattr(alignment, "CHUNK_ROWS", rows_of_chunk)
+        monkeypatch.setattr(alignment, "KNOWN", 40 if rows_of_chunk == 3 else alignment.KNOWN)
+        monkeypatch.setattr(alignment, "small", lambda batches, rows: common.small(batches, min(rows, rows_of_chunk)))
         out = alignment.align_corpus(table(spark, rows), A, B, keep_groups=True).withColumn("typed", alignment.typed_groups(F.col("groups"))).collect()
         assert sorted(map(str, (tuple(r)[:8] for r in out))) == sorted(map(str, want))
     assert all(";".join(f"{','.join(map(str, g.a))}|{','.join(map(str, g.b))}" for g in r.typed) == r.groups for r in out)
@@ -159,15 +161,20 @@ ODD = st.text(alphabet=st.sampled_from(list("ab  \t\n'’.,1é中🙂  ​᠎
 
 
 @settings(max_examples=400, deadline=None)
-@given(ODD)
-def test_fragments_give_the_libraries_tokens(libraries, text):
-    found = next(alignment.aligner(A, B).texts([text]))
-    whole = brute_tokens(libraries, text)
-    assert (found is None) == (whole is None)
-    if whole:
-        ta, tb = whole
-        assert ";".join(f[1][3] for f in found) == ";".join(brute_groups(ta, tb))
-        assert sorted(int(x) for f in found for x in f[1][4]) == sorted(a << alignment.SHIFT | b for a, b in brute_links(ta, tb))
+@given(st.lists(ODD, min_size=1, max_size=3))
+def test_fragments_give_the_libraries_tokens(libraries, texts):
+    known = alignment.aligner(A, B)
+    known.forget()
+    for text, numbers in zip(texts, list(known.numbers(texts))):
+        whole = brute_tokens(libraries, text)
+        assert bool(numbers) == (whole is not None)
+        if whole:
+            bounds = [0, *known.sizes[:, 3].cumsum()]
+            links = [int(x) for n in numbers for x in known.links[bounds[n] : bounds[n + 1]]]
+            groups = brute_groups(*whole)
+            assert ";".join(known.groups[n] for n in numbers) == ";".join(groups)
+            assert sorted(links) == sorted(a << alignment.SHIFT | b for a, b in brute_links(*whole))
+            assert known.sizes[numbers].sum(axis=0).tolist() == [len(whole[0]), len(whole[1]), len(groups), len(links)]
 
 
 def test_long_text(spark, texts, libraries):

@@ -1,7 +1,7 @@
 """Alignment of two tokenizers' tokens over the same bytes, and how often each pair of ids is linked in the corpus.
 
-Per text: a dictionary from cumulative byte end to token index for each tokenizer; the intersection of their keys, sorted, slices both
-id lists into groups; inside a slice every pair of tokens whose byte ranges overlap is a link.
+A dictionary from cumulative byte end to token index for each tokenizer; the intersection of their keys, sorted, slices both id lists
+into groups; inside a slice every pair of tokens whose byte ranges overlap is a link.
 
 A text is taken as space+text and first cut where both tokenizers are certain to start a token: before a space between two characters
 that are no white space.  The byte-level one's pattern takes at most one space along with what follows it, and no piece of the other one
@@ -26,7 +26,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ from .bpe import _byte_alphabet
 from .common import give_back, small, staged
 
 #: A chunk ends when it has so many characters or rows; a worker's known fragments are forgotten beyond so many.
-CHUNK_CHARS, CHUNK_ROWS, KNOWN = 4_000_000, 20_000, 200_000
+CHUNK_CHARS, CHUNK_ROWS, KNOWN = 4_000_000, 20_000, 400_000
 #: Two ids of a pair in one number: a * 2**32 + b.
 SHIFT = 32
 ROW = (
@@ -49,7 +49,8 @@ _CUT = re.compile(r"(?<=[^\s\u180e\u200b\ufeff]) (?=[^\s\u180e\u200b\ufeff])")
 
 
 class Aligner:
-    """Groups and links of texts under two tokenizers."""
+    """Groups and links of texts under two tokenizers.  Fragments that were met are kept by number: their groups as text, their sizes
+    (tokens of either kind, groups, links) and their links."""
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
@@ -63,64 +64,98 @@ class Aligner:
         of = _byte_alphabet()
         with open(path_a) as f:
             vocab = json.load(f)["model"]["vocab"]
-        self.bytes_a = {i: bytes(of[c] for c in t) for t, i in vocab.items()}
+        bytes_a = {i: bytes(of[c] for c in t) for t, i in vocab.items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
-        self.known: dict[str, tuple | None] = {}
-
-    def fragments(self, text: str) -> list[str]:
-        """space+text, cut where both start a token; each fragment begins with a space."""
-        return [" " + f for f in _CUT.split(text)] if self.cuts else [" " + text]
-
-    def align(self, texts: list[str]) -> list[tuple | None]:
-        """For each text (beginning with a space): n_a, n_b, groups as text, numbers of links (a << SHIFT | b); None if bytes differ."""
-        out = []
-        encoded = self.a.encode_batch(texts, add_special_tokens=False)
-        for text, e, ids_b in zip(texts, encoded, self.b.encode([t[1:] for t in texts], num_threads=1)):
-            ids_a, data = e.ids, text.encode()
-            parts_a, parts_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-            out.append(self._sliced(ids_a, ids_b, parts_a, parts_b) if b"".join(parts_a) == data == b"".join(parts_b) else None)
-        return out
-
-    def _sliced(self, ids_a: list[int], ids_b: list[int], parts_a: list[bytes], parts_b: list[bytes]) -> tuple:
-        ends_a, ends_b = list(accumulate(map(len, parts_a))), list(accumulate(map(len, parts_b)))
-        at_a, at_b = {e: i for i, e in enumerate(ends_a, 1)}, {e: i for i, e in enumerate(ends_b, 1)}
-        groups, links, i, j = [], [], 0, 0
-        for end in sorted(at_a.keys() & at_b.keys()):
-            to_i, to_j = at_a[end], at_b[end]
-            groups.append(f"{','.join(map(str, ids_a[i:to_i]))}|{','.join(map(str, ids_b[j:to_j]))}")
-            # Inside a slice no ends are equal, so the range that ends first gives way to its follower.
-            while i < to_i:
-                links.append(ids_a[i] << SHIFT | ids_b[j])
-                if ends_a[i] == ends_b[j]:
-                    i, j = i + 1, j + 1
-                elif ends_a[i] < ends_b[j]:
-                    i += 1
-                else:
-                    j += 1
-        return len(ids_a), len(ids_b), len(groups), ";".join(groups), np.array(links, np.int64)
-
-    def texts(self, texts: list[str | None]) -> Iterator[list[tuple[str, tuple]] | None]:
-        """For each text its fragments with their alignment, or None if it has no tokens."""
-        cut = [self.fragments(t) if t else [] for t in texts]
-        known = self.known
-        if len(known) > KNOWN:
-            known.clear()
-        new = list({f for fs in cut for f in fs if f not in known})
-        for at in range(0, len(new), 4096):
-            known.update(zip(new[at : at + 4096], self.align(new[at : at + 4096])))
-        for text, fs in zip(texts, cut):
-            if fs and any(known[f] is None for f in fs):
-                whole = self.align([" " + text])[0] if len(fs) > 1 else None
-                yield None if whole is None else [(" " + text, whole)]
-            else:
-                yield [(f, known[f]) for f in fs] or None
+        bytes_b = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)}
+        self.cuts = not any(re.search("[^\u2581]\u2581", p) for p in pieces)
+        self.bytes, self.lengths, self.inner, self.last = [], [], [], []
+        for known, end in ((bytes_a, "|"), (bytes_b, ";")):
+            n = max(known) + 1
+            self.bytes.append(np.array([known.get(i, b"") for i in range(n)] + [None], object)[:-1])
+            self.lengths.append(np.array([len(known.get(i, b"")) for i in range(n)], np.int64))
+            self.inner.append(np.array([f"{i}," for i in range(n)], object))
+            self.last.append(np.array([f"{i}{end}" for i in range(n)], object))
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops all fragments; numbers given before are void."""
+        self.known: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.sizes, self.links, self.n_links = np.zeros((0, 4), np.int64), np.zeros(0, np.int64), 0
 
     def free(self) -> None:
-        self.known.clear()
+        self.forget()
         give_back()
 
+    def numbers(self, texts: list[str | None]) -> Iterator[list[int]]:
+        """For each text the numbers of its fragments; none if it has no tokens."""
+        cut = [(_CUT.split(t) if self.cuts else [t]) if t else [] for t in texts]
+        new = list(set().union(*cut) - self.known.keys())
+        for at in range(0, len(new), 8192):
+            self.known.update(zip(new[at : at + 8192], self._learn(new[at : at + 8192])))
+        find = self.known.__getitem__
+        for text, fragments in zip(texts, cut):
+            found = list(map(find, fragments))
+            if found and min(found) < 0:  # bytes differ in a fragment: the whole text decides
+                found = self._learn([text]) if len(found) > 1 else [-1]
+                found = found if found[0] >= 0 else []
+            yield found
+
+    def _learn(self, fragments: list[str]) -> list[int]:
+        """The numbers of new fragments, -1 where one does not give its bytes back.  Each stands for itself with a space before it."""
+        texts = [" " + f for f in fragments]
+        ids = [[e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)], self.b.encode(fragments, num_threads=1)]
+        data = [t.encode() for t in texts]
+        good = self._given_back(ids[0], ids[1], data)
+        if not good.all():
+            which = np.flatnonzero(good)
+            ids, data = [[own[i] for i in which] for own in ids], [data[i] for i in which]
+        out = np.full(len(fragments), -1, np.int64)
+        out[good] = np.arange(len(data)) + len(self.groups)
+        if data:
+            self._slice(ids, np.cumsum([len(d) for d in data]))
+        return out.tolist()
+
+    def _given_back(self, ids_a: list[list[int]], ids_b: list[list[int]], data: list[bytes]) -> np.ndarray:
+        """Which fragments both tokenizers give back; first all of them at once."""
+        whole, ends = b"".join(data), np.cumsum([len(d) for d in data])
+        good = np.ones(len(data), bool)
+        for side, ids in enumerate((ids_a, ids_b)):
+            flat = np.fromiter(chain.from_iterable(ids), np.int64)
+            upto = np.concatenate([[0], np.cumsum(self.lengths[side][flat])])[np.cumsum([len(i) for i in ids])]
+            if not np.array_equal(upto, ends) or b"".join(self.bytes[side][flat].tolist()) != whole:
+                good &= [b"".join(self.bytes[side][i].tolist()) == d for i, d in zip(ids, data)]
+        return good
+
+    def _slice(self, ids: list[list[list[int]]], ends: np.ndarray) -> None:
+        """Takes fragments whose bytes, one after another, end at ends: the tokens of both kinds are sliced at their common ends."""
+        flat = [np.fromiter(chain.from_iterable(own), np.int64) for own in ids]
+        upto = [np.cumsum(self.lengths[side][f]) for side, f in enumerate(flat)]
+        at = [dict(zip(u.tolist(), range(1, len(u) + 1))) for u in upto]
+        common = sorted(at[0].keys() & at[1].keys())
+        to = [np.fromiter(map(d.__getitem__, common), np.int64, len(common)) for d in at]
+        # Of each slice the tokens of the first kind, then those of the second, with the mark that follows each.
+        since = [np.concatenate([[0], t[:-1]]) for t in to]
+        pieces = np.empty(len(flat[0]) + len(flat[1]), object)
+        for side, f in enumerate(flat):
+            own = np.arange(len(f))
+            of_slice = np.searchsorted(to[side], own, "right")
+            marked = self.inner[side][f]
+            marked[to[side] - 1] = self.last[side][f[to[side] - 1]]
+            pieces[own + (since[1] if side == 0 else to[0])[of_slice]] = marked
+        counts = [np.array([len(i) for i in own], np.int64) for own in ids]
+        pieces, bounds = pieces.tolist(), [0, *np.cumsum(counts[0] + counts[1]).tolist()]
+        self.groups += ["".join(pieces[i:j])[:-1] for i, j in zip(bounds, bounds[1:])]
+        # Two ranges overlap in one stretch between neighbouring ends of either kind, and each such stretch lies in one slice.
+        both = np.union1d(*upto)
+        links = flat[0][np.searchsorted(upto[0], both)] << SHIFT | flat[1][np.searchsorted(upto[1], both)]
+        within = lambda places: np.diff(np.searchsorted(places, ends, "right"), prepend=0)
+        self.sizes = np.concatenate([self.sizes, np.stack([*counts, within(np.array(common)), within(both)], axis=1)])
+        if self.n_links + len(links) > len(self.links):
+            self.links = np.concatenate([self.links, np.zeros(max(len(links), len(self.links)), np.int64)])
+        self.links[self.n_links : self.n_links + len(links)] = links
+        self.n_links += len(links)
+
 
 @lru_cache(maxsize=2)
 def aligner(path_a: str, path_b: str) -> Aligner:
@@ -128,50 +163,40 @@ def aligner(path_a: str, path_b: str) -> Aligner:
 
 
 class Chunk:
-    """The texts of a chunk, by the numbers of their distinct fragments."""
+    """The texts of a chunk, by the numbers of their fragments in an aligner, which has to keep them until the chunk ends."""
 
     def __init__(self) -> None:
-        self.number: dict[str, int] = {}
-        self.fragments: list[tuple] = []
-        self.ids, self.digests, self.groups, self.parts = [], [], [], []
-        self.chars = 0
-
-    def add(self, doc_id: pa.Scalar, aligned: list[tuple[str, tuple]] | None, keep: bool) -> None:
-        number, of = self.number, []
-        for fragment, found in aligned or ():
-            n = number.get(fragment)
-            if n is None:
-                n = number[fragment] = len(self.fragments)
-                self.fragments.append(found)
-            of.append(n)
-            self.chars += len(fragment)
-        groups = ";".join([self.fragments[n][3] for n in of])
+        self.ids, self.digests, self.groups, self.parts, self.chars = [], [], [], [], 0
+
+    def add(self, doc_id, text: str | None, numbers: list[int], aligner: Aligner, keep: bool) -> None:
+        groups = ";".join(map(aligner.groups.__getitem__, numbers))
         self.ids.append(doc_id)
-        self.digests.append(hashlib.sha256(groups.encode()).hexdigest() if of else "")
+        self.digests.append(hashlib.sha256(groups.encode()).hexdigest() if numbers else "")
         self.groups.append(groups if keep else None)
-        self.parts.append(np.array(of, np.int64))
+        self.parts.append(np.array(numbers, np.int64))
+        self.chars += len(text or "")
 
     def full(self) -> bool:
         return self.chars >= CHUNK_CHARS or len(self.ids) >= CHUNK_ROWS
 
-    def batches(self, chunk: int, id_type: pa.DataType, keep: bool) -> Iterator[pa.RecordBatch]:
+    def batches(self, chunk: int, aligner: Aligner, id_type: pa.DataType, keep: bool) -> Iterator[pa.RecordBatch]:
         """A row of the chunk (part 0: keys are its pairs, counts their documents, links and bounds the pairs of each fragment), and one
         of each document (part 1: links are its fragments, counts how often each occurs)."""
-        sizes = np.array([[a, b, g, len(links)] for a, b, g, _, links in self.fragments], np.int64).reshape(-1, 4)
-        every = np.concatenate([f[4] for f in self.fragments]) if self.fragments else np.empty(0, np.int64)
-        keys, links = np.unique(every, return_inverse=True)
-        bounds = np.concatenate([[0], np.cumsum(sizes[:, 3])])
-
-        n_docs, width = len(self.ids), max(1, len(self.fragments))
-        doc = np.repeat(np.arange(n_docs), [len(p) for p in self.parts])
-        both, times = np.unique(doc * width + (np.concatenate(self.parts) if n_docs else doc), return_counts=True)
+        n_docs = len(self.ids)
+        fragments, inverse = np.unique(np.concatenate(self.parts), return_inverse=True)
+        sizes, starts = aligner.sizes[fragments], np.concatenate([[0], np.cumsum(aligner.sizes[:, 3])])[fragments]
+        n = sizes[:, 3]
+        bounds = np.concatenate([[0], np.cumsum(n)])
+        keys, links = np.unique(aligner.links[_spread(starts, n)], return_inverse=True)
+
+        width = max(1, len(fragments))
+        both, times = np.unique(np.repeat(np.arange(n_docs), [len(p) for p in self.parts]) * width + inverse, return_counts=True)
         doc, fragment = both // width, both % width
         totals = np.stack([_sums(doc, times * sizes[fragment, i], n_docs) for i in range(4)])
         at = np.searchsorted(doc, np.arange(n_docs + 1))
 
-        n = sizes[fragment, 3]
-        place = np.repeat(bounds[fragment] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        held = np.unique(np.repeat(doc, n) * max(1, len(keys)) + links[place]) % max(1, len(keys))
+        m = n[fragment]
+        held = np.unique(np.repeat(doc, m) * max(1, len(keys)) + links[_spread(bounds[fragment], m)]) % max(1, len(keys))
         docs_of = np.bincount(held, minlength=len(keys))
 
         none = lambda kind, m: pa.nulls(m, kind)
@@ -188,6 +213,11 @@ class Chunk:
         yield pa.RecordBatch.from_arrays(rest, names=names)
 
 
+def _spread(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (n[0] of them), then those from starts[1], and so on."""
+    return np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 def _sums(where: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """The sum of the values at each of n places (sorted), in whole numbers."""
     upto = np.concatenate([[0], np.cumsum(values)])
@@ -205,14 +235,16 @@ def align_corpus(docs: DataFrame, path_a: str, path_b: str, keep_groups: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, chunk, number, kind = aligner(path_a, path_b), Chunk(), TaskContext.get().partitionId() << 32, None
         for b in small(batches, 200):
-            kind = b.schema.field("doc_id").type
-            for doc_id, aligned in zip(b.column("doc_id").to_pylist(), known.texts(b.column("text").to_pylist())):
-                chunk.add(doc_id, aligned, keep_groups)
-                if chunk.full():
-                    yield from chunk.batches(number, kind, keep_groups)
-                    chunk, number = Chunk(), number + 1
+            kind, texts = b.schema.field("doc_id").type, b.column("text").to_pylist()
+            if chunk.ids and (chunk.full() or len(known.known) > KNOWN):
+                yield from chunk.batches(number, known, kind, keep_groups)
+                chunk, number = Chunk(), number + 1
+            if len(known.known) > KNOWN:
+                known.forget()
+            for doc_id, text, numbers in zip(b.column("doc_id").to_pylist(), texts, known.numbers(texts)):
+                chunk.add(doc_id, text, numbers, known, keep_groups)
         if chunk.ids:
-            yield from chunk.batches(number, kind, keep_groups)
+            yield from chunk.batches(number, known, kind, keep_groups)
         known.free()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
