@@ -88,7 +88,7 @@ def test_actions(spark):
 def test_forest_ranks_an_outlier_first_whatever_the_partitions(spark):
     rows = [(i, float(i % 10), float(i % 7)) for i in range(400)] + [(999, 500.0, -300.0)]
     d = spark.createDataFrame(rows, "event_ord long, x double, y double")
-    a, b = [{r.event_ord: r.raw_anom for r in models.iforest_score(d.repartition(n), models.iforest_fit(d.repartition(n), ("x", "y"), 20, 64), ("x", "y"), 64).collect()} for n in (2, 5)]
+    a, b = [{r.event_ord: r.raw_anom for r in models.iforest_score(d.repartition(n), models.iforest_fit(d.repartition(n), ("x", "y"), 20, 64), ("x", "y")).collect()} for n in (2, 5)]
     assert a == b and max(a, key=a.get) == 999
 
 

@@ -61,30 +61,70 @@ def cross_cloud_keys(df: DataFrame, key: str = "session_id", cloud: str = "cloud
     return df.join(of, F.coalesce(key, F.lit("unknown")) == F.col("_key")).drop("_key")
 
 
-#: Columns that mark cross-cloud events, the first present counts.
+#: Columns that mark cross-cloud events, that hold a cloud, that hold a key of events that belong together, a blast radius,
+#: or a pivot score; the first present counts.
 XCLOUD = ("g_cross_cloud_hops_session", "raw_cross_cloud_hop", "cross_cloud_hops", "is_cross_cloud_event", "is_cross_cloud")
+CLOUDS = ("cloud_provider", "cloud", "provider")
+KEYS = ("session_id", "raw_session_id", "trace_id", "principal_id", "user_id")
+BLASTS = ("g_blast_radius_sensitive_k", "g_sensitive_blast_k", "g_sensitive_reach_k", "g_sensitive_neighbor_count", "g_sensitive_neighbors_k")
+PIVOTS = ("g_pivot_score", "g_graph_pivot_score", "graph_pivot_score", "pivot_score")
 
 
-def cross_cloud_detection(df: DataFrame, decision: str = "decision", by: tuple[str, ...] = ()) -> DataFrame:
-    mark = next((c for c in XCLOUD if c in df.columns), None)
-    d = df if mark else cross_cloud_keys(df)
-    crossed = S.number(F.col(mark)) > 0.5 if mark else F.col("n_clouds") > 1
-    attack = crossed & (F.col("label_attack") == 1)
+def _first(columns: list[str], names: tuple[str, ...]) -> str | None:
+    return next((c for c in names if c in columns), None)
+
+
+def marked(df: DataFrame) -> DataFrame:
+    """df with _crossed, whether an event is cross-cloud: by a column that says so, else whether its key's events are in several clouds;
+    without such columns no event is."""
+    mark, cloud, key = (_first(df.columns, names) for names in (XCLOUD, CLOUDS, KEYS))
+    if mark:
+        return df.withColumn("_crossed", S.number(F.col(mark).cast("double")) > 0.5)
+    if cloud and key:
+        return cross_cloud_keys(df, key, cloud).withColumn("_crossed", F.col("n_clouds") > 1).drop("n_clouds")
+    return df.withColumn("_crossed", F.lit(False))
+
+
+def _detection(decision: str) -> list[Column]:
+    attack = F.col("_crossed") & (F.coalesce("label_attack", F.lit(0)) == 1)
     flagged, hard = flags(F.col(decision))
-    return d.groupBy(*by).agg(
-        F.count_if(crossed).alias("xcloud_events"), F.count_if(attack).alias("xcloud_attacks"), ratio(F.count_if(attack & flagged), F.count_if(attack)).alias("xcloud_flagged_tpr"),
+    return [
+        F.count_if("_crossed").alias("xcloud_events"), F.count_if(attack).alias("xcloud_attacks"), ratio(F.count_if(attack & flagged), F.count_if(attack)).alias("xcloud_flagged_tpr"),
         ratio(F.count_if(attack & hard), F.count_if(attack)).alias("xcloud_hard_tpr"),
-    )
+    ]
 
 
-def blast_reduction(df: DataFrame, blast: str = "g_blast_radius_sensitive_k", decision: str = "decision", by: tuple[str, ...] = ()) -> DataFrame:
-    """Attacks only: mean blast radius before and after containment by the decision, and the reduction in percent."""
-    d = F.lower(F.coalesce(decision, F.lit("")))
+def cross_cloud_detection(df: DataFrame, decision: str = "decision", by: tuple[str, ...] = ()) -> DataFrame:
+    """Events and attacks across clouds, and the shares of those attacks that are flagged and hard; zeros without labels."""
+    d = df if "label_attack" in df.columns else df.filter("false").withColumn("label_attack", F.lit(0))
+    return marked(d).groupBy(*by).agg(*_detection(decision))
+
+
+def blast_size(columns: list[str]) -> Column:
+    """The blast radius of an event: a column that has it, else 1 to 21 by a pivot score, else null."""
+    blast, pivot = _first(columns, BLASTS), _first(columns, PIVOTS)
+    if blast:
+        return F.greatest(F.lit(0.0), S.number(F.col(blast)))
+    return 1 + 20 * S.clip01(S.number(F.col(pivot))) if pivot else F.lit(None).cast("double")
+
+
+def _reduction(decision: str, size: str) -> list[Column]:
+    d, attack = F.lower(F.coalesce(decision, F.lit(""))), F.col("label_attack") == 1
     factor = F.when(d == "stepup", 0.10).when(d == "restrict", 0.45).when(d == "deny", 0.75).otherwise(0.0)
-    size = F.greatest(F.lit(0.0), S.number(F.col(blast))) if blast in df.columns else 1 + 20 * S.clip01(S.number(F.col("g_pivot_score")))
-    before, after = F.coalesce(F.avg("_before"), F.lit(0.0)), F.coalesce(F.avg("_after"), F.lit(0.0))
-    rows = df.filter("label_attack = 1").withColumn("_before", size).withColumn("_after", F.col("_before") * (1 - factor))
-    return rows.groupBy(*by).agg(before.alias("mean_blast_before"), after.alias("mean_blast_after"), F.coalesce(100 * (1 - F.try_divide(after, before)), F.lit(0.0)).alias("blast_radius_reduction_pct"))
+    none = F.coalesce(F.count_if(attack), F.lit(0)) == 0
+    before = F.when(none, 0.0).otherwise(F.avg(F.when(attack, F.col(size))))
+    after = F.when(none, 0.0).otherwise(F.avg(F.when(attack, F.col(size) * (1 - factor))))
+    percent = F.when(before <= 0, 0.0).otherwise(100 * (1 - F.try_divide(after, before)))
+    return [before.alias("mean_blast_before"), after.alias("mean_blast_after"), percent.alias("blast_radius_reduction_pct")]
+
+
+def blast_reduction(df: DataFrame, decision: str = "decision", by: tuple[str, ...] = ()) -> DataFrame:
+    """Attacks only: mean blast radius before and after containment by the decision, and the reduction in percent; 0 without attacks,
+    null without labels or without a column to tell it by."""
+    if "label_attack" not in df.columns:
+        null = [F.first(F.lit(None).cast("double")).alias(c) for c in ("mean_blast_before", "mean_blast_after", "blast_radius_reduction_pct")]
+        return df.groupBy(*by).agg(*null)
+    return df.withColumn("_size", blast_size(df.columns)).groupBy(*by).agg(*_reduction(decision, "_size"))
 
 
 def policy_consistency(df: DataFrame, decision: str = "decision", least: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
@@ -120,12 +160,16 @@ TARGETS = {
 DIRECTIONS = {"det_accuracy": 1, "det_precision": 1, "det_recall": 1, "det_f1": 1, "det_fpr": -1, "access_decision_precision": 1, "avg_response_time_s": -1, "policy_consistency_var": -1}
 
 
-def response_columns(df: DataFrame, delays: DataFrame, seconds: Column) -> DataFrame:
-    """Per engine, over its events that are not allowed: mean and 95th percentile of delay and plan (seconds), and their number.  Plans
-    have few distinct lengths, so the percentile's counts are small."""
-    d = df.filter(F.lower("decision") != "allow").join(F.broadcast(delays), "engine").withColumn("_rt", F.col("processing_delay_s") + seconds)  # delays: a row an engine
-    mean = F.avg("_rt")
-    return d.groupBy("engine").agg(mean.alias("avg_response_time_s"), mean.alias("mttr_proxy_s"), F.percentile("_rt", 0.95).alias("p95_response_time_s"), F.count(F.lit(1)).alias("latency_count"))
+def engine_summary(df: DataFrame, delays: DataFrame, seconds: Column) -> DataFrame:
+    """A row an engine, by one aggregate over events with engine, decision, is_cross_cloud and blast_size: detection; mean and 95th
+    percentile of delay and plan (seconds) over events that are not allowed, and their number; cross-cloud detection; blast reduction.
+
+    Plans have few distinct lengths, set by the code, so the percentile's counts are small."""
+    d = df.join(F.broadcast(delays), "engine").withColumnRenamed("is_cross_cloud", "_crossed")  # delays: a row an engine
+    d = d.withColumn("_rt", F.when(F.lower("decision") != "allow", F.col("processing_delay_s") + seconds))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    times = [zero(F.avg("_rt")).alias("avg_response_time_s"), zero(F.avg("_rt")).alias("mttr_proxy_s"), zero(F.percentile("_rt", 0.95)).alias("p95_response_time_s"), F.count("_rt").alias("latency_count")]
+    return d.groupBy("engine").agg(*summary_columns(), *times, *_detection("decision"), *_reduction("decision", "blast_size"))
 
 
 def melted(engines: DataFrame, metrics: list[str]) -> DataFrame:

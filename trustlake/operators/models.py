@@ -1,28 +1,33 @@
 """Model jobs: isolation forest, calibration, scaling, splits, fusion and the scorers composed of them.
 
-The forest keeps a row for a tree iff a hash of (row, tree, seed) is below psi / n, so a tree's sample is bounded, does not depend on
-partitioning, and trees are built in parallel, one group each.  Nodes come back as a table of at most trees x 2 psi rows, which is
-broadcast to score."""
+Each row has one draw, a hash of its event_ord; a tree takes the rows whose draw lies in its window of width psi / n, so a tree's sample is
+bounded, does not depend on partitioning, and a row costs one hash however many trees there are.  Splits are hashes of tree and node.
+Trees are built in parallel, one group each; nodes come back as a table of at most trees x 2 psi rows of each model, which is broadcast
+to score.  Everything can be said in SQL too, level by level."""
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalars as S
 from . import rules
 from .lineage import cut
+from .ordered import ordinal
 from .quantiles import quantiles
 
+#: The features of the two forests.
 RAAC_FEATURES = ("bytes_out", "latency_ms", "token_age", "posture_score", "raw_login_failures_5m", "raw_api_calls_5m")
 UNIFIED_FEATURES = (
     "f_token_scope_width", "f_token_age", "f_bytes_out_log1p", "f_failed_logins_5m", "f_geo_switch", "f_fast_geo_switch", "f_posture_drift", "f_bytes_spike_score", "f_is_privileged_role",
     "g_cross_cloud_hops_session", "g_is_new_resource_edge", "g_new_resource_count_win", "g_new_resource_rate_win", "g_shortest_to_sensitive_hops", "g_blast_radius_sensitive_k",
 )
-NODE = "group string, tree int, node int, feature int, threshold double, low int, high int, depth double"
+NODE = "model string, tree int, node int, feature int, threshold double, depth double, norm double"
 
 
 def benign(df: DataFrame, least: int, share: float = 0.1) -> DataFrame:
@@ -37,62 +42,103 @@ def path_length(n: np.ndarray | float) -> np.ndarray | float:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649015329) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
+def _unit(text: str, seed: int) -> float:
+    return int(hashlib.md5(f"{seed}:{text}".encode()).hexdigest()[:8], 16) / 4294967295
+
+
+def sampled(rows: DataFrame, trees: int, psi: int, seed: int) -> DataFrame:
+    """rows (model, event_ord, x) with tree: windows start at tree / trees and wrap around at 1."""
+    counts = F.broadcast(rows.groupBy("model").agg(F.count(F.lit(1)).alias("n")))  # a row a model
+    draw = S.unit_hash(F.concat(F.lit("row:"), F.col("event_ord")), seed)
+    low = F.floor((draw - F.least(F.lit(1.0), F.lit(float(psi)) / F.col("n"))) * trees).cast("int") + 1
+    high = F.floor(draw * trees).cast("int")
+    own = F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    d = rows.join(counts, "model").select("model", "event_ord", "x", F.explode(own).alias("_t"))
+    return d.select("model", "event_ord", "x", F.pmod("_t", F.lit(trees)).alias("tree"))
+
+
+def grow(x: np.ndarray, tree: int, limit: int, seed: int) -> list[tuple]:
+    """(node, feature, threshold, depth) of one tree: the root is 1, the children of k are 2 k (values below the threshold) and 2 k + 1;
+    leaves have feature -1 and the expected depth."""
+    out, todo = [], [(1, np.arange(len(x)), 0)]
+    while todo:
+        node, at, depth = todo.pop()
+        low, high = x[at].min(axis=0), x[at].max(axis=0)
+        wide = np.flatnonzero(high > low)
+        if depth >= limit or len(at) <= 1 or not len(wide):
+            out.append((node, -1, 0.0, depth + float(path_length(len(at)))))
+            continue
+        f = int(wide[min(len(wide) - 1, int(_unit(f"{tree}:{node}:f", seed) * len(wide)))])
+        threshold = low[f] + _unit(f"{tree}:{node}:t", seed) * (high[f] - low[f])
+        threshold = high[f] if threshold <= low[f] else threshold
+        below = x[at, f] < threshold
+        out.append((node, f, float(threshold), 0.0))
+        todo += [(2 * node, at[below], depth + 1), (2 * node + 1, at[~below], depth + 1)]
+    return out
+
+
 def iforest_fit(df: DataFrame, columns: tuple[str, ...], trees: int, psi: int = 256, seed: int = 42, group: str | None = None) -> DataFrame:
-    """Node rows of `trees` isolation trees (of each value of `group`); leaves have feature -1 and the expected depth."""
+    """Node rows of `trees` isolation trees of one model, all, or of one model for each value of `group`.  norm is the expected depth
+    among as many rows as a tree samples."""
     key = F.coalesce(F.col(group).cast("string"), F.lit("unknown")) if group else F.lit("all")
-    rows = df.select(key.alias("group"), "event_ord", F.array(*[S.number(F.col(c)) for c in columns]).alias("x"))
-    counts = F.broadcast(rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")))  # one row per provider
-    draw = lambda t: F.pmod(F.xxhash64("event_ord", t, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    kept = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < F.lit(float(psi)) / F.col("n"))
-    sample = rows.join(counts, "group").select("group", "event_ord", "x", F.explode(kept).alias("tree"))
+    rows = cut(df.select(key.alias("model"), "event_ord", F.array(*[S.number(F.col(c)) for c in columns]).alias("x")))
+    limit = math.ceil(math.log2(max(psi, 2)))
+    sizes = rows.groupBy("model").agg(F.least(F.count(F.lit(1)), F.lit(psi)).alias("_n"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("event_ord")
-        x, name, tree = np.array(pdf["x"].tolist()), pdf["group"].iloc[0], int(pdf["tree"].iloc[0])
-        rng, out = np.random.default_rng([seed, tree]), []
-        limit = int(np.ceil(np.log2(max(len(x), 2))))
-        todo = [(0, np.arange(len(x)), 0)]
-        free = 1
-        while todo:
-            node, at, depth = todo.pop()
-            part = x[at]
-            wide = np.flatnonzero(part.max(axis=0) > part.min(axis=0))
-            if depth >= limit or len(at) <= 1 or not len(wide):
-                out.append((name, tree, node, -1, 0.0, -1, -1, depth + float(path_length(len(at)))))
-                continue
-            f = int(rng.choice(wide))
-            cut_at = float(rng.uniform(part[:, f].min(), part[:, f].max()))
-            below = part[:, f] < cut_at
-            if below.all() or not below.any():
-                below = part[:, f] <= part[:, f].min()
-            out.append((name, tree, node, f, cut_at, free, free + 1, 0.0))
-            todo += [(free, at[below], depth + 1), (free + 1, at[~below], depth + 1)]
-            free += 2
-        return pd.DataFrame(out, columns=[c.split()[0] for c in NODE.split(", ")])
-
-    return sample.groupBy("group", "tree").applyInPandas(build, NODE)
-
-
-def iforest_score(df: DataFrame, model: DataFrame, columns: tuple[str, ...], psi: int = 256, group: str = "all") -> DataFrame:
-    """df with raw_anom, 2 ** -(mean depth / expected depth), higher for rarer rows.  The node table has a bounded size."""
-    table = model.filter(F.col("group") == group).orderBy("tree", "node").toPandas()
-    given = df.sparkSession.sparkContext.broadcast({t: p.sort_values("node") for t, p in table.groupby("tree")})
-
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        trees = [(p["feature"].to_numpy(), p["threshold"].to_numpy(), p["low"].to_numpy(), p["high"].to_numpy(), p["depth"].to_numpy()) for p in given.value.values()]
-        for x in batches:
-            x = np.array(x.tolist(), float).reshape(-1, len(columns))
-            total = np.zeros(len(x))
-            for feature, threshold, low, high, depth in trees:
-                at = np.zeros(len(x), int)
-                while (inner := np.flatnonzero(feature[at] >= 0)).size:
-                    f = feature[at[inner]]
-                    at[inner] = np.where(x[inner, f] < threshold[at[inner]], low[at[inner]], high[at[inner]])
-                total += depth[at]
-            yield pd.Series(2 ** -(total / max(1, len(trees)) / float(path_length(psi))))
+        name, tree = pdf["model"].iloc[0], int(pdf["tree"].iloc[0])
+        return pd.DataFrame([(name, tree, *row) for row in grow(np.array(pdf["x"].tolist()), tree, limit, seed)], columns=["model", "tree", "node", "feature", "threshold", "depth"])
+
+    nodes = sampled(rows, trees, psi, seed).groupBy("model", "tree").applyInPandas(build, "model string, tree int, node int, feature int, threshold double, depth double")
+    n = F.col("_n").cast("double")
+    norm = F.when(n > 2, 2 * (F.log(n - 1) + F.lit(0.5772156649015329)) - 2 * (n - 1) / n).when(n == 2, 1.0).otherwise(1.0)
+    return nodes.join(F.broadcast(sizes), "model").select(*[c.split()[0] for c in NODE.split(", ")[:-1]], norm.alias("norm"))  # a row a model
+
+
+#: Models that one scoring job holds at most; each has at most trees x 2 psi nodes.
+MODELS = 64
+
+
+def iforest_score(df: DataFrame, model: DataFrame, columns: tuple[str, ...], route: Column | None = None) -> DataFrame:
+    """df with raw_anom, 2 ** -(mean depth / expected depth), higher for rarer rows, null where the routed model does not exist.
+
+    route: the name of each row's model (by default all); rows go to their model's nodes inside one Arrow function, so the plan does not
+    depend on how many models there are."""
+    if len(model.select("model").distinct().limit(MODELS + 1).collect()) > MODELS:
+        raise ValueError(f"more than {MODELS} models")
+    table = model.toPandas()
+    dense = {}
+    for (name, tree), own in table.groupby(["model", "tree"]):
+        size = int(own["node"].max()) + 1
+        feature, threshold, depth = np.full(size, -1, np.int16), np.zeros(size), np.zeros(size)
+        at = own["node"].to_numpy()
+        feature[at], threshold[at], depth[at] = own["feature"], own["threshold"], own["depth"]
+        dense.setdefault(name, (float(own["norm"].iloc[0]), []))[1].append((feature, threshold, depth))
+    given = df.sparkSession.sparkContext.broadcast(dense)
+
+    def deep(x: np.ndarray, trees: list) -> np.ndarray:
+        total = np.zeros(len(x))
+        for feature, threshold, depth in trees:
+            at = np.ones(len(x), np.int64)
+            inner = np.arange(len(x))
+            while len(inner := inner[feature[at[inner]] >= 0]):
+                now = at[inner]
+                at[inner] = 2 * now + (x[inner, feature[now]] >= threshold[now])
+            total += depth[at]
+        return total / max(1, len(trees))
+
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, names in batches:
+            x, out = np.array(x.tolist(), float).reshape(-1, len(columns)), np.full(len(names), np.nan)
+            for name, at in names.groupby(names).groups.items():
+                if name in given.value:
+                    norm, trees = given.value[name]
+                    places = names.index.get_indexer(at)
+                    out[places] = 2 ** -(deep(x[places], trees) / norm)
+            yield pd.Series(out).astype("Float64").mask(np.isnan(out))
 
     score_udf = F.pandas_udf(score, "double")
-    return df.withColumn("raw_anom", score_udf(F.array(*[S.number(F.col(c)) for c in columns])))
+    return df.withColumn("raw_anom", score_udf(F.array(*[S.number(F.col(c)) for c in columns]), route if route is not None else F.lit("all")))
 
 
 def quantile_scaled(df: DataFrame, train: DataFrame, column: str = "raw_anom", low: float = 0.05, high: float = 0.95) -> DataFrame:
@@ -148,46 +194,44 @@ def feature_matrix(df: DataFrame, train: DataFrame, categories: dict[str, tuple[
     return d.withColumns(dummies | scaled).drop(*stats.columns)
 
 
-def time_split(df: DataFrame, share: float = 0.7, buckets: int = 256) -> DataFrame:
-    """df with train: whether it is among the first int(share x n) rows by (ts, event_ord); rows without a timestamp come last.
-
-    The ordinal is that within a range of timestamps plus the count of earlier ranges, so no window spans all rows."""
-    us = F.unix_micros("ts")
-    edges = df.agg(F.percentile_approx(us, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 1000).alias("_edges"))  # one row
-    part = F.when(F.col("ts").isNull(), buckets).otherwise(F.size(F.filter("_edges", lambda e: e < us)))
-    d = df.crossJoin(F.broadcast(edges)).withColumn("_part", part).drop("_edges")
-    parts = d.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).select(F.collect_list(F.struct("_part", "n")).alias("_parts"), F.sum("n").alias("_total"))  # one row, an entry a range
-    before = F.aggregate(F.filter("_parts", lambda x: x["_part"] < F.col("_part")), F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    nth = F.row_number().over(Window.partitionBy("_part").orderBy("ts", "event_ord"))
-    d = d.withColumn("_nth", nth).crossJoin(F.broadcast(parts))
-    return d.withColumn("train", F.col("_nth") + before <= F.floor(F.lit(share) * F.col("_total"))).drop("_part", "_parts", "_total", "_nth")
+def time_split(df: DataFrame, share: float = 0.7) -> DataFrame:
+    """df with train: whether it is among the first int(share x n) rows by (ts, event_ord); rows without a timestamp come last."""
+    total = F.broadcast(df.agg(F.count(F.lit(1)).alias("_total")))  # one row
+    d = ordinal(df, F.unix_micros("ts"), ("ts", "event_ord"), "_before").crossJoin(total)
+    return d.withColumn("train", F.col("_before") < F.floor(F.lit(share) * F.col("_total"))).drop("_before", "_total")
 
 
-def raac_score(df: DataFrame, train: DataFrame | None = None, trees: int = 160, model: DataFrame | None = None, group: str = "all") -> DataFrame:
+def raac_score(df: DataFrame, train: DataFrame | None = None, trees: int = 160, model: DataFrame | None = None) -> DataFrame:
     """Context and isolation-forest risk of each event."""
     fit_on = benign(train if train is not None else df, 200)
-    model = model if model is not None else cut(iforest_fit(fit_on, RAAC_FEATURES, trees))
-    d = iforest_score(rules.raac_context(df), model, RAAC_FEATURES, group=group)
-    return rules.raac_fuse(quantile_scaled(d, iforest_score(fit_on, model, RAAC_FEATURES, group=group)))
+    model = cut(model if model is not None else iforest_fit(fit_on, RAAC_FEATURES, trees))
+    d = iforest_score(rules.raac_context(df), model, RAAC_FEATURES)
+    return rules.raac_fuse(quantile_scaled(d, iforest_score(fit_on, model, RAAC_FEATURES)))
+
+
+#: The name of the model of all providers, which no provider has.
+_SHARED = "*"
 
 
 def per_cloud_score(df: DataFrame, least: int = 400, trees: int = 160) -> DataFrame:
-    """Each provider's events by its own model if it has `least` training rows, else by the global one; percloud_provider, percloud_model."""
-    provider = F.coalesce(F.lower("cloud_provider"), F.lit("unknown"))
-    d = df.withColumn("percloud_provider", provider)
-    train = benign(d, 200)
-    sizes = {r[0]: r[1] for r in train.groupBy("percloud_provider").count().collect()}  # one row a provider
-    own = cut(iforest_fit(train, RAAC_FEATURES, trees, group="percloud_provider"))
-    shared = cut(iforest_fit(train, RAAC_FEATURES, trees))
-    out = None
-    for name in sorted({r[0] for r in d.select("percloud_provider").distinct().collect()}):
-        mine = sizes.get(name, 0) >= least
-        rows = d.filter(F.col("percloud_provider") == name)
-        part = raac_score(rows, train.filter(F.col("percloud_provider") == name) if mine else train, trees, own if mine else shared, name if mine else "all")
-        part = part.withColumn("percloud_model", F.lit(name if mine else "global"))
-        part = part.withColumn("rationale_tags", F.concat("rationale_tags", F.array(F.concat(F.lit("percloud_"), "percloud_model"))))
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else raac_score(d, train, trees, shared).withColumn("percloud_model", F.lit("global"))
+    """Each provider's events by its own model if it has `least` training rows, else by that of all; percloud_provider, percloud_model.
+
+    One job for all providers: rows are routed to their model's nodes, and its scores' training quantiles are a row a model."""
+    d = df.withColumn("percloud_provider", F.coalesce(F.lower("cloud_provider"), F.lit("unknown")))
+    train = cut(benign(d, 200))
+    big = F.broadcast(train.groupBy(F.col("percloud_provider").alias("_big")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select("_big"))  # see MODELS
+    own = iforest_fit(train.join(big, F.col("percloud_provider") == F.col("_big"), "left_semi"), RAAC_FEATURES, trees, group="percloud_provider")
+    model = cut(own.unionByName(iforest_fit(train, RAAC_FEATURES, trees).withColumn("model", F.lit(_SHARED))))
+    # A model learns its quantiles from the rows that it was fitted on: all of them for the shared one.
+    models = F.filter(F.array("_big", F.lit(_SHARED)), lambda m: m.isNotNull())
+    learned = train.join(big, F.col("percloud_provider") == F.col("_big"), "left").withColumn("_model", F.explode(models))
+    q = quantiles(iforest_score(learned, model, RAAC_FEATURES, F.col("_model")), F.col("raw_anom"), (0.05, 0.95), ("_model",))
+    d = d.join(big, F.col("percloud_provider") == F.col("_big"), "left")
+    d = d.withColumns({"_model": F.coalesce("_big", F.lit(_SHARED)), "percloud_model": F.coalesce("_big", F.lit("global"))}).drop("_big")
+    d = iforest_score(rules.raac_context(d), model, RAAC_FEATURES, F.col("_model")).join(F.broadcast(q), "_model").drop("_model")  # a row a model
+    scaled = (F.col("raw_anom") - F.col("q")[0]) / F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(1e-6))
+    out = rules.raac_fuse(d.withColumn("s_anom", S.clip01(scaled)).drop("q"))
+    return out.withColumn("rationale_tags", F.concat("rationale_tags", F.array(F.concat(F.lit("percloud_"), "percloud_model"))))
 
 
 def supervised_fusion(df: DataFrame, least: int = 2000, c: float = 1.0) -> DataFrame:

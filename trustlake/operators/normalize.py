@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import scalars as S
+from .lineage import cut
+from .quantiles import quantiles
 
 #: The columns of unified telemetry, in order.
 UNIFIED = (
@@ -62,3 +64,26 @@ def validate_schema(df: DataFrame) -> DataFrame:
     """One row: ok, missing (unified columns that df lacks, in order)."""
     missing = [c for c in UNIFIED if c not in df.columns]
     return df.sparkSession.range(1).select(F.lit(not missing).alias("ok"), F.array(*map(F.lit, missing)).cast("array<string>").alias("missing"))
+
+
+#: Columns that hold an event's time, the first present counts.
+TIMES = ("ts", "timestamp", "event_time", "time")
+
+
+def parse_times(df: DataFrame, out: str = "parsed_ts") -> DataFrame:
+    """df with the event's time, from the first of TIMES that it has (null without one).
+
+    How a column is read is decided once for all of it: if any value is a date text, all are read as such; else numbers are epoch
+    milliseconds where their median is above 10**12, seconds otherwise."""
+    name = next((c for c in TIMES if c in df.columns), None)
+    if name is None:
+        return df.withColumn(out, F.lit(None).cast("timestamp"))
+    if isinstance(df.schema[name].dataType, (T.TimestampType, T.DateType)):
+        return df.withColumn(out, F.col(name).cast("timestamp"))
+    text = F.col(name).cast("string")
+    value = text.try_cast("double")
+    date = F.when(value.isNull(), F.try_to_timestamp(text))
+    seen = cut(df.select(date.isNotNull().alias("is_date"), value.alias("v")))
+    how = seen.agg(F.coalesce(F.max("is_date"), F.lit(False)).alias("_dates")).crossJoin(F.broadcast(quantiles(seen, F.col("v"), (0.5,)).select((F.col("q")[0] > 1e12).alias("_ms"))))
+    epoch = F.when(F.col("_ms"), F.timestamp_millis(value.cast("long"))).otherwise(F.timestamp_seconds(value))
+    return df.crossJoin(F.broadcast(how)).withColumn(out, F.when(F.col("_dates"), date).otherwise(epoch)).drop("_dates", "_ms")  # one row

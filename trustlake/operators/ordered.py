@@ -112,6 +112,19 @@ def _prefix_counts(df: DataFrame, key: str, flags: dict[str, str], minutes: int,
     return d.groupBy("event_ord").agg(*[F.sum(o).alias(o) for o in flags])
 
 
+def ordinal(df: DataFrame, by: Column, order: tuple[str, ...], out: str, buckets: int = 256) -> DataFrame:
+    """df with out: how many rows come before it in the order, whose first column is or goes along with the number `by` (nulls last).
+
+    It is the row's place within a range of `by` plus the rows of the ranges below, so no window spans all rows."""
+    edges = df.agg(F.percentile_approx(by, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 1000).alias("_edges"))  # one row
+    part = F.when(by.isNull(), buckets).otherwise(F.size(F.filter("_edges", lambda e: e < by)))
+    d = df.crossJoin(F.broadcast(edges)).withColumn("_part", part).drop("_edges")
+    parts = d.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).select(F.collect_list(F.struct("_part", "n")).alias("_parts"))  # one row, an entry a range
+    before = F.aggregate(F.filter("_parts", lambda x: x["_part"] < F.col("_part")), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return d.withColumn("_nth", nth).crossJoin(F.broadcast(parts)).withColumn(out, F.col("_nth") - 1 + before).drop("_part", "_parts", "_nth")
+
+
 # Exponential means.  m <- (1 - alpha) m + alpha x is an affine map of m, and maps compose: a chunk is scanned into one map per row.
 
 

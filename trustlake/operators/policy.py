@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import scalars as S
 from .lineage import cut
+from .ordered import ordinal
 from .quantiles import quantiles, with_quantiles
 
 #: Seconds that an action takes.
@@ -123,13 +124,11 @@ EVENTS_A_DAY = 2000
 
 
 def stage_by_ordinal(df: DataFrame, days: tuple[int, int, int] = (7, 3, 3), per_day: int = EVENTS_A_DAY) -> DataFrame:
-    """df with stage by how many events come before (in event_ord order): so many events a day, the last stage takes the rest.
-
-    An event's ordinal is its place within a range of event_ord plus the rows of the ranges below, so no window spans all rows."""
-    d = df.withColumn("_nth", _ordinal(df))
+    """df with stage by how many events come before (in event_ord order): so many events a day, the last stage takes the rest."""
+    d = ordinal(df, F.col("event_ord"), ("event_ord",), "_before")
     ends = [sum(days[: i + 1]) * per_day for i in range(3)]
-    nth = F.col("_nth")
-    return d.withColumn("stage", F.when(nth < ends[0], "shadow").when(nth < ends[1], "canary").when(nth < ends[2], "enforce").otherwise("rollout")).drop("_nth")
+    n = F.col("_before")
+    return d.withColumn("stage", F.when(n < ends[0], "shadow").when(n < ends[1], "canary").when(n < ends[2], "enforce").otherwise("rollout")).drop("_before")
 
 
 def staged_events(

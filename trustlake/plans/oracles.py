@@ -14,6 +14,45 @@ ACTION_SECONDS = {
     "allow": 0.05, "step_up_mfa": 0.2, "shorten_session": 0.15, "restrict_token_scope": 0.25, "isolate_segment": 1.0, "revoke_token": 0.6, "quarantine_endpoint": 2.0, "alert": 0.1,
     "soar_playbook": 1.5, "deny": 0.05,
 }
+#: Fixed values, said here again: what an action is called at each provider.
+CATALOG = {
+    "aws": {
+        "step_up_mfa": "Enforce MFA step-up via IdP/Conditional Access for this principal",
+        "shorten_session": "Issue short-lived session/token (reduce TTL)",
+        "restrict_token_scope": "Apply least-privilege session policy / restrict token scope",
+        "isolate_segment": "Tighten security group / NACL (micro-segmentation) for workload/device",
+        "revoke_token": "Revoke session (disable access key / revoke refresh where applicable)",
+        "quarantine_endpoint": "Quarantine endpoint via EDR/SSM integration",
+        "alert": "Create security alert (SOC) with context and rationale",
+        "soar_playbook": "Trigger SOAR playbook: containment + ticket + evidence capture",
+        "deny": "Deny access at PDP/PEP (block request)",
+        "allow": "Allow (log decision)",
+    },
+    "azure": {
+        "step_up_mfa": "Enforce Conditional Access step-up MFA for this user/service principal",
+        "shorten_session": "Shorten token/session lifetime (CA session controls)",
+        "restrict_token_scope": "Limit token scopes / enforce least privilege via policy",
+        "isolate_segment": "Isolate via NSG/micro-segmentation; restrict egress",
+        "revoke_token": "Revoke refresh tokens / sign-in sessions (Entra ID)",
+        "quarantine_endpoint": "Quarantine endpoint via Defender for Endpoint",
+        "alert": "Create security alert (Sentinel) with context",
+        "soar_playbook": "Trigger SOAR playbook (Sentinel/Logic Apps)",
+        "deny": "Deny access (Conditional Access / policy enforcement)",
+        "allow": "Allow (log decision)",
+    },
+    "gcp": {
+        "step_up_mfa": "Require MFA step-up (Cloud Identity / context-aware access)",
+        "shorten_session": "Shorten token/session TTL (context-aware/session controls)",
+        "restrict_token_scope": "Restrict OAuth scopes / reduce permissions (least privilege)",
+        "isolate_segment": "Isolate via VPC firewall rules / micro-segmentation",
+        "revoke_token": "Revoke access token / disable service account key",
+        "quarantine_endpoint": "Quarantine endpoint via EDR integration",
+        "alert": "Create security alert (Chronicle/SCC) with context",
+        "soar_playbook": "Trigger SOAR playbook (SCC/Chronicle)",
+        "deny": "Deny access (policy enforcement)",
+        "allow": "Allow (log decision)",
+    },
+}
 BUDGETS = {"false_deny_rate": 0.02, "mfa_friction_rate": 0.17, "latency_p95_ms": 600.0, "policy_error_rate": 0.01, "analyst_override_rate": 0.30}
 SIEM_FLAGS = {
     "n_hits": None, "n_bruteforce": ("siem_bruteforce_high", "siem_bruteforce_alert"), "n_time": ("siem_impossible_travel",), "n_priv": ("siem_privilege_escalation",),
@@ -108,6 +147,8 @@ _ids = {
 _plain = [("connected-to", "tenant", "cloud"), ("connected-to", "region", "cloud"), ("connected-to", "principal", "tenant"), ("assumed-role", "principal", "role"), ("connected-to", "principal", "device"),
           ("connected-to", "principal", "workload"), ("connected-to", "resource", "region"), ("connected-to", "principal", "session"), ("token-issued", "session", "token"), ("called-api", "principal", "api")]
 
+RAAC_FINAL = f"SELECT *, {clip('0.75 * (1 - abs(s_ctx - s_anom)) + 0.25 * (1 - abs(risk - 0.5) * 2)')} AS confidence, CASE WHEN risk >= 0.75 THEN 'deny' WHEN risk >= 0.55 THEN 'restrict' WHEN risk >= 0.35 THEN 'stepup' ELSE 'allow' END AS decision FROM {{source}}"
+
 #: Named steps; each may use those before it.
 CTES = {
     "tele": DUCKDB,
@@ -127,10 +168,10 @@ CTES = {
         ['allow', 'stepup', 'restrict', 'deny'][siem_severity + 1] AS decision FROM siemcorr""",
     "geof": f"""SELECT *, CASE WHEN lag(geo) {_W} <> geo THEN 1 ELSE 0 END AS f_geo_switch, lag(ts) {_W} AS before_ts FROM uni""",
     "geo2": "SELECT * EXCLUDE (before_ts), CASE WHEN f_geo_switch = 1 AND epoch_us(ts) - epoch_us(before_ts) <= 3600000000 THEN 1 ELSE 0 END AS f_fast_geo_switch FROM geof",
-    "hist": """SELECT *, array_agg(posture_score) OVER (PARTITION BY device_id ORDER BY ts, event_ord ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS hp,
-        array_agg(bytes_out) OVER (PARTITION BY principal_id ORDER BY ts, event_ord ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS hb FROM geo2""",
+    "hist": """SELECT *, array_agg(posture_score) OVER (PARTITION BY device_id ORDER BY ts, event_ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hp,
+        array_agg(bytes_out) OVER (PARTITION BY principal_id ORDER BY ts, event_ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hb FROM geo2""",
     "folds": "SELECT * EXCLUDE (hp, hb), abs(posture_score - list_reduce(hp, lambda m, x: 0.8 * m + 0.2 * x)) AS f_posture_drift, bytes_out - list_reduce(hb, lambda m, x: 0.8 * m + 0.2 * x) AS dev FROM hist",
-    "folds2": "SELECT *, array_agg(dev * dev) OVER (PARTITION BY principal_id ORDER BY ts, event_ord ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS hv FROM folds",
+    "folds2": "SELECT *, array_agg(dev * dev) OVER (PARTITION BY principal_id ORDER BY ts, event_ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hv FROM folds",
     "spike": "SELECT * EXCLUDE (hv, dev), dev / (sqrt(list_reduce(list_concat([CAST(0 AS DOUBLE)], hv), lambda m, x: 0.8 * m + 0.2 * x)) + 1e-6) AS f_bytes_spike_score FROM folds2",
     "firsts": """SELECT *, CASE WHEN row_number() OVER (PARTITION BY session_id, cloud_provider ORDER BY ts, event_ord) = 1 THEN 1 ELSE 0 END AS fc,
         CASE WHEN row_number() OVER (PARTITION BY principal_id, resource_id ORDER BY ts, event_ord) = 1 THEN 1 ELSE 0 END AS g_is_new_resource_edge FROM spike""",
@@ -173,7 +214,7 @@ CTES = {
     "scored": "SELECT *, CASE WHEN risk < 0.58 THEN 'allow' WHEN risk < 0.62 THEN 'stepup' WHEN risk < 0.66 THEN 'restrict' WHEN risk >= 0.68 AND confidence >= 0.55 THEN 'deny' ELSE 'restrict' END AS decision FROM scored1",
     "raac0": f"SELECT *, {clip(f'0.30 * ' + clip('(0.5 - posture_score) / 0.5') + f' + 0.20 * (1 - mfa_used) + 0.15 * raw_time_anomaly + 0.20 * raw_privilege_escalation + 0.15 * {SENS_SCORE}')} AS s_ctx, least(1.0, ((event_ord * 37 % 97) + 0.5) / 97.1) AS s_anom FROM uni",
     "raac1": f"SELECT *, {clip('0.55 * s_ctx + 0.45 * s_anom')} AS risk FROM raac0",
-    "raac": f"SELECT *, {clip('0.75 * (1 - abs(s_ctx - s_anom)) + 0.25 * (1 - abs(risk - 0.5) * 2)')} AS confidence, CASE WHEN risk >= 0.75 THEN 'deny' WHEN risk >= 0.55 THEN 'restrict' WHEN risk >= 0.35 THEN 'stepup' ELSE 'allow' END AS decision FROM raac1",
+    "raac": RAAC_FINAL.format(source="raac1"),
     "tq": "SELECT quantile_cont(risk, 0.95) AS q1, quantile_cont(risk, 0.98) AS q2, quantile_cont(risk, 0.995) AS q3 FROM scored WHERE label_attack = 0",
     "th": "SELECT q1 AS t_allow, q1 AS t_stepup, greatest(q1, q2) AS t_restrict, greatest(q1, q2, q3) AS t_deny FROM tq",
     "tuned": "SELECT s.*, CASE WHEN risk >= t_deny THEN 'deny' WHEN risk >= t_restrict THEN 'restrict' WHEN risk >= t_stepup THEN 'stepup' ELSE 'allow' END AS decision_tuned FROM scored s, th",
@@ -197,7 +238,7 @@ CTES = {
     "engines0": " UNION ALL ".join(
         f"SELECT '{name}' AS engine, event_ord, principal_id, session_id, cloud_provider, label_attack, decision, {x} > 0.5 AS x, CAST({blast} AS DOUBLE) AS blast, {hop} AS hop FROM {source}"
         for name, source, x, blast, hop in (
-            ("baseline_static", "static", "raw_cross_cloud_hop", "1", "FALSE"), ("baseline_siem", "siem", "raw_cross_cloud_hop", "1", "FALSE"), ("baseline_raac_iforest", "raac", "raw_cross_cloud_hop", "1", "FALSE"),
+            ("baseline_static", "static", "raw_cross_cloud_hop", "NULL", "FALSE"), ("baseline_siem", "siem", "raw_cross_cloud_hop", "NULL", "FALSE"), ("baseline_raac_iforest", "raac", "raw_cross_cloud_hop", "NULL", "FALSE"),
             ("unified", "scored", "g_cross_cloud_hops_session", "greatest(0, g_blast_radius_sensitive_k)", "list_contains(rationale_tags, 'cross_cloud_hop')"),
         )
     ),
@@ -209,7 +250,7 @@ CTES = {
     "emean": "SELECT engine, avg(rt) AS avg_response_time_s, avg(rt) AS mttr_proxy_s, quantile_cont(rt, 0.95) AS p95_response_time_s, count(*) AS latency_count FROM etime GROUP BY engine",
     "exc": "SELECT engine, count(*) FILTER (x) AS xcloud_events, count(*) FILTER (x AND y) AS xcloud_attacks, coalesce(count(*) FILTER (x AND y AND f) / nullif(count(*) FILTER (x AND y), 0), 0.0) AS xcloud_flagged_tpr, coalesce(count(*) FILTER (x AND y AND h) / nullif(count(*) FILTER (x AND y), 0), 0.0) AS xcloud_hard_tpr FROM engines GROUP BY engine",
     "eafter": "SELECT engine, avg(blast) AS mean_blast_before, avg(blast * (1 - CASE decision WHEN 'stepup' THEN 0.1 WHEN 'restrict' THEN 0.45 WHEN 'deny' THEN 0.75 ELSE 0 END)) AS mean_blast_after FROM engines WHERE y GROUP BY engine",
-    "eblast": "SELECT *, coalesce(100 * (1 - mean_blast_after / nullif(mean_blast_before, 0)), 0.0) AS blast_radius_reduction_pct FROM eafter",
+    "eblast": "SELECT *, CASE WHEN mean_blast_before > 0 THEN 100 * (1 - mean_blast_after / mean_blast_before) WHEN mean_blast_before = 0 THEN 0.0 END AS blast_radius_reduction_pct FROM eafter",
     "eroll": "SELECT 'unified' AS engine, " + ", ".join(f"max({c}) FILTER (stage = '{s}') AS {s}_{c}" for s in ("canary", "rollout") for c in ("false_deny_rate", "mfa_friction_rate", "latency_p95_ms")) + " FROM line",
     "board": """SELECT s.*, policy_consistency_var, deny_rate_var, coalesce(avg_response_time_s, 0) AS avg_response_time_s, coalesce(mttr_proxy_s, 0) AS mttr_proxy_s, coalesce(p95_response_time_s, 0) AS p95_response_time_s,
         coalesce(latency_count, 0) AS latency_count, x.* EXCLUDE (engine), b.* EXCLUDE (engine), r.* EXCLUDE (engine)
@@ -218,6 +259,73 @@ CTES = {
 }
 
 
+# Isolation forests, level by level: each row's draw gives its trees, a node's split is a hash of tree and node, and the last level's
+# nodes hold the expected depths.
+
+RAAC_FEATURES = ("bytes_out", "latency_ms", "token_age", "posture_score", "raw_login_failures_5m", "raw_api_calls_5m")
+
+
+def _expected(n: str) -> str:
+    return f"(CASE WHEN {n} > 2 THEN 2 * (ln({n} - 1) + 0.5772156649015329) - 2 * ({n} - 1.0) / {n} WHEN {n} = 2 THEN 1.0 ELSE 0.0 END)"
+
+
+def forest(name: str, source: str, model: str, trees: int = 160, psi: int = 256, levels: int = 8) -> dict[str, str]:
+    """Steps <name>_leaf (model, tree, node, depth), <name>_split (model, tree, node, f, thr) and <name>_norm (model, norm) of a forest
+    over source; model: the text of each row's model."""
+    x = "[" + ", ".join(f"CAST({c} AS DOUBLE)" for c in RAAC_FEATURES) + "]"
+    steps = {
+        f"{name}_rows": f"SELECT {model} AS model, event_ord, {x} AS x, {unit("'row:' || event_ord")} AS u FROM {source}",
+        f"{name}_norm": f"SELECT model, n, least(1.0, {psi}.0 / n) AS w, CASE WHEN n > 1 THEN {_expected(f'least(n, {psi})')} ELSE 1.0 END AS norm FROM (SELECT model, count(*) AS n FROM {name}_rows GROUP BY 1)",
+        f"{name}_s0": f"SELECT model, ((t % {trees}) + {trees}) % {trees} AS tree, 1 AS node, x FROM (SELECT model, x, unnest(generate_series(CAST(floor((u - w) * {trees}) AS INT) + 1, CAST(floor(u * {trees}) AS INT))) AS t FROM {name}_rows JOIN {name}_norm USING (model))",
+    }
+    for k in range(levels):
+        lows = ", ".join(f"min(x[{i}])" for i in range(1, len(RAAC_FEATURES) + 1))
+        highs = lows.replace("min", "max")
+        key = "tree || ':' || node || "
+        steps[f"{name}_m{k}"] = f"SELECT model, tree, node, count(*) AS n, [{lows}] AS lo, [{highs}] AS hi FROM {name}_s{k} WHERE node >= {2**k} GROUP BY model, tree, node"
+        steps[f"{name}_w{k}"] = f"SELECT *, list_filter([{', '.join(map(str, range(1, len(RAAC_FEATURES) + 1)))}], lambda i: hi[i] > lo[i]) AS wide FROM {name}_m{k} WHERE n > 1"
+        steps[f"{name}_f{k}"] = f"SELECT model, tree, node, lo, hi, wide[1 + least(len(wide) - 1, CAST(floor({unit(key + repr(':f'))} * len(wide)) AS INT))] AS f, {unit(key + repr(':t'))} AS ut FROM {name}_w{k} WHERE len(wide) > 0"
+        steps[f"{name}_p{k}"] = f"SELECT model, tree, node, f, CASE WHEN lo[f] + ut * (hi[f] - lo[f]) <= lo[f] THEN hi[f] ELSE lo[f] + ut * (hi[f] - lo[f]) END AS thr FROM {name}_f{k}"
+        steps[f"{name}_s{k + 1}"] = f"SELECT s.model, s.tree, 2 * s.node + (s.x[p.f] >= p.thr)::INT AS node, s.x FROM {name}_s{k} s JOIN {name}_p{k} p USING (model, tree, node)"
+    steps[f"{name}_split"] = " UNION ALL ".join(f"SELECT * FROM {name}_p{k}" for k in range(levels))
+    steps[f"{name}_leaf"] = " UNION ALL ".join(
+        [f"SELECT model, tree, node, {k} + {_expected('n')} AS depth FROM {name}_m{k} m ANTI JOIN {name}_p{k} USING (model, tree, node)" for k in range(levels)]
+        + [f"SELECT model, tree, node, {levels} + {_expected('count(*)')} AS depth FROM {name}_s{levels} GROUP BY model, tree, node"]
+    )
+    return steps
+
+
+def forest_scores(out: str, name: str, source: str, model: str, trees: int = 160, levels: int = 8) -> dict[str, str]:
+    """Step <out>: event_ord, model, raw_anom of source's rows, each walked down all trees of its model."""
+    x = "[" + ", ".join(f"CAST({c} AS DOUBLE)" for c in RAAC_FEATURES) + "]"
+    steps = {f"{out}_0": f"SELECT event_ord, {model} AS model, {x} AS x, unnest(generate_series(0, {trees - 1})) AS tree, 1 AS node FROM {source}"}
+    for k in range(levels):
+        steps[f"{out}_{k + 1}"] = f"SELECT a.event_ord, a.model, a.x, a.tree, CASE WHEN p.f IS NULL THEN a.node ELSE 2 * a.node + (a.x[p.f] >= p.thr)::INT END AS node FROM {out}_{k} a LEFT JOIN {name}_split p USING (model, tree, node)"
+    steps[out] = f"SELECT event_ord, model, 2 ** -(sum(depth) / {trees} / any_value(norm)) AS raw_anom FROM {out}_{levels} JOIN {name}_leaf USING (model, tree, node) JOIN {name}_norm USING (model) GROUP BY event_ord, model"
+    return steps
+
+
+CTES |= forest("fall", "uni", "'all'") | forest_scores("sall", "fall", "uni", "'all'")
+CTES |= {
+    "btrain": "SELECT * FROM uni WHERE label_attack = 0 OR (SELECT count(*) FILTER (label_attack = 0) < greatest(200, 0.1 * count(*)) FROM uni)",
+    **forest("fben", "btrain", "'all'"), **forest_scores("sben", "fben", "uni", "'all'"),
+    "qben": "SELECT quantile_cont(raw_anom, 0.05) AS lo, quantile_cont(raw_anom, 0.95) AS hi FROM sben JOIN btrain USING (event_ord)",
+    "own0": f"SELECT * EXCLUDE (s_anom), {clip('(raw_anom - lo) / greatest(hi - lo, 1e-6)')} AS s_anom FROM raac0 JOIN sben USING (event_ord), qben",
+    "own1": f"SELECT *, {clip('0.55 * s_ctx + 0.45 * s_anom')} AS risk FROM own0",
+    "ownscore": RAAC_FINAL.format(source="own1"),
+    "bigcloud": "SELECT cloud_provider FROM btrain GROUP BY 1 HAVING count(*) >= 400",
+    "cloudrows": "SELECT u.*, CASE WHEN b.cloud_provider IS NULL THEN '*' ELSE u.cloud_provider END AS m FROM uni u LEFT JOIN bigcloud b USING (cloud_provider)",
+    "cloudtrain": "SELECT * EXCLUDE (m), m FROM cloudrows WHERE m <> '*' AND event_ord IN (SELECT event_ord FROM btrain) UNION ALL SELECT * EXCLUDE (m), '*' AS m FROM cloudrows WHERE event_ord IN (SELECT event_ord FROM btrain)",
+}
+CTES |= forest("fcld", "cloudtrain", "m") | forest_scores("scld", "fcld", "cloudrows", "m") | forest_scores("stcl", "fcld", "cloudtrain", "m")
+CTES |= {
+    "qcld": "SELECT model, quantile_cont(raw_anom, 0.05) AS lo, quantile_cont(raw_anom, 0.95) AS hi FROM stcl GROUP BY model",
+    "cld0": f"SELECT * EXCLUDE (s_anom), {clip('(raw_anom - lo) / greatest(hi - lo, 1e-6)')} AS s_anom FROM raac0 JOIN scld USING (event_ord) JOIN qcld USING (model)",
+    "cld1": f"SELECT *, {clip('0.55 * s_ctx + 0.45 * s_anom')} AS risk FROM cld0",
+    "cldscore": RAAC_FINAL.format(source="cld1"),
+}
+
+
 def text(final: str, doubles: tuple[str, ...] | list[str] = ()) -> str:
     """final, with the named steps that it needs before it, and the given columns rounded to six places."""
     needed: list[str] = []

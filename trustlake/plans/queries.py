@@ -10,6 +10,7 @@ from ..functions import scalars as S
 from ..operators import features, graph, metrics, models, normalize, policy, rules
 from ..operators.lineage import cut, folder
 from ..sources import telemetry as T
+from ..sources.graph_store import GraphStore
 from . import oracles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,7 +75,7 @@ def intents(spark, sf_dir):
 
 
 def staged(spark, sf_dir):
-    return policy.staged_events(cut(intents(spark, sf_dir)))
+    return cut(policy.staged_events(cut(intents(spark, sf_dir))))
 
 
 def graph_tables(spark, sf_dir):
@@ -83,16 +84,17 @@ def graph_tables(spark, sf_dir):
 
 
 def engines(spark, sf_dir, d=None, unified=None):
-    """The decisions of all engines, with each one's plan of actions, cross-cloud mark and blast radius."""
+    """The decisions of all engines, with each one's plan of actions, cross-cloud mark and blast radius (null where it has none)."""
     d = cut(uni(spark, sf_dir)) if d is None else d
-    keep = ["event_ord", "principal_id", "session_id", "cloud_provider", "label_attack", "decision", "action_list", "is_cross_cloud", "g_blast_radius_sensitive_k"]
-    parts = {"baseline_static": rules.static_rules(d), "baseline_siem": rules.siem_score(d), "baseline_raac_iforest": raac(spark, sf_dir, d), "unified": scored(spark, sf_dir, d) if unified is None else unified}
+    keep = ["event_ord", "principal_id", "session_id", "cloud_provider", "label_attack", "decision", "action_list", "is_cross_cloud", "blast_size"]
+    parts = {
+        "baseline_static": rules.static_rules(d), "baseline_siem": rules.siem_score(d), "baseline_raac_iforest": raac(spark, sf_dir, d),
+        "unified": scored(spark, sf_dir, d) if unified is None else unified,
+    }
     out = None
     for name, part in parts.items():
-        hops = "g_cross_cloud_hops_session" if name == "unified" else "raw_cross_cloud_hop"
-        blast = F.greatest(F.lit(0.0), S.number(F.col("g_blast_radius_sensitive_k"))) if name == "unified" else F.lit(1.0)
-        part = policy.intents(part).withColumns({"is_cross_cloud": (S.number(F.col(hops)) > 0.5).cast("int"), "g_blast_radius_sensitive_k": blast})
-        part = part.select(F.lit(name).alias("engine"), *keep)
+        part = policy.intents(metrics.marked(part).withColumn("blast_size", metrics.blast_size(part.columns)))
+        part = part.withColumnRenamed("_crossed", "is_cross_cloud").select(F.lit(name).alias("engine"), *keep)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -185,6 +187,34 @@ def alias_resolution(spark, sf_dir):
     return normalize.normalize(d).select("event_ord", "tenant_id", "geo", "principal_id")
 
 
+@query("derive_api", "SELECT event_ord, lower(resource_type || ':' || action) AS value FROM tele")
+def derive_api(spark, sf_dir):
+    return normalize.normalize(tele(spark, sf_dir).withColumn("resource_type", F.upper("resource_type"))).select("event_ord", F.col("api").alias("value"))
+
+
+@query("access_result", "SELECT event_ord, CASE event_ord % 3 WHEN 0 THEN 'permit' ELSE 'deny' END AS value FROM tele")
+def access_result(spark, sf_dir):
+    """A log that says whether access was granted: 1, 0 or nothing."""
+    granted = F.when(F.col("event_ord") % 3 == 0, "1").when(F.col("event_ord") % 3 == 1, "0")
+    return normalize.normalize(tele(spark, sf_dir).drop("access_result").withColumn("access_granted", granted)).select("event_ord", F.col("access_result").alias("value"))
+
+
+_MS = "CASE WHEN event_ord % 5 < 3 THEN epoch_us(ts) // 1000 WHEN event_ord % 5 = 3 THEN epoch_us(ts) // 1000000 END"
+
+
+@query("parse_mixed_ts_column", f"SELECT event_ord, 'epoch' AS kind, strftime(epoch_ms({_MS}), '%Y-%m-%d %H:%M:%S') AS parsed FROM tele UNION ALL SELECT event_ord, 'iso', CASE WHEN event_ord % 5 = 4 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END FROM tele")
+def parse_mixed_ts_column(spark, sf_dir):
+    """A column of milliseconds and, fewer, seconds is read as milliseconds; one with any date text only by its date texts."""
+    d, ms, i = cut(tele(spark, sf_dir).select("event_ord", "ts")), F.unix_millis("ts"), F.col("event_ord") % 5
+    number = F.when(i < 3, ms.cast("string")).when(i == 3, F.floor(ms / 1000).cast("string"))
+    text = F.when(i == 4, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise(number)
+    out = None
+    for kind, c in (("epoch", number), ("iso", text)):
+        part = normalize.parse_times(d.select("event_ord", c.alias("event_time"))).select("event_ord", F.lit(kind).alias("kind"), F.date_format("parsed_ts", "yyyy-MM-dd HH:mm:ss").alias("parsed"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("derived_latency_ms", "SELECT event_ord, latency_ms FROM uni", "latency_ms")
 def derived_latency_ms(spark, sf_dir):
     return uni(spark, sf_dir).select("event_ord", "latency_ms")
@@ -283,6 +313,19 @@ def graph_stats(spark, sf_dir):
     return graph.stats(n, graph.edge_events(uni(spark, sf_dir)), e)
 
 
+@query("graph_sink", f"SELECT 'nodes' AS name, node_id AS id, NULL::BIGINT AS event_count, {SEEN} FROM nodes UNION ALL SELECT 'edges', edge_key, event_count, {SEEN} FROM edges")
+def graph_sink(spark, sf_dir):
+    """The graph is written as versions in two commits and read back by their pointer."""
+    d, path = cut(uni(spark, sf_dir)), folder(spark, "graph")
+    store = GraphStore(spark, path, 16)
+    for half in (0, 1):
+        part = d.filter(F.col("event_ord") % 2 == half)
+        store.commit({"nodes": graph.nodes(graph.node_events(part)), "edges": graph.edges(graph.edge_events(part))}, {"nodes": graph.merge_nodes, "edges": graph.merge_edges})
+    n, e = store.read("nodes"), store.read("edges")
+    n = n.select(F.lit("nodes").alias("name"), F.col("node_id").alias("id"), F.lit(None).cast("long").alias("event_count"), *seen())
+    return n.unionByName(e.select(F.lit("edges").alias("name"), F.col("edge_key").alias("id"), "event_count", *seen()))
+
+
 @query("edge_key", "SELECT edge_key, src_id, dst_id FROM edges")
 def edge_key(spark, sf_dir):
     return graph_tables(spark, sf_dir)[1].select(graph.edge_key().alias("edge_key"), "src_id", "dst_id")
@@ -540,10 +583,10 @@ def compile_actions(spark, sf_dir):
     return policy.flat_actions(intents(spark, sf_dir)).select("intent_id", "action_index", "action_type")
 
 
-_CATALOG = ", ".join(f"('{p}', '{a}', '{d}', {policy.ACTION_SECONDS[a]})" for p, own in policy.DESCRIPTIONS.items() for a, d in own.items())
+_CATALOG = ", ".join(f"('{p}', '{a}', '{d}')" for p, own in oracles.CATALOG.items() for a, d in own.items())
 
 
-@query("action_catalog", f"SELECT provider, action_type, description, n FROM (VALUES {_CATALOG}) t(provider, action_type, description, latency_s) JOIN (SELECT cloud_provider AS provider, action_type, count(*) AS n FROM acts GROUP BY ALL) USING (provider, action_type)")
+@query("action_catalog", f"SELECT provider, action_type, description, n FROM (VALUES {_CATALOG}) t(provider, action_type, description) JOIN (SELECT cloud_provider AS provider, action_type, count(*) AS n FROM acts GROUP BY ALL) USING (provider, action_type)")
 def action_catalog(spark, sf_dir):
     return policy.flat_actions(intents(spark, sf_dir)).groupBy("provider", "action_type", "description").agg(F.count(F.lit(1)).alias("n"))
 
@@ -639,7 +682,7 @@ LATD = "mean_s p50_s p95_s p99_s max_s"
 
 @query("latency_summary", f"SELECT {LAT} FROM (SELECT latency_ms / 1000 AS x FROM uni)", LATD)
 def latency_summary(spark, sf_dir):
-    return uni(spark, sf_dir).withColumn("x", F.col("latency_ms") / 1000).agg(*metrics.latency_columns("x"))
+    return metrics.latency_summary(uni(spark, sf_dir).withColumn("x", F.col("latency_ms") / 1000), "x")
 
 
 @query("latency_stats_grouped", f"SELECT 'overall' AS intent_decision, {LAT} FROM (SELECT max(finished_s) AS x FROM acts GROUP BY intent_id) UNION ALL SELECT intent_decision, {LAT} FROM (SELECT intent_decision, max(finished_s) AS x FROM acts GROUP BY intent_id, intent_decision) GROUP BY intent_decision", LATD)
@@ -677,6 +720,17 @@ def scan_action_log_jsonl(spark, sf_dir):
     return T.scan_action_log(spark, path).groupBy("action_type").agg(F.count(F.lit(1)).alias("n"), F.sum("latency_s").alias("latency_s"))
 
 
+@query("scan_action_log_corrupt", "SELECT event_ord % 10 = 0 AS corrupt, count(*) AS n, count(DISTINCT CASE WHEN event_ord % 10 > 0 THEN action_type END) AS n_types FROM acts GROUP BY 1")
+def scan_action_log_corrupt(spark, sf_dir):
+    """A log in which some lines break off and some are blank: broken ones are kept apart, blank ones give no row."""
+    path = folder(spark, "actions")
+    d = policy.flat_actions(intents(spark, sf_dir))
+    line = F.to_json(F.struct("intent_id", "action_index", "provider", "action_type", "latency_s"))
+    d.select(F.concat(F.when(F.col("event_ord") % 10 == 0, F.substring(line, 1, 20)).otherwise(line), F.when(F.col("event_ord") % 7 == 0, "\n").otherwise("")).alias("value")).write.text(path)
+    out = T.scan_action_log(spark, path, corrupt="keep").withColumn("corrupt", F.col("corrupt_line").isNotNull())
+    return out.groupBy("corrupt").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("action_type").alias("n_types"))
+
+
 @query("cross_cloud_detection", "SELECT count(*) FILTER (x) AS xcloud_events, count(*) FILTER (x AND y) AS xcloud_attacks, coalesce(count(*) FILTER (x AND y AND f) / nullif(count(*) FILTER (x AND y), 0), 0.0) AS xcloud_flagged_tpr, coalesce(count(*) FILTER (x AND y AND h) / nullif(count(*) FILTER (x AND y), 0), 0.0) AS xcloud_hard_tpr FROM (SELECT label_attack = 1 AS y, raw_cross_cloud_hop > 0.5 AS x, decision <> 'allow' AS f, decision IN ('restrict', 'deny') AS h FROM static)", "xcloud_flagged_tpr xcloud_hard_tpr")
 def cross_cloud_detection(spark, sf_dir):
     return metrics.cross_cloud_detection(rules.static_rules(uni(spark, sf_dir)))
@@ -696,20 +750,18 @@ def policy_consistency_var(spark, sf_dir):
 
 
 def board(spark, sf_dir):
-    """One row an engine: detection, response times, cross-cloud detection, blast reduction, policy consistency, and rollout safety
-    (of the unified engine, null for the others)."""
+    """One row an engine: detection, response times, cross-cloud detection and blast reduction by one aggregate, policy consistency, and
+    rollout safety (of the unified engine, null for the others)."""
     d = cut(uni(spark, sf_dir))
     unified = cut(scored(spark, sf_dir, d))
     every = cut(engines(spark, sf_dir, d, unified))
     seconds = F.create_map(*[F.lit(x) for pair in policy.ACTION_SECONDS.items() for x in pair])
     plan = F.aggregate("action_list", F.lit(0.0), lambda x, a: x + F.element_at(seconds, a))
-    out = metrics.summarize(every, by=("engine",))
-    for more in (
-        metrics.response_columns(every, T.latency_profiles(spark), plan), metrics.cross_cloud_detection(every, by=("engine",)), metrics.blast_reduction(every, by=("engine",)),
-        metrics.policy_consistency(every, by=("engine",)), rollout_safety(policy.staged_events(cut(policy.intents(tuned(spark, sf_dir, unified), "decision_tuned")))),
-    ):
+    out = metrics.engine_summary(every, T.latency_profiles(spark), plan)
+    stages = cut(policy.staged_events(cut(policy.intents(tuned(spark, sf_dir, unified), "decision_tuned"))))
+    for more in (metrics.policy_consistency(every, by=("engine",)), rollout_safety(stages)):
         out = out.join(F.broadcast(more), "engine", "left")  # a row an engine
-    return out.fillna(0.0, ["avg_response_time_s", "mttr_proxy_s", "p95_response_time_s"]).fillna(0, ["latency_count"])
+    return out
 
 
 def rollout_safety(events):
@@ -836,25 +888,29 @@ def feature_matrix(spark, sf_dir):
     return models.feature_matrix(d, train, ("action",), ("bytes_out",)).select("event_ord", F.col("z_bytes_out").alias("z_bytes"), F.col("is_action_read").alias("a_read"), F.col("is_action_list").alias("a_list"))
 
 
-@query("iforest_fit")
+@query("iforest_fit", "SELECT tree, node, f - 1 AS feature, thr AS threshold, 0.0 AS depth FROM fall_split UNION ALL SELECT tree, node, -1, 0.0, depth FROM fall_leaf", "threshold depth")
 def iforest_fit(spark, sf_dir):
-    return models.iforest_fit(uni(spark, sf_dir), models.RAAC_FEATURES, 160).drop("group")
+    return models.iforest_fit(uni(spark, sf_dir), models.RAAC_FEATURES, 160).drop("model", "norm")
 
 
-@query("iforest_score")
+@query("iforest_score", "SELECT event_ord, raw_anom FROM sall", "raw_anom")
 def iforest_score(spark, sf_dir):
-    d = uni(spark, sf_dir)
-    return models.iforest_score(d, models.iforest_fit(d, models.RAAC_FEATURES, 160), models.RAAC_FEATURES).select("event_ord", "raw_anom")
+    d = cut(uni(spark, sf_dir))
+    return models.iforest_score(d, cut(models.iforest_fit(d, models.RAAC_FEATURES, 160)), models.RAAC_FEATURES).select("event_ord", "raw_anom")
+
+
+_PERMILLE = "1000 * risk AS risk_permille, 1000 * confidence AS confidence_permille"
+permille = lambda: [(1000 * F.col(c)).alias(f"{c}_permille") for c in ("risk", "confidence")]  # noqa: E731  (values of seven places would be rounded at ties)
 
 
-@query("raac_score")
+@query("raac_score", f"SELECT event_ord, s_anom, {_PERMILLE}, decision FROM ownscore", "s_anom risk_permille confidence_permille")
 def raac_score(spark, sf_dir):
-    return models.raac_score(uni(spark, sf_dir)).select("event_ord", "s_anom", "risk", "confidence", "decision")
+    return models.raac_score(cut(uni(spark, sf_dir))).select("event_ord", "s_anom", *permille(), "decision")
 
 
-@query("per_cloud_models")
+@query("per_cloud_models", f"SELECT event_ord, cloud_provider AS percloud_provider, CASE WHEN model = '*' THEN 'global' ELSE model END AS percloud_model, {_PERMILLE}, decision FROM cldscore", "risk_permille confidence_permille")
 def per_cloud_models(spark, sf_dir):
-    return models.per_cloud_score(uni(spark, sf_dir)).select("event_ord", "percloud_provider", "percloud_model", "risk", "decision")
+    return models.per_cloud_score(cut(uni(spark, sf_dir))).select("event_ord", "percloud_provider", "percloud_model", *permille(), "decision")
 
 
 @query("supervised_fusion")

@@ -53,9 +53,13 @@ def scan_features(spark: SparkSession, path: str, schema: T.StructType | str | N
 EXECUTION_SCHEMA = "intent_id string, action_index int, provider string, action_type string, description string, parameters map<string,string>, started_at double, finished_at double, latency_s double, status string, detect_ts double, stage string, effective_decision string"
 
 
-def scan_action_log(spark: SparkSession, path: str) -> DataFrame:
-    """Executed actions, one JSON object a line; blank lines give no row."""
-    return spark.read.schema(EXECUTION_SCHEMA).option("mode", "DROPMALFORMED").json(path).filter(F.col("intent_id").isNotNull())
+def scan_action_log(spark: SparkSession, path: str, corrupt: str = "fail") -> DataFrame:
+    """Executed actions, one JSON object a line; blank lines give no row.  A line that is no such object raises an error, or, with corrupt
+    = "keep", gives a row that has only corrupt_line, its text."""
+    if corrupt == "fail":
+        return spark.read.schema(EXECUTION_SCHEMA).option("mode", "FAILFAST").json(path)
+    schema = f"{EXECUTION_SCHEMA}, corrupt_line string"
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt_line").json(path)
 
 
 def scan_rollout_kpis(spark: SparkSession, path: str) -> DataFrame:
