@@ -24,9 +24,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ from .bpe import _byte_alphabet
 from .common import give_back, small, staged
 
 #: A chunk ends when it has so many characters or rows; a worker's known fragments are forgotten beyond so many.
-CHUNK_CHARS, CHUNK_ROWS, KNOWN = 4_000_000, 20_000, 400_000
+CHUNK_CHARS, CHUNK_ROWS, KNOWN = 2_000_000, 20_000, 200_000
 #: Two ids of a pair in one number: a * 2**32 + b.
 SHIFT = 32
 ROW = (
@@ -46,6 +45,28 @@ ROW = (
 )
 #: A space between two characters that are no white space, by either library's reading.
 _CUT = re.compile(r"(?<=[^\s\u180e\u200b\ufeff]) (?=[^\s\u180e\u200b\ufeff])")
+#: Texts with no white space at either end.
+_INNER = re.compile(r"(?s)[^\s\u180e\u200b\ufeff](?:.*[^\s\u180e\u200b\ufeff])?\Z")
+
+
+#: Fixed value: where a byte-level pre-tokenizer splits a text.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Fragments of characters below U+0180 with no white space at either end: all libraries read these alike.
+_LATIN = re.compile("[!-~\u00a1-\u017f](?:[\t\n -~\u00a1-\u017f]*[!-~\u00a1-\u017f])?\\Z")
+
+
+def _ranked(given: dict, token_bytes: dict[int, bytes]) -> Callable[[str], list[int]] | None:
+    """The vocabulary of a byte-level BPE file as ranks, if the file's merges come in the order of its ids: the same ids, sooner."""
+    model, pre, added = given["model"], given["pre_tokenizer"], {t["id"] for t in given.get("added_tokens", [])}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    merged = [model["vocab"].get(a + b) for a, b in pairs]
+    plain = pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and given["normalizer"] is None
+    if not plain or merged != list(range(256, 256 + len(merged))):
+        return None
+    import tiktoken
+
+    ranks = {b: i for i, b in token_bytes.items() if i not in added}
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 class Aligner:
@@ -63,8 +84,9 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         of = _byte_alphabet()
         with open(path_a) as f:
-            vocab = json.load(f)["model"]["vocab"]
-        bytes_a = {i: bytes(of[c] for c in t) for t, i in vocab.items()}
+            given = json.load(f)
+        bytes_a = {i: bytes(of[c] for c in t) for t, i in given["model"]["vocab"].items()}
+        self.ranks = _ranked(given, bytes_a)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         bytes_b = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)}
         self.cuts = not any(re.search("[^\u2581]\u2581", p) for p in pieces)
@@ -102,35 +124,42 @@ class Aligner:
             yield found
 
     def _learn(self, fragments: list[str]) -> list[int]:
-        """The numbers of new fragments, -1 where one does not give its bytes back.  Each stands for itself with a space before it."""
-        texts = [" " + f for f in fragments]
-        ids = [[e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)], self.b.encode(fragments, num_threads=1)]
-        data = [t.encode() for t in texts]
-        good = self._given_back(ids[0], ids[1], data)
-        if not good.all():
-            which = np.flatnonzero(good)
-            ids, data = [[own[i] for i in which] for own in ids], [data[i] for i in which]
-        out = np.full(len(fragments), -1, np.int64)
-        out[good] = np.arange(len(data)) + len(self.groups)
-        if data:
-            self._slice(ids, np.cumsum([len(d) for d in data]))
-        return out.tolist()
-
-    def _given_back(self, ids_a: list[list[int]], ids_b: list[list[int]], data: list[bytes]) -> np.ndarray:
-        """Which fragments both tokenizers give back; first all of them at once."""
-        whole, ends = b"".join(data), np.cumsum([len(d) for d in data])
-        good = np.ones(len(data), bool)
-        for side, ids in enumerate((ids_a, ids_b)):
-            flat = np.fromiter(chain.from_iterable(ids), np.int64)
-            upto = np.concatenate([[0], np.cumsum(self.lengths[side][flat])])[np.cumsum([len(i) for i in ids])]
-            if not np.array_equal(upto, ends) or b"".join(self.bytes[side][flat].tolist()) != whole:
-                good &= [b"".join(self.bytes[side][i].tolist()) == d for i, d in zip(ids, data)]
-        return good
-
-    def _slice(self, ids: list[list[list[int]]], ends: np.ndarray) -> None:
-        """Takes fragments whose bytes, one after another, end at ends: the tokens of both kinds are sliced at their common ends."""
-        flat = [np.fromiter(chain.from_iterable(own), np.int64) for own in ids]
-        upto = [np.cumsum(self.lengths[side][f]) for side, f in enumerate(flat)]
+        """The numbers of new fragments, -1 where one does not give its bytes back.  Each stands for itself with a space before it; those
+        without white space at their ends are encoded in one text, as they are certain cuts of it too."""
+        out, left = [-1] * len(fragments), set(range(len(fragments)))
+        for kind, encode in ((_LATIN, self.ranks), (_INNER, self._encode)) if self.cuts else ():
+            some = [i for i in sorted(left) if kind.match(fragments[i])] if encode else []
+            if self._encoded([fragments[i] for i in some], some, out, encode):
+                left.difference_update(some)
+        for i in sorted(left):
+            self._encoded([fragments[i]], [i], out, self._encode)
+        return out
+
+    def _encode(self, text: str) -> list[int]:
+        return self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _encoded(self, fragments: list[str], places: list[int], out: list[int], encode: Callable[[str], list[int]] | None) -> bool:
+        """Numbers the fragments of one text, if both tokenizers give it back and have ends where the fragments end."""
+        if not fragments:
+            return False
+        text, first = " ".join(fragments), len(self.groups)
+        data = (" " + text).encode()
+        ends = np.cumsum([len(f.encode()) + 1 for f in fragments])
+        flat = [np.array(encode(" " + text), np.int64), np.array(self.b.encode(text), np.int64)]
+        upto = [np.cumsum(length[ids]) for length, ids in zip(self.lengths, flat)]
+        if any(not len(u) or u[-1] != len(data) for u in upto) or any(b"".join(known[ids].tolist()) != data for known, ids in zip(self.bytes, flat)):
+            return False
+        tokens = [np.searchsorted(u, ends) + 1 for u in upto]
+        if any((u[t - 1] != ends).any() for u, t in zip(upto, tokens)):
+            return False
+        self._slice(flat, upto, [np.diff(t, prepend=0) for t in tokens], ends)
+        for n, i in enumerate(places, first):
+            out[i] = n
+        return True
+
+    def _slice(self, flat: list[np.ndarray], upto: list[np.ndarray], counts: list[np.ndarray], ends: np.ndarray) -> None:
+        """Takes the ids of both kinds, the bytes up to each one's end, how many each fragment has, and the fragments' ends: the tokens
+        are sliced at the ends that both kinds have."""
         at = [dict(zip(u.tolist(), range(1, len(u) + 1))) for u in upto]
         common = sorted(at[0].keys() & at[1].keys())
         to = [np.fromiter(map(d.__getitem__, common), np.int64, len(common)) for d in at]
@@ -143,7 +172,6 @@ class Aligner:
             marked = self.inner[side][f]
             marked[to[side] - 1] = self.last[side][f[to[side] - 1]]
             pieces[own + (since[1] if side == 0 else to[0])[of_slice]] = marked
-        counts = [np.array([len(i) for i in own], np.int64) for own in ids]
         pieces, bounds = pieces.tolist(), [0, *np.cumsum(counts[0] + counts[1]).tolist()]
         self.groups += ["".join(pieces[i:j])[:-1] for i, j in zip(bounds, bounds[1:])]
         # Two ranges overlap in one stretch between neighbouring ends of either kind, and each such stretch lies in one slice.
@@ -257,10 +285,10 @@ def align_corpus(docs: DataFrame, path_a: str, path_b: str, keep_groups: bool =
 
     def answer(chunk: pa.Table, found: pa.Table) -> pa.Table:
         part = chunk.column("part").to_numpy()
-        whole, own = chunk.take(np.flatnonzero(part == 0)), chunk.take(np.flatnonzero(part == 1)).combine_chunks()
+        whole, own = chunk.filter(pa.array(part == 0)), chunk.filter(pa.array(part == 1))
         order = np.argsort(found.column("key").to_numpy())
         values = np.stack([found.column("best").to_numpy(zero_copy_only=False).astype(np.int64), found.column("n").to_numpy()])[:, order]
-        links, bounds = (np.array(whole.column(c)[0].as_py(), np.int64) for c in ("links", "bounds"))
+        links, bounds = (whole.column(c).combine_chunks().flatten().to_numpy() for c in ("links", "bounds"))
         of_fragment = np.diff(np.concatenate([np.zeros((2, 1), np.int64), np.cumsum(values[:, links], axis=1)], axis=1)[:, bounds], axis=1)
         lists = own.column("links").combine_chunks()
         n = np.diff(lists.offsets.to_numpy())
