@@ -38,7 +38,7 @@ def texts():
     near[30] = "other"
     rows = [*enumerate(base)]
     rows += [(100, say(40) + "\n" + shared + "\n" + say(30)), (101, shared + " " + say(90)), (102, say(20) + " " + " ".join(near) + " " + say(9)), (103, base[3]), (104, base[3]), (105, base[3].replace(" ", "  "))]
-    rows += [(110, line + "\n" + say(8)), (111, say(9) + "\n" + line[:-1]), (112, line[:5] + "Q" + line[6:] + "\n" + line), (113, line), (114, "short\nshort")]
+    rows += [(110, line + "\n" + say(8)), (111, say(9) + "\n" + line[:-1]), (112, line[:5] + "Q" + line[6:] + "\n" + line), (113, line), (114, "short\nshort\n shor\n\n\t\n\t"), (115, "}\nshort\n}")]
     rows += [(120, None), (121, ""), (122, " \n\t"), (None, "a text without an id " + say(60)), (123, "x"), (123, "x"), (124, say(3000)), (125, "ab " * 400)]
     return rows
 
@@ -67,16 +67,16 @@ def edit_at_most_one(a, b):
 
 
 def brute_lines(rows):
-    """(id, text) -> kept text, by the definition."""
+    """(id, text) -> kept text, by the definition: equal lines of any length go, one edit counts from 10 code points on."""
     places = sorted({(i is None, i or 0, t or "") for i, t in rows}, key=lambda r: (r[0], r[1], xxhash_signed(r[2])))
     seen, out = [], {}
     for none, i, t in places:
         kept = []
         for line in t.split("\n"):
             s = line.strip(" ")
-            if len(s) < 10 or not any(edit_at_most_one(s, o) for o in seen):
+            if not BLANK.sub("", s) or not (s in seen or len(s) >= 10 and any(len(o) >= 10 and edit_at_most_one(s, o) for o in seen)):
                 kept.append(line)
-            if len(s) >= 10:
+            if BLANK.sub("", s):
                 seen.append(s)
         out[None if none else i, t] = "\n".join(kept)
     return out
@@ -451,6 +451,51 @@ def test_passages_against_all_pairs(spark):
     assert len(same) > 20 and len(found & same) >= 0.9 * len(same) and found <= same
 
 
+@pytest.mark.parametrize("n_shared", [42, 44])
+def test_pairs_of_a_common_phrase_grow_with_the_texts(spark, monkeypatch, n_shared):
+    """Texts that share a phrase too short for a passage, and nothing else, are not all compared with each other."""
+    rng, real, met = random.Random(9), substring_dedup.staged, []
+
+    def counted(df):
+        out = real(df)
+        if df.columns == ["rid", "rep"]:
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(substring_dedup, "staged", counted)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    pairs, shared = [], say(n_shared)
+    for n in (40, 120):
+        met.clear()
+        out = substring_dedup.substring_dedup(table(spark, [(i, f"{say(60)} {shared} {say(60)}") for i in range(n)])).collect()
+        assert not any(r._removed for r in out)
+        pairs.append(sum(met))
+    assert pairs[0] <= 8 * 40 and pairs[1] <= 8 * 120
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.booleans(), min_size=0, max_size=40), st.integers(2, 9), st.booleans())
+def test_extensible_runs_by_all_stretches(shared, least, loose):
+    n, want = len(shared), set()
+    for x in range(n):
+        for y in range(x + least, n + 1):
+            size, own = y - x, sum(shared[x:y])
+            short = 0 if loose else 0.8 * (size + least) / 1.8
+            if own >= max(0.8 * size, short) - 1e-9:
+                want.update(range(x, y - least + 1))
+    assert set(np.flatnonzero(substring_dedup.extensible(np.array(shared, bool), least, 0.8, loose)).tolist()) == want
+
+
+def test_similar_sets_obey_the_bound():
+    """Where shingles don't repeat, no two sets of `least` or more with a similarity of 0.8 share fewer than the bound says."""
+    least = 46
+    for a in range(least, 140):
+        for b in range(least, 140):
+            both = next((k for k in range(min(a, b) + 1) if k >= 0.8 * (a + b - k) - 1e-12), None)
+            if both is not None:
+                assert both >= max(0.8 * a, 0.8 * (a + least) / 1.8) - 1e-9
+
+
 def test_pipeline_stages_on_odd_rows(spark, sf_dir):
     pipeline = pytest.importorskip("corpus_pipeline")
     said = "a line of some words that is long enough\nand another one " + "to be said " * 30

@@ -10,8 +10,9 @@ partner and emit no variants (an exact filter, over all lines).  Keys carry the
 position are all within one edit of each other, so the earliest of them stands for all and no pairs are formed; such a group has at
 most one line per character of the alphabet.  Each link is verified with `levenshtein` on the two texts.
 
-Defined results: lines are split at \\n and compared without leading and trailing spaces; lines of fewer than `min_chars` code points
-after that (empty ones too) always stay; a null text is a text of one empty line; rows with a null doc_id come last in order, rows that
+Defined results: lines are split at \\n and compared without leading and trailing spaces; blank lines always stay; equal lines of any
+length go, and one edit is looked for between lines of at least `min_chars` code points, as most short words are one edit from another; a
+null text is a text of one empty line; rows with a null doc_id come last in order, rows that
 share a doc_id are ordered by a digest of their texts; whole repeats of a row (same doc_id and text) are one document: they keep and
 lose the same lines; an empty table gives an empty result; other columns are passed on untouched, but for
 those named like one that is added here (_lines, _exact, _near, _id, _th, _gone), which are replaced or dropped.
@@ -59,8 +60,9 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
     lines = source.select("doc_id", "th", F.posexplode(F.transform(F.split("text", "\n", -1), lambda x: F.trim(x))).alias("line_no", "line"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("th").alias("th"), F.col("line_no").alias("line_no"))
-    lines = lines.select("doc_id", "th", "line_no", "line", F.length("line").alias("n")).filter(F.col("n") >= min_chars)
-    keys = F.transform(_all_pieces(F.col("line"), F.col("n")), lambda p: p["key"]) if max_edits else F.array().cast("array<bigint>")
+    lines = lines.select("doc_id", "th", "line_no", "line", F.length("line").alias("n")).filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    none = F.array().cast("array<bigint>")
+    keys = F.when(F.col("n") >= min_chars, F.transform(_all_pieces(F.col("line"), F.col("n")), lambda p: p["key"])).otherwise(none) if max_edits else none
     # A line is known by two independent hashes.
     base = staged(lines.select("doc_id", "th", "line_no", F.xxhash64("line", "n").alias("lh"), F.xxhash64(F.lit(7), "line").alias("lh2"), keys.alias("keys")))
     first = staged(base.groupBy("lh", "lh2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
@@ -72,9 +74,11 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = spread.groupBy("key").agg(F.min("lh").alias("a"), F.max("lh").alias("z")).filter("a <> z").select("key")
     candidates = spread.join(shared, "key").groupBy("lh", "lh2").agg(F.min(place).alias("first"), F.collect_set("key").alias("hits"))
     candidates = staged(candidates.select(F.struct("lh", "lh2").alias("lh"), "first", "hits"))
-    per_doc = staged(candidates.groupBy(F.col("first.th").alias("wanted_th")).agg(F.collect_list(F.struct("lh", "first", "hits")).alias("wanted")))
+    # A line's text is fetched from its first document only, however many copies that has.
+    per_doc = candidates.groupBy(F.col("first.doc_id").alias("wanted_id"), F.col("first.th").alias("wanted_th"))
+    per_doc = sized(staged(per_doc.agg(F.collect_list(F.struct("lh", "first", "hits")).alias("wanted"))))
     texts = staged(
-        source.join(sized(per_doc), F.col("th") == F.col("wanted_th")).select(F.split("text", "\n", -1).alias("all"), F.explode("wanted").alias("w"))
+        source.join(per_doc, (F.col("th") == F.col("wanted_th")) & F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select(F.split("text", "\n", -1).alias("all"), F.explode("wanted").alias("w"))
         .select("w.lh", "w.first", "w.hits", F.trim(F.get("all", F.col("w.first.line_no"))).alias("line"))
         .dropDuplicates(["lh"])
     )

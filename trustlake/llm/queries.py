@@ -114,6 +114,18 @@ ORACLE_SQL = {
         k AS (SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER w AS r
               FROM h WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id))
         SELECT doc_id, keep_id, group_size, r = 1 AS kept, text_sha256 FROM k""",
+    "op9_line_dedup": r"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+        m AS (SELECT doc_id, no, raw, trim(raw, ' ') AS line, (doc_id, no) AS place FROM (SELECT doc_id, generate_subscripts(a, 1) - 1 AS no, unnest(a) AS raw FROM d)),
+        f AS (SELECT line, length(line) AS n, min(place) AS first FROM m WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+        v AS (SELECT line, first, i, substr(line, 1, i - 1) || substr(line, i + 1) AS v FROM (SELECT *, unnest(generate_series(1, n)) AS i FROM f WHERE n >= 10)),
+        near AS (SELECT line FROM v JOIN (SELECT v, i, min(first) AS least FROM v GROUP BY 1, 2) USING (v, i) WHERE least < first
+            UNION SELECT v.line FROM v JOIN f ON f.line = v.v WHERE f.n >= 10 AND f.first < v.first
+            UNION SELECT f.line FROM f JOIN v ON f.line = v.v WHERE f.n >= 10 AND v.first < f.first),
+        g AS (SELECT doc_id, no, raw, CASE WHEN f.first < place THEN 'exact' WHEN near.line IS NOT NULL THEN 'near' END AS reason FROM m LEFT JOIN f USING (line) LEFT JOIN near ON near.line = m.line)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (reason = 'exact') AS n_exact, count(*) FILTER (reason = 'near') AS n_near,
+            length(coalesce(string_agg(raw, chr(10) ORDER BY no) FILTER (reason IS NULL), '')) AS n_chars_kept,
+            sha256(coalesce(string_agg(raw, chr(10) ORDER BY no) FILTER (reason IS NULL), '')) AS kept_sha256 FROM g GROUP BY doc_id""",
     "op11_fim": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
         e AS (SELECT doc_id, t, length(t) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (length(t) + 1) AS x, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (length(t) + 1) AS y,
