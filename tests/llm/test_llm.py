@@ -400,6 +400,26 @@ def test_toxic_rows_that_repeat(spark):
     assert all(r.predicted for r in out if r.doc_id < 3000) and sum(r.predicted for r in out if r.doc_id >= 3000) <= 6
 
 
+def test_training_on_long_texts(spark):
+    """What comes to the driver is bounded by windows, not by the texts: the fit on a part of the windows still finds the words."""
+    rng = random.Random(8)
+    words = ["w" + "".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(300)]
+    say = lambda n: [rng.choice(words) for _ in range(n)]
+    rows = []
+    for i in range(120):
+        body = say(4000)
+        if i % 2:
+            for _ in range(60):
+                body[rng.randrange(len(body))] = "zoxic"
+        rows.append((i, " ".join(body)))
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    given = table(spark, rows).select("doc_id", "text").join(labels, "doc_id")
+    whole, part = toxicity.learn(given), toxicity.learn(given, most_windows=200)
+    assert set(whole.weights) == set(part.weights) and all(abs(whole.weights[f] - part.weights[f]) < 1.0 for f in whole.weights)
+    out = toxicity.toxicity(table(spark, rows), labels).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in out)
+
+
 def test_gradients_by_differences():
     rng = np.random.default_rng(5)
     e, lengths, stands, shared = rng.normal(size=(3, 5)), np.array([5, 3, 4]), np.array([1.0, 2.0, 0.5]), np.array([-0.4, 0.7, -0.2])

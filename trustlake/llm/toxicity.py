@@ -141,13 +141,16 @@ def _counts(rows: DataFrame, known: list[str] | None) -> DataFrame:
 
 
 def learn(
-    labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", max_features: int = 4000, sample: int = 1000, odds: float = 1.5, least_docs: int = 2, least_weight: float = 0.1
+    labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", max_features: int = 4000, sample: int = 1000, odds: float = 1.5, least_docs: int = 2, least_weight: float = 0.1,
+    most_windows: int = 20_000,
 ) -> Field | None:
     """The field, from rows with a text and a label of 0 or 1; None without both labels.
 
     Features are counted over all rows: those in at least least_docs toxic ones whose log odds, less two standard errors, reach `odds`
     are ranked by these, and the first max_features taken.  The field is fitted on a bounded sample: of each label the `sample` distinct
-    texts with the smallest hashes, each weighed by its rows.  Features whose fitted weight is below least_weight are left out of it."""
+    texts with the smallest hashes, each weighed by its rows.  Their windows are cut on executors; of those with features at most
+    most_windows, by their hashes, come to the driver, which holds no text.  Features whose fitted weight is below least_weight are left
+    out.  Without any chosen feature all texts get one score."""
     rows = labelled.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
     sizes = {r["label"]: r["count"] for r in rows.filter("label IN (0, 1)").groupBy("label").count().collect()}
     toxic_n, clean_n = sizes.get(1, 0), sizes.get(0, 0)
@@ -162,40 +165,85 @@ def learn(
     clean = _counts(rows.filter("label = 0"), few).select("feature", F.col("n").alias("c"))
     ranked = toxic.join(clean, "feature", "left").select("feature", score(t, c).alias("score")).filter(F.col("score") >= odds)
     chosen = [r["feature"] for r in ranked.orderBy(F.desc("score"), "feature").limit(max_features).collect()]
-    found = sampled(rows.filter("label IN (0, 1)"), "label", sample, 11).collect()
-    texts = sorted((r["by"], r["h"], r["text"], r["copies"]) for r in found)
-    # A sampled text stands for as many rows as its label has for each row of the sampled ones.
-    share = {label: n / sum(k for l, _, _, k in texts if l == label) for label, n in sizes.items()}
-    weights = np.array([share[label] * k for label, _, _, k in texts])
-    return _fit([(label, text) for label, _, text, _ in texts], chosen, weights / weights.mean(), least_weight)
-
-
-def _fit(texts: list[tuple[int, str]], chosen: list[str], weight: np.ndarray, least_weight: float, rounds: int = 80, rate: float = 0.3, decay: float = 1e-3, window: int = 160) -> Field:
-    """weight: of each text.  Training sequences are windows of a text's tokens, all of them: those without features, in which nothing
-    tells one from another, count once for each length, with the sum of their weights."""
-    column = {f: i for i, f in enumerate(chosen)}
-    docs = [(label, [tuple(column[f] for f in features(t) if f in column) for t in tokens(text)]) for label, text in texts]
-    seqs, stands, plain = [], [], Counter()
-    for (label, d), own in zip(docs, weight.tolist()):
-        for a in range(0, len(d), window):
-            part = d[a : a + window]
-            if any(part):
-                seqs.append((label, part))
-                stands.append(own)
-            else:
-                plain[len(part)] += own
+    sample_ = staged(sampled(rows.filter("label IN (0, 1)"), "label", sample, 11))
+    known = {r["by"]: (r["k"], r["texts"]) for r in sample_.groupBy("by").agg(F.sum("copies").alias("k"), F.count(F.lit(1)).alias("texts")).collect()}
+    # A sampled text stands for as many rows as its label has for each row of the sampled ones; the mean over texts is 1.
+    mean = (toxic_n + clean_n) / sum(n for _, n in known.values())
+    share = {label: sizes[label] / k / mean for label, (k, _) in known.items()}
+    parts = staged(_windows(sample_, chosen))
+    plain: Counter[int] = Counter()
+    for r in parts.filter("feats IS NULL").groupBy("by", "n").agg(F.sum("copies").alias("k")).collect():  # two labels, lengths up to a window's
+        plain[r["n"]] += share[r["by"]] * r["k"]
+    marked = parts.filter("feats IS NOT NULL")
+    n_marked = marked.count()
+    taken = marked if n_marked <= most_windows else marked.orderBy(F.xxhash64("h", "number", "by"), "h", "number").limit(most_windows)
+    seqs = sorted(taken.collect(), key=lambda r: (r["by"], r["h"], r["number"]))
+    field = _fit(seqs, np.array([share[r["by"]] * r["copies"] for r in seqs]) * max(1.0, n_marked / most_windows), plain, chosen, least_weight)
+    if seqs:
+        facts = sorted(_facts_of(sample_, field).collect())
+        field.curve = _curve(np.array([r[2:5] for r in facts]), np.array([r["by"] for r in facts], float), np.array([share[r["by"]] * r["copies"] for r in facts]))
+    return field
+
+
+#: Tokens of a training window.
+WINDOW = 160
+
+
+def _windows(sample: DataFrame, chosen: list[str]) -> DataFrame:
+    """The windows of the sampled texts (by, h, text, copies) that hold features, with the places and numbers of these; and of each text
+    how many windows without any it has of each length n, as copies (feats is null)."""
+    given = sample.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(chosen)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        column = given.value
+        for b in small(batches, 20):
+            for label, h, text, copies in zip(*[b.column(c).to_pylist() for c in ("by", "h", "text", "copies")]):
+                rows, bare, size = [], Counter(), 0
+                for k, part in enumerate(_parts(tokens(text))):
+                    found = [(t, column[f]) for t, token in enumerate(part) for f in features(token) if f in column]
+                    size += 1
+                    if found:
+                        rows.append((label, h, k, copies, len(part), *map(list, zip(*found))))
+                    else:
+                        bare[len(part)] += copies
+                rows += [(label, h, -1, k, n, None, None) for n, k in bare.items()]
+                if rows:
+                    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["by", "h", "number", "copies", "n", "places", "feats"])
+
+    return sample.select("by", "h", "text", "copies").mapInArrow(run, "by int, h long, number int, copies long, n int, places array<int>, feats array<int>")
+
+
+def _parts(own: list[str]) -> Iterator[list[str]]:
+    for at in range(0, len(own), WINDOW):
+        yield own[at : at + WINDOW]
+
+
+def _facts_of(sample: DataFrame, field: Field) -> DataFrame:
+    """by, h, the three facts and copies of each sampled text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches, 20):
+            rows = [np.array([field.emission(t) for t in tokens(text)], float) for text in b.column("text").to_pylist()]
+            facts = np.array([_facts(o) for o in batched_marginals(rows, field)], float).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([b.column("by"), b.column("h"), *[pa.array(f) for f in facts.T], b.column("copies")], names=["by", "h", "x", "y", "z", "copies"])
+
+    return sample.select("by", "h", "text", "copies").mapInArrow(run, "by int, h long, x double, y double, z double, copies long")
+
+
+def _fit(seqs: list, weight: np.ndarray, plain: dict[int, float], chosen: list[str], least_weight: float, rounds: int = 80, rate: float = 0.3, decay: float = 1e-3) -> Field:
+    """seqs: training windows (by, n, places, feats) with features, weight: of each.  Windows without features, in which nothing tells one
+    from another, count once for each length: plain has the sum of their weights."""
     if not seqs:
         return Field({})
     count = len(seqs)
-    for n, own in sorted(plain.items()):
-        seqs.append((0, [()] * n))
-        stands.append(own)
-    where = [(i, t, f) for i, (_, s) in enumerate(seqs) for t, own in enumerate(s) for f in own]
-    seq, place, feat = (np.array(x, np.int64) for x in zip(*where))
-    lengths, stands = np.array([len(s) for _, s in seqs]), np.array(stands)
-    truth = np.zeros((len(seqs), lengths.max()))
-    for i, (label, s) in enumerate(seqs):
-        truth[i, : len(s)] = [label == 1 and bool(own) for own in s]
+    lengths = np.array([r["n"] for r in seqs] + sorted(plain))
+    stands = np.concatenate([weight, [plain[n] for n in sorted(plain)]])
+    seq = np.repeat(np.arange(count), [len(r["feats"]) for r in seqs])
+    place, feat = (np.concatenate([np.array(r[c], np.int64) for r in seqs]) for c in ("places", "feats"))
+    truth = np.zeros((len(lengths), lengths.max()))
+    label = np.array([r["by"] for r in seqs])
+    truth[seq, place] = label[seq] == 1
     weights, shared = np.zeros(len(chosen)), np.array([-3.0, 0.5, 0.0])  # bias, stay, enter
     second_w, second_s = np.full(len(chosen), 1e-8), np.full(3, 1e-8)
     for _ in range(rounds):
@@ -209,16 +257,16 @@ def _fit(texts: list[tuple[int, str]], chosen: list[str], weight: np.ndarray, le
         weights += rate * grad_w / np.sqrt(second_w + 1e-8)
         shared += 0.3 * rate * grad_s / np.sqrt(second_s + 1e-8)
     weights[np.abs(weights) < least_weight] = 0
-    field = Field({f: float(w) for f, w in zip(chosen, weights) if w}, *map(float, shared))
-    facts = np.array([_facts(o) for o in batched_marginals([np.array([sum(weights[f] for f in own) for own in d], float) for _, d in docs], field)])
-    label = np.array([label for label, _ in docs], float)
-    x = np.column_stack((np.ones(len(docs)), facts))
-    own, curve = weight, np.zeros(4)
-    for _ in range(50):  # Newton steps for the logistic curve
+    return Field({f: float(w) for f, w in zip(chosen, weights) if w}, *map(float, shared))
+
+
+def _curve(facts: np.ndarray, label: np.ndarray, own: np.ndarray) -> tuple[float, ...]:
+    """The logistic curve over the facts of texts with labels and weights, by Newton steps."""
+    x, curve = np.column_stack((np.ones(len(facts)), facts)), np.zeros(4)
+    for _ in range(50):
         p = 1 / (1 + np.exp(-x @ curve))
         curve += np.linalg.solve((x * (own * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(4), x.T @ (own * (label - p)) - 0.05 * curve)
-    field.curve = tuple(map(float, curve))
-    return field
+    return tuple(map(float, curve))
 
 
 def _facts(odds: np.ndarray) -> tuple[float, float, float]:
