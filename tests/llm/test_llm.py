@@ -191,6 +191,35 @@ def test_simhash(spark, texts):
     assert simhash.simhash_components(table(spark, EMPTY)).count() == 0
 
 
+def test_large_shards_are_split_again(spark):
+    """Links by a first tree of few leaves and trees within its leaves connect what all pairs connect."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, 700, dtype=np.uint64)
+    near = [base[i] ^ np.uint64(1 << int(rng.integers(0, 64))) ^ np.uint64(1 << int(rng.integers(0, 64))) for i in rng.integers(0, 700, 400)]
+    chain = [np.uint64((1 << k) - 1) for k in range(0, 60, 2)]
+    points = np.unique(np.concatenate([base, np.array(near, np.uint64), np.array(chain, np.uint64)]))
+    given = spark.createDataFrame([(int(v),) for v in points.view(np.int64)], "fp long").repartition(3)
+    up = {int(v): int(v) for v in points}
+
+    def top(v):
+        while up[v] != v:
+            v = up[v]
+        return v
+
+    for i, v in enumerate(points):
+        for o in points[i + 1 :][np.bitwise_count(points[i + 1 :] ^ v) <= 2]:
+            up[max(top(int(v)), top(int(o)))] = min(top(int(v)), top(int(o)))
+    want = {}
+    for v in points:
+        want.setdefault(top(int(v)), set()).add(int(np.uint64(v).view(np.int64)))
+    for shard, sample, bound in ((64, 128, 20), (64, 2000, 100_000)):
+        edges = simhash.links(given, 2, shard, sample, bound)
+        got = {}
+        for r in simhash.components(edges).collect():
+            got.setdefault(r.label, set()).add(r.node)
+        assert sorted(map(sorted, got.values())) == sorted(sorted(s) for s in want.values() if len(s) > 1)
+
+
 def test_simhash_keeps_unlike_rows_of_one_id(spark, texts):
     long = [t for i, t in texts if i is not None and i < 25 and len(t.split()) > 60][:5]
     rows = [(1, long[0]), (None, long[0]), (None, long[1]), (None, long[2]), (2, long[3]), (2, long[4]), (3, long[3])]

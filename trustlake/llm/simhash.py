@@ -20,6 +20,7 @@ simhash_dedup but for _row.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -168,9 +169,10 @@ def forest_of(points: np.ndarray, own: np.ndarray, reach: int, block: int = 8192
     return trees.links
 
 
-def links(points: DataFrame, max_bits: int = 2, shard: int = 4096, sample: int = 65536) -> DataFrame:
+def links(points: DataFrame, max_bits: int = 2, shard: int = 4096, sample: int = 65536, bound: int | None = None) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp): a spanning forest of each shard's links; together they connect exactly
-    what links of at most max_bits bits connect.  `shard` is the number of points a leaf aims at, `sample` bounds the driver's share."""
+    what links of at most max_bits bits connect.  `shard` is the number of points a leaf aims at, `sample` bounds the driver's share; a
+    leaf of more than `bound` (8 x shard) points of its own is split by a tree of its own, so shards don't grow with the corpus."""
     spark = points.sparkSession
     total = points.count()
     seen = points.orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
@@ -181,7 +183,7 @@ def links(points: DataFrame, max_bits: int = 2, shard: int = 4096, sample: int =
         for b in batches:
             values = b["fp"].to_numpy(np.int64)
             at, leaf, own = descend(given.value, values.view(np.uint64), max_bits)
-            yield pd.DataFrame({"fp": values[at], "leaf": leaf.astype(np.int32), "own": own})
+            yield pd.DataFrame({"fp": values[at], "leaf": leaf, "own": own})
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("fp")
@@ -189,10 +191,43 @@ def links(points: DataFrame, max_bits: int = 2, shard: int = 4096, sample: int =
         found = np.array(forest_of(values.view(np.uint64), pdf["own"].to_numpy(bool), max_bits), dtype=np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": values[found[:, 0]], "b": values[found[:, 1]]})
 
-    spread_out = points.select("fp").mapInPandas(spread, "fp long, leaf int, own boolean")
+    spread_out = points.select("fp").mapInPandas(spread, "fp long, leaf long, own boolean")
+    if total > (bound or 8 * shard):
+        spread_out = _split_again(staged(spread_out), max_bits, shard, bound or 8 * shard)
     return spread_out.groupBy("leaf").applyInPandas(within, "a long, b long").distinct()
 
 
+def _split_again(rows: DataFrame, max_bits: int, shard: int, bound: int, sample: int = 2048) -> DataFrame:
+    """rows (fp, leaf, own) with leaves of more than bound own points split: each by a tree over about `sample` of its points, built
+    on executors.  A point goes to all parts that may hold something within reach of it, as in the first tree, so no link is lost."""
+    big = staged(rows.filter("own").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bound))
+    if big.isEmpty():
+        return rows
+    draw = F.pmod(F.xxhash64(F.lit(3), "fp"), F.lit(1 << 20))
+    some = rows.filter("own").join(sized(big), "leaf").filter(draw < F.lit(float(sample << 20)) / F.col("n"))
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        values = np.sort(pdf["fp"].to_numpy(np.int64)).view(np.uint64)
+        tree = build_tree(values, max(8, int(shard * len(values) / pdf["n"].iloc[0])))
+        return pd.DataFrame({"leaf": pdf["leaf"].iloc[:1], "tree": [pickle.dumps(tree)]})
+
+    # At most sample / 8 nodes a leaf, and leaves of the first tree are at most an eighth of its sample.
+    trees = {r["leaf"]: pickle.loads(r["tree"]) for r in some.groupBy("leaf").applyInPandas(build, "leaf long, tree binary").toLocalIterator()}
+    given = rows.sparkSession.sparkContext.broadcast(trees)
+
+    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for leaf, part in b.groupby("leaf"):
+                values, own = part["fp"].to_numpy(np.int64), part["own"].to_numpy(bool)
+                if leaf in given.value:
+                    at, sub, mine = descend(given.value[leaf], values.view(np.uint64), max_bits)
+                    yield pd.DataFrame({"fp": values[at], "leaf": (leaf << 20) + 1 + sub, "own": own[at] & mine})
+                else:
+                    yield pd.DataFrame({"fp": values, "leaf": leaf << 20, "own": own})
+
+    return rows.mapInPandas(again, "fp long, leaf long, own boolean")
+
+
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """node, label: the smallest node of its component, for every node of `edges` (a, b).  Min-label propagation with pointer jumping,
     so rounds grow with the logarithm of a chain's length; each round is written to the shared folder."""
