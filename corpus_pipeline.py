@@ -1,8 +1,13 @@
 """A corpus through five stages; each takes (spark, docs, sf_dir) and works on all that the stage before it kept.
 
-toxicity: documents scored at 0.3 or more go.  line_dedup: lines that repeat an earlier line (within one edit) go, and documents left
-blank by that.  simhash: one document of each component of near-equal fingerprints stays, that of the smallest doc_id.
-substring_dedup: passages of 50 words or more that repeat an earlier document's go.  packing: sequences of at most 4096 tokens."""
+toxicity: documents scored at 0.3 or more go.  line_dedup: lines that repeat an earlier line (equal, or within one edit) go, and documents
+left blank by that.  simhash: one document of each component of near-equal fingerprints stays, that of the smallest doc_id.
+substring_dedup: passages of 50 words or more that repeat an earlier document's go.  packing: sequences of at most 4096 tokens.
+
+Defined results: columns besides those of documents are dropped, so clashing names do no harm; a null text counts as empty and, like an
+empty or blank one, loses nothing by lines, is one of the documents with the zero fingerprint, of which one stays, and is packed as its end
+token; rows that share a doc_id, or have none, are decided each by itself in the first three stages, and are never a repeat of each other
+in the fourth; of exact repeats of a row one stays; very long texts are taken whole; an empty table gives an empty result."""
 
 from __future__ import annotations
 
