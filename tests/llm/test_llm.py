@@ -241,7 +241,7 @@ def test_vantage_trees_lose_no_link():
 
 
 def test_media(spark, texts):
-    out = media.media_columns(table(spark, texts), keep_arrays=True).collect()
+    out = media.media_columns(table(spark, texts), keep_media=True).collect()
     said = {i: t for i, t in texts}
     for r in out:
         data = (said[r.doc_id] or "").encode()
@@ -253,6 +253,35 @@ def test_media(spark, texts):
     assert len(same) == 1 and media.media_columns(table(spark, EMPTY)).count() == 0
 
 
+def brute_landmarks(payload):
+    """Frame by frame: the transform as sums of cosines and sines, the strongest bin of each band, peaks over both neighbours, pairs."""
+    x = np.frombuffer(payload, np.uint8).astype(float) - 128
+    n = max(1, -(-(len(x) - 256) // 128) + 1)
+    x = np.concatenate([x, np.zeros((n - 1) * 128 + 256 - len(x))])
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(256) / 255)
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(129), np.arange(256)) / 256)
+    power = [np.abs(turn @ (x[128 * i : 128 * i + 256] * window)) for i in range(n)]
+    best = [[max(range(a, b), key=lambda k: (p[k], -k)) for a, b in ((1, 8), (8, 16), (16, 32), (32, 64), (64, 129))] for p in power]
+    peaks = []
+    for i in range(n):
+        for band in range(5):
+            own = power[i][best[i][band]]
+            before = power[i - 1][best[i - 1][band]] if i else -1
+            after = power[i + 1][best[i + 1][band]] if i + 1 < n else -1
+            if own > before and own >= after and own > 1:
+                peaks.append((i, best[i][band]))
+    pairs = [(t, f << 14 | g << 6 | u - t) for i, (t, f) in enumerate(peaks) for u, g in peaks[i + 1 : i + 4] if u - t <= 63]
+    return sorted(pairs)
+
+
+def test_media_features_by_brute_force(spark):
+    random.seed(21)
+    texts = [" ".join(random.choice(["wind", "größe", "night", "a", "of;", "0123"]) for _ in range(n)) for n in (3, 60, 400)]
+    for r in media.media_columns(table(spark, list(enumerate(texts)))).collect():
+        data = texts[r.doc_id].encode()
+        assert list(zip(r.times, r.hashes)) == brute_landmarks(data + bytes(-len(data) % 64)) and r.feature.startswith(f"{len(r.times)}:")
+
+
 def test_language(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     extra = spark.createDataFrame([(10**6, None, None, "s", 0), (10**6 + 1, "12 34!", "en", "s", 6), (None, "the and of", None, "s", 9)], docs.schema)

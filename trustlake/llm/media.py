@@ -84,9 +84,10 @@ def landmarks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return time[order].astype(np.int32), code[order].astype(np.int32)
 
 
-def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_arrays: bool = False) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of each row; with keep_arrays also
-    media (the WAV), times and hashes (array<int>, the time-coded fingerprints).  feature: number of pairs and digest of the arrays."""
+def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = False) -> DataFrame:
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, times, hashes of each row; with
+    keep_media also media (the WAV).  times and hashes (array<int>) are the time-coded fingerprints: the frame and the code of each pair
+    of peaks, in order; feature: their number and digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
@@ -100,18 +101,17 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 times, hashes = landmarks(np.frombuffer(back, np.uint8))
                 feature = f"{len(times)}:{xxhash.xxh64_hexdigest(times.tobytes() + hashes.tobytes())}"
                 row = (len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature)
-                rows.append((*row, stored, times, hashes) if keep_arrays else row)
-                size += len(stored)
+                rows.append((*row, times, hashes, stored) if keep_media else (*row, times, hashes))
+                size += len(stored) + 8 * len(times)
                 if size > 8_000_000 or i == len(texts) - 1:
                     columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)]
                     yield pa.RecordBatch.from_arrays([ids[at : i + 1], *columns], names=["doc_id", *names])
                     at, rows, size = i + 1, [], 0
 
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    schema = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    if keep_arrays:
-        names, kinds = [*names, "media", "times", "hashes"], [*kinds, pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-        schema += ", media binary, times array<int>, hashes array<int>"
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "times", "hashes"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    schema = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, times array<int>, hashes array<int>"
+    if keep_media:
+        names, kinds, schema = [*names, "media"], [*kinds, pa.binary()], schema + ", media binary"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, {schema}")
