@@ -15,6 +15,7 @@ from .quantiles import quantiles
 SENSITIVITY_RISK = {"LOW": 0.05, "MED": 0.15, "HIGH": 0.30, "CRITICAL": 0.45}
 ROLE_RISK = {"admin": 0.05, "service": 0.10, "engineer": 0.15, "employee": 0.22, "contractor": 0.28}
 
+#: What a column that a log lacks counts as.
 DEFAULTS = {
     "role": "employee", "resource_sensitivity": "LOW", "mfa_used": 0, "posture_score": 1.0, "action": "", "token_scope": "NARROW", "raw_login_failures_5m": 0, "raw_api_calls_5m": 0,
     "raw_time_anomaly": 0, "raw_privilege_escalation": 0, "raw_cross_cloud_hop": 0, "bytes_out": 0.0, "principal_id": "unknown",
@@ -58,7 +59,7 @@ def static_rules(df: DataFrame, posture_restrict=0.40, posture_stepup=0.60, fail
     )
     open_critical = critical & ~trusted
     weak = (c("_mfa") == 0) | (c("_posture") < 0.50)
-    rules = [  # (condition, tag, level: 3 deny, 2 restrict, 1 step-up, 0 none)
+    rules = [  # fixed values: (condition, tag, level: 3 deny, 2 restrict, 1 step-up, 0 none)
         (risky & (role != "admin"), "rbac_privileged_op_non_admin", 3),
         (open_critical, "abac_critical_resource", 0),
         (open_critical & weak, "abac_critical_no_mfa_or_low_posture", 3),
@@ -98,7 +99,7 @@ def siem_rows(df: DataFrame, fails_alert=5, fails_high=10, calls_alert=60, calls
     d = _inputs(df).crossJoin(F.broadcast(siem_thresholds(df)))  # one row of two numbers
     c, sensitive = F.col, F.col("_sens").isin("HIGH", "CRITICAL")
     between = lambda x, a, b: (x >= a) & (x < b)
-    rules = [
+    rules = [  # fixed values: (condition, tag, severity)
         (c("_fails") >= fails_high, "siem_bruteforce_high", 2), (between(c("_fails"), fails_alert, fails_high), "siem_bruteforce_alert", 1),
         (c("_time"), "siem_impossible_travel", 2), (c("_priv") & sensitive, "siem_privilege_escalation", 3), (c("_priv") & ~sensitive, "siem_privilege_escalation", 2),
         (c("_calls") >= calls_high, "siem_api_burst_high", 2), (between(c("_calls"), calls_alert, calls_high), "siem_api_burst_alert", 1),

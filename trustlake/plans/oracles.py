@@ -65,6 +65,12 @@ def _hash(parts: str, modulus: int) -> str:
     return f"(CAST('0x' || substr(sha256({parts}), 1, 12) AS BIGINT) % {modulus})"
 
 
+_H24 = _hash("principal_id || '|' || cloud_provider || '|' || session_id", 256**3)
+IP = f"'10.' || (1 + ({_H24} // 65536) % 254) || '.' || (1 + ({_H24} // 256 % 256) % 254) || '.' || (1 + ({_H24} % 256) % 254)"
+_FACTORS = "list_transform(list_sort([{'v': -0.80 * s_anom, 'i': 0, 'n': 'anomaly'}, {'v': -0.50 * s_rule, 'i': 1, 'n': 'rules'}, {'v': -0.70 * s_graph, 'i': 2, 'n': 'graph'}]), lambda f: f.n)"
+RATIONALE = f"'Top factors: ' || ({_FACTORS})[1] || ', ' || ({_FACTORS})[2] || CASE WHEN len(rationale_tags) > 0 THEN '; signals: ' || array_to_string(rationale_tags[1:4], ', ') ELSE '' END"
+
+
 def unit(text: str) -> str:
     return f"(CAST(CAST('0x' || substr(md5('42:' || {text}), 1, 8) AS BIGINT) AS DOUBLE) / 4294967295)"
 

@@ -11,6 +11,7 @@ from ..operators import features, graph, metrics, models, normalize, policy, rul
 from ..operators.lineage import cut, folder
 from ..sources import telemetry as T
 from ..sources.graph_store import GraphStore
+from ..streaming import features as streamed, jobs
 from . import oracles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,9 +134,9 @@ def scan_latency_profiles(spark, sf_dir):
 # Normalization.
 
 
-@query("normalize_unified", f"SELECT event_ord, {TS}, principal_id, principal_type, role, mfa_used, action, api, operation, resource_id, resource_type, resource_sensitivity, cloud_provider, tenant_id, region, geo, device_id, posture_score, workload_id, session_id, token_id, token_scope, token_age, access_result, latency_ms, bytes_out, label_attack, attack_type FROM uni", "posture_score token_age latency_ms bytes_out")
+@query("normalize_unified", f"SELECT event_ord, {TS}, principal_id, principal_type, role, mfa_used, action, api, operation, resource_id, resource_type, resource_sensitivity, cloud_provider, tenant_id, region, {oracles.IP} AS ip, geo, device_id, posture_score, workload_id, session_id, token_id, token_scope, token_age, access_result, latency_ms, bytes_out, label_attack, attack_type FROM uni", "posture_score token_age latency_ms bytes_out")
 def normalize_unified(spark, sf_dir):
-    return uni(spark, sf_dir).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).select("event_ord", *[c for c in normalize.UNIFIED if c != "ip"])
+    return uni(spark, sf_dir).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).select("event_ord", *normalize.UNIFIED)
 
 
 @query("raw_passthrough", "SELECT event_ord, raw_login_failures_5m, raw_api_calls_5m, raw_time_anomaly, raw_privilege_escalation, raw_cross_cloud_hop FROM tele")
@@ -472,6 +473,48 @@ def cross_cloud_nunique(spark, sf_dir):
     return metrics.cross_cloud_keys(uni(spark, sf_dir)).select("event_ord", "n_clouds")
 
 
+# Streams: the telemetry comes in by files, in three parts of its time, and the result is that of the batch.
+
+
+def replayed(spark, d):
+    """(a streaming table of d and a last event a year later, which lets the watermark pass all others; its delay).  Files of one part may
+    come in any order, so the delay is longer than a part."""
+    path, us = folder(spark, "stream"), F.unix_micros("ts")
+    low, high = d.agg(F.min(us), F.max(us)).first()
+    step = (high - low) // 3 + 1
+    for i in range(3):
+        d.filter(us.between(low + i * step, low + (i + 1) * step - 1)).write.parquet(f"{path}/part{i}")
+    last = d.filter(us == high).limit(1).withColumns({"event_ord": F.lit(-1).cast("long"), "ts": F.col("ts") + F.expr("INTERVAL 400 DAYS")})
+    keys = ("principal_id", "device_id", "session_id", "resource_id")
+    last.withColumns({k: F.lit("last") for k in keys}).select(*d.columns).coalesce(1).write.parquet(f"{path}/part3")
+    source = spark.readStream.schema(d.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 8).parquet(path)
+    return source, f"{step // 1_000_000 + 3600} seconds"
+
+
+@query("graph_stream", f"SELECT edge_key, {', '.join(EDGE_COUNTS)}, {SEEN} FROM edges", "bytes_out_sum")
+def graph_stream(spark, sf_dir):
+    source, delay = replayed(spark, cut(uni(spark, sf_dir)))
+    path = folder(spark, "graph")
+    jobs.graph_stream(source.filter("event_ord >= 0"), path, folder(spark, "mark"), delay=delay, buckets=8).awaitTermination()
+    return GraphStore(spark, path, 8).read("edges").select("edge_key", *EDGE_COUNTS, *seen())
+
+
+_STREAMED = "f_geo_switch, f_fast_geo_switch, f_bytes_spike_score, g_is_new_resource_edge, g_new_resource_count_win, f_posture_drift, g_cross_cloud_hops_session"
+
+
+@query("features_stream", f"SELECT event_ord, {_STREAMED} FROM feat0", "f_bytes_spike_score f_posture_drift")
+def features_stream(spark, sf_dir):
+    source, delay = replayed(spark, cut(uni(spark, sf_dir)))
+    out = None
+    for key in streamed.PROCESSORS:
+        path = folder(spark, key)
+        made = streamed.features_stream(source, key, delay).drop(key).writeStream.format("parquet").option("checkpointLocation", folder(spark, "mark")).option("path", path)
+        made.trigger(availableNow=True).start().awaitTermination()
+        part = spark.read.parquet(path)
+        out = part if out is None else out.join(part, "event_ord")
+    return out.select("event_ord", *_STREAMED.split(", "))
+
+
 # Rule scorers.
 
 SCORE = "risk confidence"
@@ -543,9 +586,9 @@ def unified_decision(spark, sf_dir):
     return scored(spark, sf_dir).select("event_ord", "decision")
 
 
-@query("rationale", f"SELECT event_ord, {TAGS} FROM scored")
+@query("rationale", f"SELECT event_ord, {TAGS}, {oracles.RATIONALE} AS rationale_text FROM scored")
 def rationale(spark, sf_dir):
-    return scored(spark, sf_dir).select("event_ord", joined("rationale_tags"))
+    return scored(spark, sf_dir).select("event_ord", joined("rationale_tags"), "rationale_text")
 
 
 # Thresholds, policy, rollout.
