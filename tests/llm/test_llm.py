@@ -559,7 +559,8 @@ def test_extensible_runs_by_all_stretches(shared, least, loose):
         for y in range(x + least, n + 1):
             size, own = y - x, sum(shared[x:y])
             short = 0 if loose else 0.8 * (size + least) / 1.8
-            if own >= max(0.8 * size, short) - 1e-9:
+            trimmed = size == least or shared[x] and shared[y - 1]  # verified stretches begin and end with shingles of the other text
+            if trimmed and own >= max(0.8 * size, short) - 1e-9:
                 want.update(range(x, y - least + 1))
     assert set(np.flatnonzero(substring_dedup.extensible(np.array(shared, bool), least, 0.8, loose)).tolist()) == want
 
