@@ -22,10 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import sampled, sized, small, staged, without
 from .language_id import fold
+from .repeats import BITMAP_BITS, bitmap
 
 _TOKEN = re.compile(r"\w+")
 
@@ -118,12 +120,27 @@ def batched_marginals(rows: list[np.ndarray], field: Field, cells: int = 500_000
     return out
 
 
-def _counts(rows: DataFrame, known: list[str] | None) -> DataFrame:
-    """feature, n: in how many documents of rows a feature occurs; only of `known` ones if given."""
-    given = rows.sparkSession.sparkContext.broadcast(frozenset(known)) if known is not None else None
+class _Marks(dict):
+    """Whether a feature may be one of those in a bitmap (see repeats) of their hashes."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    def __missing__(self, feature: str) -> bool:
+        if len(self) > 200_000:
+            self.clear()
+        at = xxhash.xxh64_intdigest(feature.encode("utf-8", "surrogatepass"), 42) >> (64 - BITMAP_BITS)
+        self[feature] = value = bool(self.bits[at >> 3] >> (at & 7) & 1)
+        return value
+
+
+def _counts(rows: DataFrame, known: np.ndarray | None) -> DataFrame:
+    """feature, n: in how many documents of rows a feature occurs; if a bitmap is given, only of those in it (and a few others)."""
+    given = rows.sparkSession.sparkContext.broadcast(known) if known is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
+        may = _Marks(given.value) if given is not None else None
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["feature", "n"])
@@ -131,7 +148,7 @@ def _counts(rows: DataFrame, known: list[str] | None) -> DataFrame:
         for b in small(batches):
             for text in b.column("text").to_pylist():
                 own = {f for token in set(tokens(text)) for f in features(token)}
-                seen.update(own if given is None else own & given.value)
+                seen.update(own if may is None else [f for f in own if may[f]])
             if len(seen) > 200_000:
                 yield out()
                 seen.clear()
@@ -160,9 +177,9 @@ def learn(
     score = lambda t, c: F.log((t + 0.5) / (toxic_n + 1)) - F.log((c + 0.5) / (clean_n + 1)) - 2 * F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
     t, c = F.col("n"), F.coalesce(F.col("c"), F.lit(0))
     toxic = staged(_counts(rows.filter("label = 1"), None).filter((t >= least_docs) & (score(t, F.lit(0)) >= odds)))
-    # Only spares rows a shuffle where few features are left: the join decides.
-    few = [r["feature"] for r in toxic.select("feature").collect()] if toxic.count() <= 100_000 else None
-    clean = _counts(rows.filter("label = 0"), few).select("feature", F.col("n").alias("c"))
+    # The bitmap only spares other features a shuffle, however many toxic ones there are: the join decides.
+    bits = bitmap(toxic.select(F.xxhash64("feature").alias("key")))
+    clean = _counts(rows.filter("label = 0"), bits).select("feature", F.col("n").alias("c"))
     ranked = toxic.join(clean, "feature", "left").select("feature", score(t, c).alias("score")).filter(F.col("score") >= odds)
     chosen = [r["feature"] for r in ranked.orderBy(F.desc("score"), "feature").limit(max_features).collect()]
     sample_ = staged(sampled(rows.filter("label IN (0, 1)"), "label", sample, 11))
