@@ -565,6 +565,48 @@ def test_extensible_runs_by_all_stretches(shared, least, loose):
     assert set(np.flatnonzero(substring_dedup.extensible(np.array(shared, bool), least, 0.8, loose)).tolist()) == want
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=30), st.sets(st.integers(0, 3)), st.integers(2, 6))
+def test_extensible_sets_by_all_stretches(values, known, least):
+    """No run is missed that lies in a stretch whose set has a share of 0.8 of shared shingles."""
+    shared, n = [v in known for v in values], len(values)
+    want = set()
+    for x in range(n):
+        for y in range(x + least, n + 1):
+            own = {*values[x:y]}
+            if len(own & known) >= 0.8 * len(own) and (y - x == least or shared[x] and shared[y - 1]):
+                want.update(range(x, y - least + 1))
+    assert want <= set(np.flatnonzero(substring_dedup.extensible_sets(np.array(values, int), np.array(shared, bool), least, 0.8)).tolist())
+
+
+def test_words_inserted_in_the_middle_of_a_passage():
+    n = np.arange
+    own = np.concatenate((n(28), n(900, 910), n(32, 60)))  # six words more: 56 of 70 shingles are the same
+    assert substring_dedup.similar_stretches(own, n(60), 46, 0.8) == [(0, 66)]
+
+
+def test_pairs_of_repeated_words_grow_with_the_texts(spark, monkeypatch):
+    """Texts of words that are said many times share the runs of common words, and are not all compared with each other."""
+    rng, real, met = random.Random(3), substring_dedup.staged, []
+
+    def counted(df):
+        out = real(df)
+        if df.columns == ["rid", "rep"]:
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(substring_dedup, "staged", counted)
+    rare = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    pairs = []
+    for n in (40, 120):
+        met.clear()
+        rows = [(i, " ".join(f"{w} " * rng.randint(20, 40) for w in (rare(), "the", rare(), "and", rare()))) for i in range(n)]
+        out = substring_dedup.substring_dedup(table(spark, rows)).collect()
+        assert not any(r._removed for r in out)
+        pairs.append(sum(met))
+    assert pairs[1] <= 8 * 120, pairs
+
+
 def test_similar_sets_obey_the_bound():
     """Where shingles don't repeat, no two sets of `least` or more with a similarity of 0.8 share fewer than the bound says."""
     least = 46
