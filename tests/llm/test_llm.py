@@ -435,6 +435,22 @@ def test_crowded_keys_and_a_void_bitmap(spark, texts, monkeypatch, void):
             assert (r.n_bytes, r.n_removed, bytes(r.kept)) == want[r.doc_id], r.doc_id
 
 
+def test_suffix_tables_are_narrow_and_go_when_used_up(spark, texts, monkeypatch):
+    from pathlib import Path
+
+    real, made = suffix_dedup.staged, []
+
+    def kept(df):
+        made.append(real(df))
+        return made[-1]
+
+    monkeypatch.setattr(suffix_dedup, "staged", kept)
+    suffix_dedup.suffix_dedup(table(spark, texts), batch_bytes=2000)
+    there = [(t.columns, Path(t._staged_at.removeprefix("file:")).exists()) for t in made]
+    assert (["doc_id", "th", "key", "s", "start", "n"], True) in there  # two hashes a segment
+    assert [c for c, e in there if not e] == [["key", "s", "n", "owner", "last"], ["key", "s", "n", "owner", "last", "m"], ["key", "s", "owner", "piece", "last", "m"]]
+
+
 def test_languages_whose_rows_repeat(spark):
     rng = random.Random(3)
     known = {letters: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(50)] for letters in ("äöüzß", "abcde", "xyzwv")}
