@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trustlake.operators import features, ordered, rules
+from trustlake.operators import features, lineage, ordered, rules
 
 T0 = dt.datetime(2024, 1, 1)
 SCHEMA = "event_ord long, ts timestamp, principal_id string, device_id string, session_id string, geo string, bytes_out double, posture_score double, resource_id string, cloud_provider string"
@@ -128,3 +128,12 @@ def test_siem_windows(spark, rows, bound):
         own.append((ts, i))
         inside = [j for t, j in own if ts is None or (ts - t).total_seconds() <= 900]
         assert got[i] == (sum(j % 3 == 0 for j in inside), sum(j % 7 >= 5 for j in inside)), i
+
+
+def test_no_wide_table_is_broadcast(spark, rows, monkeypatch, tmp_path):
+    """What has as many rows as the events is joined by a sort-merge join, however small the files look."""
+    monkeypatch.setattr(ordered, "sized", lambda t: lineage.sized(t, 0))
+    d = spark.createDataFrame(rows, SCHEMA).withColumns({"access_result": F.lit("deny"), "token_scope": F.lit("a|b"), "role": F.lit("x"), "token_age": F.lit(1.0)})
+    d.write.parquet(f"{tmp_path}/d")
+    plan = features.feature_table(spark.read.parquet(f"{tmp_path}/d"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [event_ord" in plan and "BroadcastHashJoin" not in plan
