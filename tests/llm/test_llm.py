@@ -451,6 +451,16 @@ def test_suffix_tables_are_narrow_and_go_when_used_up(spark, texts, monkeypatch)
     assert [c for c, e in there if not e] == [["key", "s", "n", "owner", "last"], ["key", "s", "n", "owner", "last", "m"], ["key", "s", "owner", "piece", "last", "m"]]
 
 
+def test_short_phrases_that_documents_share_make_no_segments(spark, monkeypatch):
+    """A phrase of 30 bytes is led by equal grams in all documents, but no string of 50 bytes is shared."""
+    rng, real, made = random.Random(7), suffix_dedup.staged, []
+    say = lambda: "".join(rng.choice("abcdefghij ") for _ in range(80))
+    monkeypatch.setattr(suffix_dedup, "staged", lambda df: made.append(real(df)) or made[-1])
+    out = suffix_dedup.suffix_dedup(table(spark, [(i, say() + "a phrase of exactly thirty byt" + say()) for i in range(40)]), batch_bytes=2000)
+    assert sum(r.n_removed for r in out.collect()) == 0
+    assert [t.count() for t in made if t.columns == ["doc_id", "th", "key", "s", "start", "n"]] == [0]
+
+
 def test_languages_whose_rows_repeat(spark):
     rng = random.Random(3)
     known = {letters: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(50)] for letters in ("äöüzß", "abcde", "xyzwv")}
