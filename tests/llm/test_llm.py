@@ -461,6 +461,23 @@ def test_short_phrases_that_documents_share_make_no_segments(spark, monkeypatch)
     assert [t.count() for t in made if t.columns == ["doc_id", "th", "key", "s", "start", "n"]] == [0]
 
 
+def test_intersections_of_one_document_go_first(spark, monkeypatch):
+    """Texts that share 25 words have windows of equal signatures; the intersections that no other text has are not kept for the rounds."""
+    rng, real, made = random.Random(5), substring_dedup.staged, []
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    common, passage = say(25), say(60)
+    rows = [(i, f"{say(90)} {common} {say(90)}") for i in range(30)] + [(100 + i, f"{say(70)} {passage} {say(70)}") for i in range(2)]
+    monkeypatch.setattr(substring_dedup, "staged", lambda df: made.append(real(df)) or made[-1])
+    out = {r.doc_id: r._removed for r in substring_dedup.substring_dedup(table(spark, rows)).collect()}
+    assert out[101] >= 55 and sum(out.values()) == out[101]
+    columns = [t.columns for t in made]
+    first = columns.index(["key", "doc_id", "rid", "at"])
+    assert first < columns.index(["key", "lead"])  # before any round
+    of_one = made[first].groupBy("key").agg(F.count_distinct("doc_id").alias("n")).filter("n = 1").count()
+    assert of_one <= 1  # but for chance in the bitmap
+
+
 def test_languages_whose_rows_repeat(spark):
     rng = random.Random(3)
     known = {letters: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(50)] for letters in ("äöüzß", "abcde", "xyzwv")}
